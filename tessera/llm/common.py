@@ -63,7 +63,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable id per node of ``edges(a, b)`` (longs): rows (id, component_id), isolated nodes absent.
 
     Alternates large-star and small-star contraction, so the rounds grow with the logarithm of the longest chain; every
-    round is two aggregations on the edge list and is materialised, and convergence is a distributed comparison.
+    round is two aggregations on the edge list and is materialised; it ends when the edges are disjoint stars.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -77,14 +77,12 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return hooked.union(low.select("a", F.col("m").alias("b"))).distinct()
 
-    sign = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    seen = sign(now)
+    now, last = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), None
     while True:
-        after = materialize(small(large(now)))
-        release(now)
-        now, before, seen = after, seen, sign(after)
-        if seen == before:
-            break
+        now = materialize(small(large(now)))
+        release(*[last] * (last is not None))
+        last = now
+        if now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
+            break  # no centre is a leaf: all trees are stars
     star = now.groupBy("a").agg(F.min("b").alias("c"))
     return star.select(F.col("a").alias("id"), F.col("c").alias("component_id")).union(star.select(F.col("c").alias("id"), F.col("c").alias("component_id"))).distinct()

@@ -18,21 +18,23 @@ from tessera.llm.hashing import U, mix, shingles, word_hashes
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 _SHIFT = U(64 - BINS.bit_length() + 1)
+_EDGES = np.append(np.arange(BINS, dtype=np.uint64) << _SHIFT, U(0xFFFFFFFFFFFFFFFF))
+#: Untested pairs left, as a multiple of the bucket entries, from which on they are all tested at once.
+REST = 4
 #: Bin that an empty bin borrows from, by attempt: the universal hash of the optimal densification.
 _JUMPS = (mix(np.arange(BINS, dtype=np.uint64)[:, None] * U(1 << 20) + np.arange(1, 65, dtype=np.uint64)[None, :]) % U(BINS)).astype(np.int64)
 
 
 def sketch(shingle_set: np.ndarray) -> np.ndarray:
     """128 minima of one permutation over a sorted set; an empty bin copies a full one, the same in all documents."""
-    at = np.searchsorted(shingle_set, np.arange(BINS, dtype=np.uint64) << _SHIFT)
-    ends = np.append(at[1:], len(shingle_set))
-    full = at < ends
-    out = np.zeros(BINS, np.uint64)
-    out[full] = shingle_set[at[full]]
-    for i in np.flatnonzero(~full):
-        usable = np.flatnonzero(full[_JUMPS[i]])
-        j = _JUMPS[i][usable[0]] if len(usable) else np.flatnonzero(full)[(i * 31) % full.sum()]
-        out[i] = out[j]
+    at = np.searchsorted(shingle_set, _EDGES)
+    full = at[:-1] < at[1:]
+    out = shingle_set[np.minimum(at[:-1], len(shingle_set) - 1)]
+    if not full.all():
+        reach = full[_JUMPS]
+        source = _JUMPS[np.arange(BINS), reach.argmax(1)]
+        source = np.where(reach.any(1), source, np.flatnonzero(full)[0])
+        out = np.where(full, out, out[source])
     return out
 
 
@@ -81,8 +83,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal sets fold into their smallest id first. Each band bucket then picks hubs in a pseudo-random order that differs by
     band, and every other member is compared with the hub: edges grow with the members, not with their square. Links are
-    decided on the full sets. Buckets that still hold more than one component repeat with the next 2, 4, 8 ... hubs, against
-    members of other components only, until no untested pair is left, so a member far from the first hub is not lost.
+    decided on the full sets. Buckets that still hold more than one component go on: pairs across components
+    that no hub has tested are tested too, at once where they are few against the bucket entries, else by the next 2, 4, 8
+    ... hubs first. No pair of a bucket that could still join two components stays untested.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     signed = materialize(docs.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, bands array<long>"))
@@ -93,13 +96,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(places.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "n", F.xxhash64("rep", "bucket").alias("turn")))
     wanted = members.select("id").distinct()
     sets = materialize(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s array<long>"))
+    size = members.count()
     links, tested, alive, first = None, None, members.withColumn("c", F.col("id")), 0
+    other = F.struct("id", "n", "c")
     while True:
         if first == 0:
-            hubs = alive.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "c"), F.struct("turn", "id")).alias("h"))
+            hubs = alive.groupBy("bucket").agg(F.min_by(other, F.struct("turn", "id")).alias("h"))
+        elif rest <= REST * size:
+            hubs = alive.select("bucket", other.alias("h"))
         else:
             rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))
-            hubs = alive.withColumn("r", rank).where((F.col("r") > first) & (F.col("r") <= 2 * first + 1)).select("bucket", F.struct("id", "n", "c").alias("h"))
+            hubs = alive.withColumn("r", rank).where((F.col("r") > first) & (F.col("r") <= 2 * first + 1)).select("bucket", other.alias("h"))
         hubs = hubs.select("bucket", F.col("h.id").alias("h"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
         close = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.col("id") != F.col("h")) & (F.col("c") != F.col("hc"))
         pairs = alive.join(hubs, "bucket").where(close).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
@@ -110,12 +117,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = materialize(_verify(pairs, sets, percent))
         links = found if links is None else links.union(found)
         groups = materialize(components(links))
+        if first and rest <= REST * size:
+            break
         of = members.join(groups.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         first = 2 * first + 1
-        mixed = of.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where((F.col("c0") != F.col("c1")) & (F.col("m") > first)).select("bucket")
-        alive = materialize(of.join(mixed, "bucket", "left_semi"))
-        if alive.isEmpty():
+        mixed = of.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where((F.col("m") > first) & (F.col("m") * F.col("m") > F.col("kk")))
+        alive = materialize(of.join(mixed, "bucket"))
+        rest = alive.agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / F.col("m"))).first()[0]
+        if not rest:
             break
+        rest /= 2
     whole = reps.join(groups, reps.rep == groups.id, "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     out = ids.select("id", "n", "d.d1", "d.d2").join(whole, ["d1", "d2"], "left")
     comp = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
