@@ -1,4 +1,4 @@
 """All queries of the library by name, and their SQL oracles."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from tessera.plans import assessment, changes, content, relational, reports, scalars  # noqa: F401
+from tessera.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
