@@ -1 +1,232 @@
+"""Answers, policy, subjects, data quality and evidence on the text tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import norm_key
+from tessera.operators import policy as P
+from tessera.operators import quality as Q
+from tessera.plans.base import query
+
+c = F.col
+
+
+@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\n\s*\n'), lambda p: trim(p) <> '')) AS paragraphs FROM documents")
+def k3_paragraphs(t):
+    return t.documents.select("doc_id", F.size(F.filter(F.split("text", r"\n\s*\n"), lambda p: F.trim(p) != "")).cast("long").alias("paragraphs"))
+
+
+@query("SELECT o_orderkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_name END, n_name, 'warn') AS shown FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey < 15")
+def k6_resolution_order(t):
+    j = t.orders.join(t.customer, c("o_custkey") == c("c_custkey"), "left").join(t.nation.where("n_nationkey < 15"), c("c_nationkey") == c("n_nationkey"), "left")
+    return j.select("o_orderkey", F.coalesce(F.when(c("c_acctbal") > 5000, c("c_name")), "n_name", F.lit("warn")).alias("shown"))
+
+
+@query(r"""SELECT p_partkey, CASE WHEN p_type = '' THEN NULL WHEN p_size % 3 = 0 THEN 'numeric' WHEN p_size % 3 = 1 THEN 'choice' ELSE 'text' END AS kind, CASE WHEN p_size % 3 = 1 AND p_size > 40 THEN 'answer_not_in_options' END AS problem FROM part""")
+def k7_normalize_answer(t):
+    kind = F.when(c("p_type") == "", None).when(c("p_size") % 3 == 0, "numeric").when(c("p_size") % 3 == 1, "choice").otherwise("text")
+    return t.part.withColumn("kind", kind).select("p_partkey", "kind", F.when((c("kind") == "choice") & (c("p_size") > 40), "answer_not_in_options").alias("problem"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'auto' WHEN p_brand LIKE '%1' THEN 'self_check' ELSE 'none' END AS mode FROM part")
+def k9_scoring_mode(t):
+    return t.part.select("p_partkey", F.when(c("p_size") < 10, "auto").when(c("p_brand").endswith("1"), "self_check").otherwise("none").alias("mode"))
+
+
+@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)all of the above|none of the above|both .* and'))) = 0 AS safe FROM documents")
+def k10_shuffle_safe(t):
+    return t.documents.select("doc_id", (~F.exists(F.split("text", "\n"), lambda l: l.rlike(r"(?i)all of the above|none of the above|both .* and"))).alias("safe"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '^\s*[A-Da-d]\s*[.)]?\s*$') AS letter, len(string_split(text, chr(10))) NOT IN (1, 4) AS count_suspect FROM documents")
+def k11_suspects(t):
+    return t.documents.select("doc_id", c("text").rlike(r"^\s*[A-Da-d]\s*[.)]?\s*$").alias("letter"), (~F.size(F.split("text", "\n")).isin(1, 4)).alias("count_suspect"))
+
+
+@query("SELECT doc_id, concat_ws(',', CASE WHEN n_chars = 0 THEN 'empty' END, CASE WHEN n_chars > 10000 THEN 'long' END, CASE WHEN contains(text, '@') THEN 'mail' END) AS flags FROM documents")
+def k16_derived_flags(t):
+    return t.documents.select("doc_id", F.concat_ws(",", P.queues(empty=c("n_chars") == 0, long=c("n_chars") > 10000, mail=c("text").contains("@"))).alias("flags"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'x' WHEN lang = 'en' THEN 'english' WHEN lang = 'de' AND doc_id % 2 = 0 THEN 'german' ELSE 'general' END AS code,
+CASE WHEN doc_id % 50 = 0 THEN 'admin' WHEN lang = 'en' THEN 'original' WHEN lang = 'de' AND doc_id % 2 = 0 THEN 'inferred' ELSE 'unclassified' END AS origin FROM documents""")
+def p1_resolve_subject(t):
+    alias = F.create_map(*[F.lit(x) for x in ("", "general", "en", "english", "german", "german")])
+    null = F.lit(None).cast("string")
+    s = P.resolve_subject(F.when(c("doc_id") % 50 == 0, "x"), null, F.lit(False), c("lang"), F.when(c("lang") == "de", "german"), F.when(c("doc_id") % 2 == 0, "high").otherwise("low"), alias, ["", "fr"], ["high", "medium"])
+    return t.documents.select("doc_id", s.alias("s")).select("doc_id", c("s.code").alias("code"), c("s.source").alias("origin"))
+
+
+POLICY = P.Policy(allowed_states=("F", "READY_TO_SERVE"), allowed_types=("1-URGENT", "2-HIGH"), blocking=("render",), allow_self_check=False)
+_REASONS = """SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderstatus <> 'F' AND o_orderkey % 11 <> 0 THEN 'state:' || o_orderstatus END, CASE WHEN o_orderkey % 11 = 1 THEN 'review:blocked' END,
+CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'type:' || o_orderpriority END, CASE WHEN o_orderkey % 4 = 0 THEN 'render' END, CASE WHEN o_totalprice > 400000 THEN 'removed_upstream' END, CASE WHEN o_orderkey % 6 = 0 THEN 'scoring:self_check' END) AS reasons FROM orders"""
+
+
+def _reasons(t):
+    flags = F.when(c("o_orderkey") % 4 == 0, F.array(F.lit("render"), F.lit("other"))).otherwise(F.array(F.lit("other")))
+    gate = F.when(c("o_orderkey") % 11 == 0, "ready").when(c("o_orderkey") % 11 == 1, "blocked").otherwise("")
+    r = P.reasons(POLICY, c("o_orderstatus"), c("o_orderpriority"), flags, c("o_totalprice") > 400000, F.when(c("o_orderkey") % 6 == 0, "self_check").otherwise("auto"), gate)
+    return t.orders.select("o_orderkey", r.alias("r"))
+
+
+@query(_REASONS)
+def p2_policy_reasons(t):
+    return _reasons(t).select("o_orderkey", F.concat_ws(",", "r").alias("reasons"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN true WHEN o_orderkey % 13 = 1 THEN false ELSE reasons = '' END AS served FROM ({_REASONS})")
+def p3_override(t):
+    over = F.when(c("o_orderkey") % 13 == 0, "enable").when(c("o_orderkey") % 13 == 1, "disable").otherwise("")
+    return _reasons(t).select("o_orderkey", P.served(F.size("r") == 0, over).alias("served"))
+
+
+@query("SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'error' WHEN bool_or(event_type = 'purchase') THEN 'purchase' WHEN bool_or(event_type = 'signup') THEN 'signup' END AS state FROM events GROUP BY user_id")
+def p4_state_priority(t):
+    a = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
+    return a.select("user_id", F.get(P.first_by_priority(c("s"), ["error", "purchase", "signup"]), 0).alias("state"))
+
+
+@query(f"SELECT count(*) AS total, count(*) FILTER (WHERE (reasons = '') <> (o_orderkey % 2 = 0)) AS changed FROM ({_REASONS})")
+def p5_recompute_changes(t):
+    return _reasons(t).agg(F.count("*").alias("total"), F.count_if((F.size("r") == 0) != (c("o_orderkey") % 2 == 0)).alias("changed"))
+
+
+@query("SELECT l_orderkey, bool_or(f.p_partkey IS NOT NULL) AS failing FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 48) f ON l_partkey = f.p_partkey GROUP BY l_orderkey")
+def p8_failing_parts(t):
+    bad = t.part.where("p_size > 48").select(c("p_partkey").alias("l_partkey"), F.lit(True).alias("bad"))
+    return t.lineitem.join(bad, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_or(c("bad").isNotNull()).alias("failing"))
+
+
+_FINDINGS = r"""SELECT doc_id, code FROM (SELECT doc_id, unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty_text' END, CASE WHEN n_chars < 40 THEN 'too_short' END, CASE WHEN contains(text, '  ') THEN 'double_space' END, CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'phone_number' END, CASE WHEN contains(text, '�') THEN 'bad_character' END], lambda x: x IS NOT NULL)) AS code FROM documents)"""
+
+
+def _findings(t):
+    rules = {"empty_text": F.trim("text") == "", "too_short": c("n_chars") < 40, "double_space": c("text").contains("  "), "phone_number": c("text").rlike("[0-9]{3}-[0-9]{4}"), "bad_character": c("text").contains("�")}
+    return t.documents.select("doc_id", F.explode(P.queues(**rules)).alias("code"))
+
+
+@query(_FINDINGS)
+def q1_validators(t):
+    return _findings(t)
+
+
+_KEY = r"regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', '', 'g')"
+
+
+@query(f"SELECT doc_id, sha256({_KEY} || '#' || lang) AS exact_key, CASE WHEN length({_KEY}) >= 40 THEN sha256({_KEY}) END AS near_key FROM documents")
+def q2_duplicate_keys(t):
+    d = t.documents.select("doc_id", "lang", norm_key(c("text")).alias("k"))
+    return d.select("doc_id", F.sha2(F.concat_ws("#", "k", "lang"), 256).alias("exact_key"), F.when(F.length("k") >= 40, F.sha2("k", 256)).alias("near_key"))
+
+
+@query(f"""WITH k AS (SELECT doc_id, {_KEY} AS k FROM documents), g AS (SELECT k, list_sort(list(doc_id))[1:6] AS ids FROM k GROUP BY k HAVING count(*) > 1)
+SELECT doc_id, array_to_string(list_filter(ids, lambda x: x <> doc_id)[1:5], ',') AS partners FROM k JOIN g USING (k)""")
+def q3_duplicate_index(t):
+    from pyspark.sql import Window
+
+    d = t.documents.select("doc_id", F.sha2(norm_key(c("text")), 256).alias("k"))
+    n = d.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    few = d.join(n, "k").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))).where("r <= 6").groupBy("k").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    others = F.slice(F.filter("ids", lambda x: x != c("doc_id")), 1, 5)
+    return d.join(few, "k").select("doc_id", F.array_join(F.transform(others, lambda x: x.cast("string")), ",").alias("partners"))
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'accepted' END AS s, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'old' END AS ph FROM documents WHERE doc_id % 5 < 3),
+f AS (SELECT doc_id, sha256(text) AS fh FROM documents WHERE n_chars < 1000)
+SELECT coalesce(p.doc_id, f.doc_id) AS doc_id, CASE WHEN f.doc_id IS NOT NULL THEN CASE WHEN s = 'accepted' OR (s = 'dismissed' AND ph = fh) THEN s ELSE 'open' END WHEN s = 'open' THEN 'fixed' ELSE s END AS state, coalesce(fh, ph) AS part_hash FROM p FULL JOIN f ON p.doc_id = f.doc_id""")
+def q4_finding_states(t):
+    d = t.documents
+    state = F.when(c("doc_id") % 3 == 0, "open").when(c("doc_id") % 3 == 1, "dismissed").otherwise("accepted")
+    prev = d.where("doc_id % 5 < 3").select("doc_id", state.alias("state"), F.when(c("doc_id") % 2 == 0, F.sha2("text", 256)).otherwise("old").alias("part_hash"))
+    return Q.finding_states(prev, d.where("n_chars < 1000").select("doc_id", F.sha2("text", 256).alias("part_hash")), ["doc_id"])
+
+
+@query("SELECT d.doc_id, CASE WHEN quality IS NOT NULL AND d.doc_id % 3 > 0 THEN CASE WHEN quality = 1 THEN 'ok' ELSE 'fail' END WHEN quality IS NOT NULL THEN 'stale' WHEN lang = 'en' THEN 'pending' ELSE 'na' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def q5_dimension_status(t):
+    j = t.documents.join(t.labels, "doc_id", "left")
+    return j.select("doc_id", P.dimension_status(F.when(c("quality") == 1, "ok").when(c("quality") == 0, "fail"), F.when(c("doc_id") % 3 > 0, "a").otherwise("b"), F.lit("a"), c("lang") == "en").alias("status"))
+
+
+@query("SELECT d.doc_id, CASE WHEN toxic = 1 THEN 'blocked' WHEN quality = 1 AND d.doc_id % 2 = 0 THEN 'ready' WHEN d.doc_id % 2 = 1 AND d.doc_id % 3 = 0 THEN 'ready' END AS gate FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def q6_review_gate(t):
+    st = F.array(F.when(c("toxic") == 1, "fail").otherwise("ok"), F.when(c("quality") == 1, "ok").otherwise("pending"))
+    return t.documents.join(t.labels, "doc_id").select("doc_id", P.review_gate(st, F.lit(True), c("doc_id") % 2 == 1, F.lit(0), c("doc_id") % 3 == 0).alias("gate"))
+
+
+@query("SELECT d.doc_id, concat_ws(',', CASE WHEN toxic = 1 THEN 'CONFLICT' END, CASE WHEN quality = 0 THEN 'GENERAL_REVIEW' END, CASE WHEN n_chars < 300 THEN 'INCOMPLETE' END, CASE WHEN toxic = 0 AND quality = 1 THEN 'READY' ELSE 'NOT_READY' END) AS queues FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def q7_queues(t):
+    ready = (c("toxic") == 0) & (c("quality") == 1)
+    q = P.queues(CONFLICT=c("toxic") == 1, GENERAL_REVIEW=c("quality") == 0, INCOMPLETE=c("n_chars") < 300, READY=ready, NOT_READY=~ready)
+    return t.documents.join(t.labels, "doc_id").select("doc_id", F.concat_ws(",", q).alias("queues"))
+
+
+@query("SELECT d.doc_id, CASE WHEN quality + toxic = 1 THEN 40 ELSE 0 END + CASE WHEN n_chars > 500 THEN 20 ELSE 0 END + CASE WHEN lang <> 'en' THEN 10 ELSE 0 END + CASE WHEN toxic = 1 THEN 30 ELSE 0 END + CASE WHEN d.doc_id % 2 = 0 THEN 15 ELSE 0 END - least(d.doc_id % 5, 3) * 5 AS priority FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+def q8_priority(t):
+    s = P.priority_score(c("quality") + c("toxic"), c("n_chars") > 500, c("lang") != "en", c("toxic") == 1, c("doc_id") % 2 == 0, c("doc_id") % 5)
+    return t.documents.join(t.labels, "doc_id").select("doc_id", s.alias("priority"))
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE l.doc_id IS NULL OR sha256(d.source) <> sha256('src' || (d.doc_id % 20))")
+def q9_fingerprint_skip(t):
+    j = t.documents.select("doc_id", "source").join(t.labels.select("doc_id", F.lit(True).alias("done")), "doc_id", "left")
+    return j.where(c("done").isNull() | (F.sha2("source", 256) != F.sha2(F.concat(F.lit("src"), (c("doc_id") % 20).cast("string")), 256))).select("doc_id")
+
+
+@query("SELECT source, count(*) AS assigned, count(quality) AS done, count(*) - count(quality) AS remaining FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
+def q11_assignment_progress(t):
+    return t.documents.join(t.labels, "doc_id", "left").groupBy("source").agg(F.count("*").alias("assigned"), F.count("quality").alias("done")).withColumn("remaining", c("assigned") - c("done"))
+
+
+@query(r"""WITH w AS (SELECT item_id AS q, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), d AS (SELECT doc_id AS p, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+qg AS (SELECT DISTINCT q, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT q, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)), dg AS (SELECT DISTINCT p, array_to_string(w[i:i+2], ' ') AS g FROM (SELECT p, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) > 2)),
+s AS (SELECT q, p, round(count(*) / max(n)::DOUBLE, 4) AS score FROM qg JOIN dg USING (g) JOIN (SELECT q, count(*) AS n FROM qg GROUP BY q) USING (q) GROUP BY q, p)
+SELECT q, p, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS r FROM s) WHERE r <= 5""")
+def e1_trigram_locate(t):
+    return Q.trigram_locate(t.benchmark, "item_id", "text", t.documents, "doc_id", "text")
+
+
+@query("SELECT doc_id, CASE WHEN instr(lower(text), 'the ') > 0 AND instr(substr(lower(text), instr(lower(text), 'the ') + 4), 'and ') BETWEEN 1 AND 3000 THEN true ELSE false END AS ordered FROM documents")
+def e2_ordered_substrings(t):
+    low = F.lower("text")
+    at = F.instr(low, "the ")
+    rest = F.instr(F.substr(low, at + 4), F.lit("and "))
+    return t.documents.select("doc_id", ((at > 0) & rest.between(1, 3000)).alias("ordered"))
+
+
+@query(r"SELECT conv_id, turn, round(len(list_intersect(list_distinct(w), ['the', 'and', 'of', 'die', 'de'])) / greatest(len(list_distinct(w)), 1)::DOUBLE, 6) AS share FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations)")
+def e3_identity_score(t):
+    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
+    known = F.array(*map(F.lit, ("the", "and", "of", "die", "de")))
+    return t.conversations.select("conv_id", "turn", F.round(F.size(F.array_intersect(w, known)) / F.greatest(F.size(w), F.lit(1)), 6).alias("share"))
+
+
+@query("SELECT sha256(text) AS key, count(*) AS occurrences, count(DISTINCT source) = 1 AS agree FROM documents GROUP BY 1 HAVING count(*) > 1")
+def e4_evidence_agreement(t):
+    g = t.documents.groupBy(F.sha2("text", 256).alias("key")).agg(F.count("*").alias("occurrences"), (F.countDistinct("source") == 1).alias("agree"))
+    return g.where("occurrences > 1")
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?im)^released under[^\n]*$', '', 'g'), '\n{2,}', chr(10), 'g'), chr(10)) AS clean FROM documents")
+def e9_strip_furniture(t):
+    x = F.regexp_replace("text", r"(?im)^released under[^\n]*$", "")
+    return t.documents.select("doc_id", F.trim(F.regexp_replace(x, r"\n{2,}", "\n"), F.lit("\n")).alias("clean"))
+
+
+@query("SELECT 'short_toxic' AS batch, d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE toxic = 1 AND n_chars < 1000 UNION ALL SELECT 'long_good', d.doc_id FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE quality = 1 AND n_chars > 5000")
+def e12_named_batches(t):
+    j = t.documents.join(t.labels, "doc_id")
+    batches = F.explode(P.queues(short_toxic=(c("toxic") == 1) & (c("n_chars") < 1000), long_good=(c("quality") == 1) & (c("n_chars") > 5000)))
+    return j.select(batches.alias("batch"), "doc_id")
+
+
+@query(f"SELECT coalesce(reason, 'passed') AS reason, count(*) AS n FROM (SELECT CASE WHEN n_chars < 40 THEN 'too_short' WHEN contains(text, '@') THEN 'mail' WHEN lang <> 'en' THEN 'language' END AS reason FROM documents) GROUP BY 1")
+def e13_gate_histogram(t):
+    first = F.coalesce(F.when(c("n_chars") < 40, "too_short"), F.when(c("text").contains("@"), "mail"), F.when(c("lang") != "en", "language"), F.lit("passed"))
+    return t.documents.groupBy(first.alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, least(n - 1, 3) AS siblings FROM documents d JOIN (SELECT sha256(text) AS h, count(*) AS n FROM documents GROUP BY 1) ON h = sha256(text) WHERE n > 1")
+def e14_cross_edition(t):
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
+    return d.join(d.groupBy("h").agg(F.count("*").alias("n")), "h").where("n > 1").select("doc_id", F.least(c("n") - 1, F.lit(3)).alias("siblings"))
