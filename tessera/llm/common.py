@@ -35,9 +35,14 @@ def _drop_all() -> None:
             _drop(spark, _scratch.pop())
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``rows`` (about how many it has) the last stage runs in one task per ``per_task`` rows, 12 at least.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(12, rows // per_task))
     path = f"{_shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _scratch.append(path)
@@ -77,9 +82,10 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         return hooked.union(low.select("a", F.col("m").alias("b"))).distinct()
 
+    rows = edges.count()
     now, last = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), None
     while True:
-        now = materialize(small(large(now)))
+        now = materialize(small(large(now).coalesce(max(12, rows // 250_000))), rows)
         release(*[last] * (last is not None))
         last = now
         if now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():

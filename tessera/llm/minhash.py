@@ -112,17 +112,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = alive.join(hubs, "bucket").where(close).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs)
+        pairs = materialize(pairs, size, 100_000)
         tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_verify(pairs, sets, percent))
+        found = materialize(_verify(pairs, sets, percent), pairs.count(), 10_000)
         links = found if links is None else links.union(found)
-        groups = materialize(components(links))
+        groups = materialize(components(links), size)
         if first and rest <= REST * size:
             break
         of = members.join(groups.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
         first = 2 * first + 1
         mixed = of.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where((F.col("m") > first) & (F.col("m") * F.col("m") > F.col("kk")))
-        alive = materialize(of.join(mixed, "bucket"))
+        alive = materialize(of.join(mixed, "bucket"), size)
         rest = alive.agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / F.col("m"))).first()[0]
         if not rest:
             break
