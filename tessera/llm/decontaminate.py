@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.hashing import CHUNK, U, mix, prefix, shingles, windows
+from tessera.llm.hashing import CHUNK, U, mix, prefix, rolling, windows
 
 WINDOW, SHORTEST, LITERALS = 13, 5, 0.6
 #: Item windows up to which the match is a lookup in a broadcast array; beyond it all windows are hash-joined.
@@ -95,7 +95,7 @@ def _hits(text: str | None, widths: list[int], wanted: np.ndarray | None):
         for w in widths:
             if len(template) < w:
                 continue
-            h = mix(shingles(template, w) + U(family * 1000 + w))
+            h = rolling(template, w) + U(family * 1000 + w)
             ok = total[w:] - total[:-w] >= LITERALS * w
             if wanted is not None and len(wanted):
                 at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)

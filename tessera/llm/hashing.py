@@ -78,13 +78,20 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
+def rolling(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` consecutive hashes."""
+    n, out = len(h) - width + 1, []
+    for at in range(0, max(n, 0), CHUNK):
+        part = h[at : min(len(h), at + CHUNK + width - 1)]
+        p = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POW[: len(part)], out=p[1:])
+        out.append(mix((p[width:] - p[: len(p) - width]) * _INV[: len(p) - width]))
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     """Hashes of all k-word windows in order; with fewer words the whole sequence as one; none without words."""
     n = len(words)
     if not n:
         return words
-    width = min(k, n)
-    h = np.full(n - width + 1, U(width))
-    for j in range(width):
-        h = mix(h * U(0xD6E8FEB86659FD93) + words[j : n - width + 1 + j])
-    return h
+    return rolling(words, k) if n >= k else rolling(words, n) + U(n)

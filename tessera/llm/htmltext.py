@@ -102,9 +102,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     seen = list(tokens(page or ""))
     best, at, run, start = (0.0, 0, 0), 0, 0.0, 0
     for at, (kind, text, feature, _, boiler) in enumerate(seen):
-        if kind == "w":
-            w = -2.0 if boiler else max(0.2, weights.get("w" + feature, 1.0))
-            run += w * len(text.split())
+        if boiler:
+            pass  # left out of the text wherever the region ends, so it counts for nothing
+        elif kind == "w":
+            run += max(0.2, weights.get("w" + feature, 1.0)) * len(text.split())
         else:
             run -= 0.2 + max(0.0, -weights.get("t" + feature, 0.0))
         if run <= 0:

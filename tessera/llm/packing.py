@@ -7,6 +7,7 @@ ordered by hash and id; an empty table gives an empty result; extra columns are
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import zlib
@@ -51,9 +52,15 @@ class WordEncoder:
         return [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
 
 
+@functools.cache
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker: its words serve all tasks that the worker runs."""
+    return WordEncoder(path)
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
-        encode, end = WordEncoder(path), np.array([end_id], "<u4").tobytes()
+        encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 200):

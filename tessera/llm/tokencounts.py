@@ -11,6 +11,7 @@ rows each get their rows; an empty table gives an empty result; extra columns ar
 from __future__ import annotations
 
 import base64
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@functools.cache
 def load_encoding(path: str, pattern: str):
     import tiktoken
 
@@ -31,7 +33,7 @@ def load_encoding(path: str, pattern: str):
 
 def attribute(ends: np.ndarray, cuts: np.ndarray, rule: str) -> np.ndarray:
     """Tokens per section: token i covers bytes [ends[i-1], ends[i]); section j covers [cuts[j], cuts[j+1])."""
-    starts = np.concatenate([[0], ends[:-1]])
+    starts = np.concatenate([[0], ends])[:-1]
     first = np.searchsorted(cuts, starts, "right") - 1
     last = np.searchsorted(cuts, ends - 1, "right") - 1
     if rule == "first":
