@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def windowed_counts(events: DataFrame, key: str, ts: str, width: str, limit: int, delay: str = "1 day") -> DataFrame:
+def windowed_counts(events: DataFrame, key: str, ts: str, width: str, limit: int, delay: str | None = "1 day") -> DataFrame:
     """(key, window_start, n, rejected): events per key and fixed window; a window over ``limit`` is rejected.
 
-    On a stream the state of a window ends ``delay`` after its end.
+    On a stream the state of a window ends ``delay`` after its end; None keeps the watermark that the stream has.
     """
     events = events.withColumn("_ts", F.col(ts).cast("timestamp"))
-    if events.isStreaming:
+    if events.isStreaming and delay:
         events = events.withWatermark("_ts", delay)
     g = events.groupBy(key, F.window("_ts", width).alias("w")).agg(F.count("*").alias("n"))
     return g.select(key, F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("rejected"))
