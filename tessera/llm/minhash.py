@@ -19,8 +19,10 @@ BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 _SHIFT = U(64 - BINS.bit_length() + 1)
 _EDGES = np.append(np.arange(BINS, dtype=np.uint64) << _SHIFT, U(0xFFFFFFFFFFFFFFFF))
-#: Untested pairs left, as a multiple of the bucket entries, from which on they are all tested at once.
-REST = 4
+#: Untested pairs left, as a multiple of the bucket entries, up to which they all meet the bound at once.
+REST = 256
+#: 64-bit words of a set's mark, the bitmap that bounds intersections from above.
+WORDS = 16
 #: Bin that an empty bin borrows from, by attempt: the universal hash of the optimal densification.
 _JUMPS = (mix(np.arange(BINS, dtype=np.uint64)[:, None] * U(1 << 20) + np.arange(1, 65, dtype=np.uint64)[None, :]) % U(BINS)).astype(np.int64)
 
@@ -53,6 +55,13 @@ def _digest(shingle_set: np.ndarray) -> tuple[int, int]:
     return int(a.astype(np.int64)), int(b.astype(np.int64))
 
 
+def mark(shingle_set: np.ndarray) -> np.ndarray:
+    """Bitmap of a set; a bit that only one of two sets has shows an element that the other lacks."""
+    bits = np.zeros(64 * WORDS, np.uint8)
+    bits[((shingle_set >> U(20)) % U(64 * WORDS)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingles(word_hashes((text or "").encode("utf-8", "surrogatepass"))))
 
@@ -62,8 +71,8 @@ def _signatures(batches):
         ids, rows = batch.column(0), []
         for text in batch.column(1):
             s = shingle_set(text.as_py())
-            rows.append((len(s), *(_digest(s) if len(s) else (0, 0)), bands(s).view(np.int64) if len(s) else None))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "bands"])
+            rows.append((len(s), *(_digest(s) if len(s) else (0, 0)), bands(s).view(np.int64) if len(s) else None, mark(s)))
+        yield pa.RecordBatch.from_arrays([ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), *[pa.array([r[k] for r in rows], pa.list_(pa.int64())) for k in (3, 4)]], ["id", "n", "d1", "d2", "bands", "mark"])
 
 
 def _sets(batches):
@@ -72,54 +81,68 @@ def _sets(batches):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity, decided on integers."""
+    """The ``pairs`` (a, b, ...) whose full sets reach the similarity, decided on integers."""
     left, right = sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select(*pairs.columns)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Rows (id_col, n_shingles, component_id, kept) by Jaccard similarity of 5-word shingle sets.
 
-    Equal sets fold into their smallest id first. Each band bucket then picks hubs in a pseudo-random order that differs by
-    band, and every other member is compared with the hub: edges grow with the members, not with their square. Links are
-    decided on the full sets. Buckets that still hold more than one component go on: pairs across components
-    that no hub has tested are tested too, at once where they are few against the bucket entries, else by the next 2, 4, 8
-    ... hubs first. No pair of a bucket that could still join two components stays untested.
+    Equal sets fold into their smallest id first. The hub of a band bucket is the member whose buckets are the fullest, so
+    the middle of a group of copies; every other member is compared with it: edges grow with the members, not with their
+    square. Links are decided on the full sets. Buckets that still hold more than one component go on: all pairs across
+    components whose marks leave the similarity possible are compared too, after the next 2, 4, 8 ... hubs where they are
+    many against the bucket entries. The bound by marks is exact, so no link of a bucket that could still join two
+    components is lost.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    signed = materialize(docs.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, bands array<long>"))
+    signed = materialize(docs.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, bands array<long>, mark array<long>"))
     ids = signed.groupBy("id").agg(F.max("n").alias("n"), F.max_by(F.struct("d1", "d2"), "n").alias("d"))
-    reps = signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"))
+    reps = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands"), F.first("mark").alias("mark")))
     places = reps.select("rep", "n", F.explode("bands").alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").drop("m")
-    members = materialize(places.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "n", F.xxhash64("rep", "bucket").alias("turn")))
+    shared = places.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    turn = -F.sum("m").over(Window.partitionBy("rep"))
+    members = materialize(places.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "n", turn.alias("turn")))
     wanted = members.select("id").distinct()
     sets = materialize(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s array<long>"))
+    marks = reps.select(F.col("rep").alias("id"), *[F.col("mark")[k].alias(f"w{k}") for k in range(WORDS)])
     size = members.count()
-    links, tested, alive, first = None, None, members.withColumn("c", F.col("id")), 0
-    other = F.struct("id", "n", "c")
+    tested, labels, alive, first, rest = None, None, members.withColumn("c", F.col("id")), 0, 0
     while True:
+        possible = F.lit(True)
         if first == 0:
-            hubs = alive.groupBy("bucket").agg(F.min_by(other, F.struct("turn", "id")).alias("h"))
-        elif rest <= REST * size:
-            hubs = alive.select("bucket", other.alias("h"))
+            hubs = alive.groupBy("bucket").agg(F.min_by(F.struct("id", "n", "c"), F.struct("turn", "id")).alias("h")).select("bucket", "h.*")
         else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))
-            hubs = alive.withColumn("r", rank).where((F.col("r") > first) & (F.col("r") <= 2 * first + 1)).select("bucket", other.alias("h"))
-        hubs = hubs.select("bucket", F.col("h.id").alias("h"), F.col("h.n").alias("hn"), F.col("h.c").alias("hc"))
-        close = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.col("id") != F.col("h")) & (F.col("c") != F.col("hc"))
-        pairs = alive.join(hubs, "bucket").where(close).select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct()
+            alive = alive.join(marks, "id")
+            lacks = lambda one, other: F.lit(0) + sum(F.bit_count(F.col(f"{one}{k}").bitwiseAND(F.bitwise_not(F.col(f"{other}{k}")))) for k in range(WORDS))
+            both = F.least(F.col("n") - lacks("w", "hw"), F.col("hn") - lacks("hw", "w"))
+            possible = 100 * both >= percent * (F.col("n") + F.col("hn") - both)
+            hubs = alive
+            if rest > REST * size:
+                rank = F.row_number().over(Window.partitionBy("bucket").orderBy("turn", "id"))
+                hubs = alive.withColumn("r", rank).where((F.col("r") > first) & (F.col("r") <= 2 * first + 1))
+            hubs = hubs.select("bucket", "id", "n", "c", *[f"w{k}" for k in range(WORDS)])
+        hubs = hubs.select("bucket", *[F.col(x).alias(f"h{x}") for x in hubs.columns[1:]])
+        close = (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent) & (F.col("id") != F.col("hid")) & (F.col("c") != F.col("hc")) & possible
+        a_first = F.col("id") < F.col("hid")
+        pairs = alive.join(hubs, "bucket").where(close).select(F.least("id", "hid").alias("a"), F.greatest("id", "hid").alias("b"), F.when(a_first, F.col("c")).otherwise(F.col("hc")).alias("ca"), F.when(a_first, F.col("hc")).otherwise(F.col("c")).alias("cb")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, size, 100_000)
-        tested = pairs if tested is None else tested.union(pairs)
+        asked = pairs.select("a", "b")
+        tested = asked if tested is None else tested.union(asked)
         found = materialize(_verify(pairs, sets, percent), pairs.count(), 10_000)
-        links = found if links is None else links.union(found)
-        groups = materialize(components(links), size)
+        merged = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if labels is None:
+            labels = materialize(merged.withColumnRenamed("component_id", "c"), size)
+        else:
+            known = labels.union(merged.select("id", F.col("id").alias("c"))).distinct()
+            labels = materialize(known.join(merged.select(F.col("id").alias("c"), "component_id"), "c", "left").select("id", F.coalesce("component_id", "c").alias("c")), size)
         if first and rest <= REST * size:
             break
-        of = members.join(groups.withColumnRenamed("component_id", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        of = members.join(labels, "id", "left").withColumn("c", F.coalesce("c", "id"))
         first = 2 * first + 1
         mixed = of.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).where((F.col("m") > first) & (F.col("m") * F.col("m") > F.col("kk")))
         alive = materialize(of.join(mixed, "bucket"), size)
@@ -127,6 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not rest:
             break
         rest /= 2
+    groups = labels.withColumnRenamed("c", "component_id")
     whole = reps.join(groups, reps.rep == groups.id, "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
     out = ids.select("id", "n", "d.d1", "d.d2").join(whole, ["d1", "d2"], "left")
     comp = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
