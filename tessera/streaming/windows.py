@@ -11,10 +11,11 @@ def windowed_counts(events: DataFrame, key: str, ts: str, width: str, limit: int
 
     On a stream the state of a window ends ``delay`` after its end; None keeps the watermark that the stream has.
     """
-    events = events.withColumn("_ts", F.col(ts).cast("timestamp"))
+    if not events.schema[ts].dataType.typeName().startswith("timestamp"):
+        events = events.withColumn(ts, F.col(ts).cast("timestamp"))  # a cast would lose the watermark of a time column
     if events.isStreaming and delay:
-        events = events.withWatermark("_ts", delay)
-    g = events.groupBy(key, F.window("_ts", width).alias("w")).agg(F.count("*").alias("n"))
+        events = events.withWatermark(ts, delay)
+    g = events.groupBy(key, F.window(ts, width).alias("w")).agg(F.count("*").alias("n"))
     return g.select(key, F.col("w.start").alias("window_start"), "n", (F.col("n") > limit).alias("rejected"))
 
 
