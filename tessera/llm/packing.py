@@ -8,6 +8,7 @@ ordered by hash and id; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import re
 import zlib
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 CAPACITY = 2048
-#: Words that a task remembers the ids of.
-CACHE = 400_000
+#: Words that a worker remembers the ids of, twice at most: those met since the last turn and those of the turn before.
+CACHE = 150_000
 _ODD = re.compile("[\x1c-\x1f]")
 
 
@@ -36,17 +37,20 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # words that have not come again since are forgotten next
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if len(self.known) > CACHE:
+            self.old, self.known = self.known, {}
         words = [None if _ODD.search(t) else t.split() for t in texts]
-        new = list({w for ws in words if ws for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = list({w for ws in words if ws for w in ws})
+        missing = set().union(*filter(None, words)).difference(self.known)
+        back = missing.intersection(self.old)
+        new = list(missing - back)
+        self.known.update((w, self.old[w]) for w in back)
         self.known.update(zip(new, self._encode(new), strict=True))
         get = self.known.__getitem__
         return [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
@@ -61,6 +65,7 @@ def _encoder(path: str) -> WordEncoder:
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches):
         encode, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        gc.disable()  # nothing here makes cycles, and each pass would walk all remembered words
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for at in range(0, len(texts), 200):
