@@ -21,6 +21,8 @@ _SHIFT = U(64 - BINS.bit_length() + 1)
 _EDGES = np.append(np.arange(BINS, dtype=np.uint64) << _SHIFT, U(0xFFFFFFFFFFFFFFFF))
 #: Untested pairs left, as a multiple of the bucket entries, up to which they all meet the bound at once.
 REST = 256
+#: Ids of candidates up to which they go to the texts; beyond it the texts are dealt by id.
+BROADCAST_IDS = 4_000_000
 #: 64-bit words of a set's mark, the bitmap that bounds intersections from above.
 WORDS = 16
 #: Bin that an empty bin borrows from, by attempt: the universal hash of the optimal densification.
@@ -105,7 +107,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = places.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     turn = -F.sum("m").over(Window.partitionBy("rep"))
     members = materialize(places.join(shared, "bucket").select("bucket", F.col("rep").alias("id"), "n", turn.alias("turn")))
-    wanted = members.select("id").distinct()
+    wanted = materialize(members.select("id").distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     sets = materialize(docs.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, "id long, s array<long>"))
     marks = reps.select(F.col("rep").alias("id"), *[F.col("mark")[k].alias(f"w{k}") for k in range(WORDS)])
     size = members.count()
