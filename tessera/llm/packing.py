@@ -23,35 +23,67 @@ from tessera.llm.common import materialize
 
 CAPACITY = 2048
 #: Words that a worker remembers the ids of, twice at most: those met since the last turn and those of the turn before.
-CACHE = 150_000
+CACHE = 300_000
+#: Texts of these characters alone are split here as the tokenizer splits them; others go to it by words.
+_PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]*")
+_LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_DIGITS}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizer that never joins across white space, remembering the words it has met."""
+    """Ids of whole texts by a tokenizer that never joins across white space, remembering the words it has met.
+
+    Words of plain characters are lower-cased and, when new, cut into the runs that the tokenizer itself cuts, so that case
+    and punctuation make no new runs; new runs are encoded together and told apart by their last ids, which end a word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.runs = Tokenizer(self.tokenizer.model)
+        self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # words that have not come again since are forgotten next
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(runs), 1000):
+            some = runs[at : at + 1000]
+            ids = np.array(self.runs.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return out
+
+    def _learn(self, words: set[str], encode) -> None:
+        missing = words.difference(self.known)
+        back = {w: self.old[w] for w in missing if w in self.old}
+        self.known.update(back)
+        new = list(missing.difference(back))
+        self.known.update(zip(new, encode(new), strict=True))
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        runs = [_PIECE.findall(w) for w in words]
+        self._learn(set().union(*runs), self._encode_runs)
+        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        words = [None if _ODD.search(t) else t.split() for t in texts]
-        missing = set().union(*filter(None, words)).difference(self.known)
-        back = missing.intersection(self.old)
-        new = list(missing - back)
-        self.known.update((w, self.old[w]) for w in back)
-        self.known.update(zip(new, self._encode(new), strict=True))
+        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
+        words = [t.lower().split() if p else None if _ODD.search(t) else t.split() for t, p in zip(texts, plain, strict=True)]
+        for kind, encode in ((True, self._encode_plain), (False, self._encode)):
+            self._learn(set().union(*[ws for ws, p in zip(words, plain, strict=True) if ws and p is kind]), encode)
         get = self.known.__getitem__
         return [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
 
@@ -68,9 +100,9 @@ def _pieces(path: str, capacity: int, end_id: int):
         gc.disable()  # nothing here makes cycles, and each pass would walk all remembered words
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for at in range(0, len(texts), 200):
+            for at in range(0, len(texts), 500):
                 rows = []
-                for i, data in zip(ids[at : at + 200], encode(texts[at : at + 200]), strict=True):
+                for i, data in zip(ids[at : at + 500], encode(texts[at : at + 500]), strict=True):
                     data += end
                     for k, s in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[s : s + 4 * capacity]

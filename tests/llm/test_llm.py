@@ -226,3 +226,17 @@ def test_empty_tables(spark, empty):
     assert chatformat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert htmltext.extract_text(pages, htmltext.learn_weights(pages)).count() == 0
+
+
+def test_word_encoder_agrees_with_the_tokenizer(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE", 500)  # so that words are forgotten and met again
+    encode = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = [chr(c) for c in range(0x2100) if packing._PLAIN.fullmatch(chr(c))]
+    cases = [f"{a}{c}{b}" for c in plain for a, b in (("", ""), ("a", "b"), ("1", "2"), ("!", "'s"), (c, f" {c}"), ("'", ""), ("A", "́"))]
+    rnd = random.Random(2)
+    cases += ["".join(rnd.choices(plain + list(" 'stremvld<|endoftext|>\n") * 6 + ["\x1c", "İ", "中"], k=rnd.randint(1, 25))) for _ in range(3000)]
+    cases += ["<|endoftext|> x <|startoftext|>", "don't won'T I'LL we'Re 'S", "", " \n\t", "Ab\x1ccd"]
+    for at in range(0, len(cases), 300):
+        assert encode(cases[at : at + 300]) == encode._encode(cases[at : at + 300])
