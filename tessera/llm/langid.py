@@ -14,9 +14,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 PROFILE = 300
 #: Expected labelled rows a language in the training sample (all of them where there are fewer).
 SAMPLE_PER_LANGUAGE = 2000
+#: Distinct labels up to which their counts go to the texts.
+BROADCAST_LANGUAGES = 100_000
 _SHARPNESS = 20.0
 
 
@@ -57,7 +61,9 @@ def _count(batches):
 def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, list[int]]:
     """{language: its 300 most frequent n-grams}, from a hash sample of about ``sample_per_language`` rows a language."""
     docs = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = materialize(docs.groupBy("lang").agg(F.count("*").alias("rows")))
+    if sizes.count() <= BROADCAST_LANGUAGES:
+        sizes = F.broadcast(sizes)  # the texts of a large language then stay where they are
     share = F.lit(float(sample_per_language)) / F.col("rows")
     sample = docs.join(sizes, "lang").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
     counts = sample.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
