@@ -88,7 +88,8 @@ def components(edges: DataFrame) -> DataFrame:
         now = materialize(small(large(now).coalesce(max(12, rows // 250_000))), rows)
         release(*[last] * (last is not None))
         last = now
-        if now.join(now.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty():
-            break  # no centre is a leaf: all trees are stars
+        ends = now.select("a", F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(now.select("b", F.lit(0), F.lit(1)))
+        if ends.groupBy("a").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf + centre > 1").isEmpty():
+            break  # no leaf has two centres and no centre is a leaf: the edges are disjoint stars
     star = now.groupBy("a").agg(F.min("b").alias("c"))
     return star.select(F.col("a").alias("id"), F.col("c").alias("component_id")).union(star.select(F.col("c").alias("id"), F.col("c").alias("component_id"))).distinct()

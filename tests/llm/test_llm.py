@@ -240,3 +240,28 @@ def test_word_encoder_agrees_with_the_tokenizer(monkeypatch):
     cases += ["<|endoftext|> x <|startoftext|>", "don't won'T I'LL we'Re 'S", "", " \n\t", "Ab\x1ccd"]
     for at in range(0, len(cases), 300):
         assert encode(cases[at : at + 300]) == encode._encode(cases[at : at + 300])
+
+
+def test_components_of_chains_and_zigzags(spark):
+    from tessera.llm.common import components
+
+    rnd = random.Random(7)
+    edges = [(1, 5), (5, 3), (3, 6), (6, 2)]
+    for k in range(1, 60):
+        ids = rnd.sample(range(100 * k, 100 * k + 100), rnd.randint(2, 9))
+        edges += [rnd.choice([(a, b), (b, a)]) for a, b in zip(ids, ids[1:], strict=False)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    for part in (edges[:4], edges):
+        got = components(spark.createDataFrame(part, "a long, b long")).collect()
+        nodes = {x for e in part for x in e}
+        assert len(got) == len(nodes)
+        assert {r.id: r.component_id for r in got} == {x: find(x) for x in nodes}
