@@ -3,10 +3,11 @@
 Tokens are runs of letters or digits. A template window is 13 tokens (a whole item, where it is shorter, from 5 on) in which
 numbers, units after numbers and, in a second family, capitalised words are placeholders. A document window matches an item
 window when their hashes are equal and their slots are filled consistently: equal slots on one side are equal on the other.
-Windows with few literal words are not used.
+A window with too few literal words for placeholders is compared as it is, token by token. An item without any placeholder
+window of a family has its whole length as one, from three literal words on (from 13 tokens on, where names are slots).
 
-Handling of odd input: null and empty texts and items match nothing; items under 5 tokens are not used; very long texts are
-read whole; repeated items count once by id; repeated documents each get a row; rows with a null id are left out; empty
+Handling of odd input: null and empty texts and items match nothing; an item under 5 tokens matches only the documents whose
+tokens are just its own; very long texts are read whole; repeated items count once by id; repeated documents each get a row; rows with a null id are left out; empty
 tables give no match; extra columns are ignored.
 """
 
@@ -21,6 +22,10 @@ from tessera.llm.common import materialize
 from tessera.llm.hashing import CHUNK, U, mix, prefix, rolling, windows
 
 WINDOW, SHORTEST, LITERALS = 13, 5, 0.6
+#: Literal words of a whole item that is used as one window: what the shortest placeholder window needs.
+LEAST = 3
+#: Kinds of windows: placeholders for numbers and units, for names too, no placeholders, all of a short text.
+NUMBERS, NAMES, VERBATIM, SHORT = range(4)
 #: Item windows up to which the match is a lookup in a broadcast array; beyond it all windows are hash-joined.
 BROADCAST_WINDOWS = 4_000_000
 UNITS = "mm cm dm m km inch inches foot feet yard yards mile miles mg g kg t ton tons ounce ounces pound pounds ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros mph kmh km2 m2 degree degrees"
@@ -86,43 +91,55 @@ def _pattern(literal: np.ndarray, surface: np.ndarray) -> int:
     return int(h.view(np.int64)[0])
 
 
-def _hits(text: str | None, widths: list[int], wanted: np.ndarray | None):
-    """(window hash, slot pattern) of each usable window, or only of those in ``wanted``."""
+def _hits(text: str | None, kinds: list[tuple[int, int, bool]], wanted: np.ndarray | None):
+    """(window hash, slot pattern, kind) of each usable window of the (family, width, whole) ``kinds``, or only of those in ``wanted``."""
     families, surface = templates(text)
+    families = [*families, (surface, np.ones(len(surface), bool))]
+    if len(surface) < SHORTEST:  # nothing but an equal text is its match
+        kinds = [(SHORT, len(surface), True)] if len(surface) else []
     out = []
-    for family, (template, literal) in enumerate(families):
-        total = np.concatenate([[0], np.cumsum(literal)])
-        for w in widths:
-            if len(template) < w:
-                continue
-            h = rolling(template, w) + U(family * 1000 + w)
-            ok = total[w:] - total[:-w] >= LITERALS * w
-            if wanted is not None and len(wanted):
-                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-                ok &= wanted[at] == h
-            for i in np.flatnonzero(ok):
-                out.append((int(h[i : i + 1].view(np.int64)[0]), _pattern(literal[i : i + w], surface[i : i + w]), family, int(i)))
+    for family, w, whole in kinds:
+        template, literal = families[min(family, VERBATIM)]
+        if len(template) < w or (family == SHORT) != (len(template) < SHORTEST):
+            continue
+        h = rolling(template, w) + U(family * 1000) + U(w)
+        total = np.concatenate([[0], np.cumsum(families[NUMBERS][1] if family == VERBATIM else literal)])
+        count = total[w:] - total[:-w]
+        ok = count < LITERALS * w if family == VERBATIM else count >= (min(LEAST, w) if whole else LITERALS * w) if family != SHORT else np.ones(1, bool)
+        if wanted is not None and len(wanted):
+            at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+            ok &= wanted[at] == h
+        for i in np.flatnonzero(ok):
+            out.append((int(h[i : i + 1].view(np.int64)[0]), _pattern(literal[i : i + w], surface[i : i + w]), (family, w, whole)))
     return out
 
 
+def _item_hits(text: str | None):
+    n = len(templates(text)[1])
+    w = min(WINDOW, n)
+    hits = _hits(text, [(f, w, False) for f in (NUMBERS, NAMES, VERBATIM)], None)
+    for family, shortest in ((NUMBERS, SHORTEST), (NAMES, WINDOW)):
+        if n >= shortest and not any(kind[0] == family for _, _, kind in hits):
+            hits += _hits(text, [(family, n, True)], None)
+    return hits
+
+
 def _item_windows(batches):
     for batch in batches:
         rows = []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            n = len(templates(text.as_py())[1])
-            if n >= SHORTEST:
-                w = min(WINDOW, n)
-                rows += [(i, w, h, p) for h, p, _, _ in _hits(text.as_py(), [w], None)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["item", "w", "h", "p"])
+            rows += [(i, *kind, h, p) for h, p, kind in _item_hits(text.as_py())]
+        types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["item", "family", "w", "whole", "h", "p"])
 
 
-def _doc_windows(widths: list[int], shared):
+def _doc_windows(kinds: list[tuple[int, int, bool]], shared):
     def run(batches):
         wanted = None if shared is None else shared.value
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(i, h, p) for h, p in {(h, p) for h, p, _, _ in _hits(text.as_py(), widths, wanted)}]
+                rows += [(i, h, p) for h, p in {(h, p) for h, p, _ in _hits(text.as_py(), kinds, wanted)}]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["id", "h", "p"])
 
     return run
@@ -132,15 +149,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Rows (id_col, item_ids, n_windows), one a document that holds a window of an item."""
     spark = docs.sparkSession
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).where("item is not null")
-    known = materialize(items.mapInArrow(_item_windows, "item long, w int, h long, p long").distinct())
-    widths = sorted(r[0] for r in known.select("w").distinct().collect())
+    known = materialize(items.mapInArrow(_item_windows, "item long, family int, w int, whole boolean, h long, p long").distinct())
+    kinds = sorted(tuple(r) for r in known.select("family", "w", "whole").distinct().collect())
     keys = known.select("h").distinct()
     shared = None
     if keys.count() <= BROADCAST_WINDOWS:
         shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64)))
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    if not widths:
+    if not kinds:
         return docs.where("false").select(F.col("id").alias(id_col), F.lit(None).cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("n_windows"))
-    found = docs.mapInArrow(_doc_windows(widths, shared), "id long, h long, p long")
-    hits = found.join(known.select("item", "h", "p"), ["h", "p"])
+    found = docs.mapInArrow(_doc_windows(kinds, shared), "id long, h long, p long")
+    hits = found.join(known.select("item", "h", "p").distinct(), ["h", "p"])
     return hits.groupBy("id").agg(F.array_sort(F.collect_set("item")).alias("item_ids"), F.countDistinct("h").alias("n_windows")).withColumnRenamed("id", id_col)

@@ -265,3 +265,17 @@ def test_components_of_chains_and_zigzags(spark):
         nodes = {x for e in part for x in e}
         assert len(got) == len(nodes)
         assert {r.id: r.component_id for r in got} == {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 0])
+def test_decontamination_of_items_full_of_numbers_and_names(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    train = "A train travels 60 km in 2 hours and 90 km in 3 hours. Speed?"
+    names = "Tom Anna Bob Eve Jim Sue Ann Max Leo Kim Joe Lee Amy Ben Zoe went home"
+    sums = "12 + 30 = 42 and 5 + 6 = 11 so 12 x 6 = 72 or 5 x 42 = 210 or 30 x 11"
+    plain = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 3)}" for i in range(40))
+    items = spark.createDataFrame(list(enumerate([train, names, sums, "Why so", "1 2 3 4 5"])), "item_id long, text string")
+    docs = [f"{plain} {x} {plain}" for x in (train, train.replace("60", "45").replace("90", "80"), names, sums, sums.replace("30", "31"), "Why so", train.replace("60", "2"))]
+    docs += ["why so?", "why not", "6 7 8 9 10", "1 2 3 4 5", "60 km in 2 hours and 90 km in 3 hours", plain]
+    got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()}
+    assert got == {0: [0], 1: [0], 2: [1], 3: [2], 4: [2], 7: [3], 10: [4]}
