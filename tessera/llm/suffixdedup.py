@@ -13,8 +13,8 @@ Each step folds repeats inside the map task before the shuffle, so one string ad
 documents share it. Ranks are 64-bit hash names rather than ordinals: equality is all that a depth-limited pass needs.
 
 Handling of odd input: a null or empty text has no bytes and loses none; texts under 100 bytes lose none; very long texts
-are hashed in overlapping pieces and joined whole; rows with a null id are left out; a repeated row of one id counts as one
-document; an empty table gives an empty result; extra columns are ignored.
+are hashed in overlapping pieces and joined whole; rows with a null id are left out; the rows of one id count as one
+document, with the smallest of their texts; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -204,6 +204,11 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The texts are dealt by id once, for the positions and for the cut; all else that moves are ranks and places.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    again = docs.groupBy("id").count().where("count > 1").select("id")
+    if not again.isEmpty():
+        again = materialize(again)
+        once = materialize(docs.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+        docs = docs.join(again, "id", "left_anti").union(once)
     sampled = docs.mapInArrow(_sample, _SCHEMA)
     found = materialize(sampled.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare, _SCHEMA).select(F.col("doc").alias("id"), "first", "last", "kind"))
     spread = docs.repartition("id").dropDuplicates(["id"])

@@ -279,3 +279,11 @@ def test_decontamination_of_items_full_of_numbers_and_names(spark, monkeypatch,
     docs += ["why so?", "why not", "6 7 8 9 10", "1 2 3 4 5", "60 km in 2 hours and 90 km in 3 hours", plain]
     got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()}
     assert got == {0: [0], 1: [0], 2: [1], 3: [2], 4: [2], 7: [3], 10: [4]}
+
+
+def test_suffix_of_repeated_rows(spark):
+    rnd = random.Random(11)
+    a, b, c = ("".join(rnd.choices("abcdefghij ", k=400)) for _ in range(3))
+    rows = [(1, a), (1, a), (2, b + a[:150]), (3, c), (3, c), (3, None), (4, "z" + b), (4, b), (5, None), (5, None)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffixdedup.repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == {1: (400, 0), 2: (550, 150), 3: (400, 0), 4: (400, 400), 5: (0, 0)}
