@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import filters as P
+from tessera.operators.contexts import match_contexts
 from tessera.operators.windows import greedy_fill, latest_by, stack_periods
 from tessera.plans.base import query
 from tessera.sources.jsonl import split_records, validate_records
@@ -262,6 +263,23 @@ def j14_fuzzy_context(t):
     return a.join(b, ["conv_id", "h", "z"]).where("turn < reply").select("conv_id", "turn", "reply")
 
 
+@query(r"""WITH n AS (SELECT conv_id, turn, lag(text) OVER w AS before, lead(text) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+s AS (SELECT conv_id, turn, turn % 3 AS m, regexp_replace(lower(nfc_normalize(coalesce(before, ''))), '[\s\x0B\x1C-\x1F\x85\p{Z}]+', '', 'g') AS b, regexp_replace(lower(nfc_normalize(coalesce(after, ''))), '[\s\x0B\x1C-\x1F\x85\p{Z}]+', '', 'g') AS a FROM n),
+p AS (SELECT conv_id, turn, right(b, 16) AS pa, left(a, 16) AS pb FROM s),
+l AS (SELECT conv_id, turn, right(b, 16) AS da, CASE WHEN m = 0 THEN 'câu' || turn || ':' || a ELSE a END AS t FROM s),
+d AS (SELECT conv_id, turn, da, unnest([left(t, 16), left(regexp_replace(t, '^(?:câu|question|bài)?\p{Nd}{1,3}[.:)]', ''), 16)]) AS db FROM l)
+SELECT DISTINCT p.conv_id, p.turn AS place, d.turn AS drawing FROM p JOIN d ON p.conv_id = d.conv_id
+ AND right(pa, least(length(pa), length(da))) = right(da, least(length(pa), length(da)))
+ AND left(pb, least(length(pb), length(db))) = left(db, least(length(pb), length(db)))
+ AND greatest(least(length(pa), length(da)), least(length(pb), length(db))) >= 8""")
+def j14_context_match(t):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    near = t.conversations.select("conv_id", "turn", F.lag("text").over(w).alias("before"), F.lead("text").over(w).alias("after"))
+    labelled = F.when(c("turn") % 3 == 0, F.concat(F.lit("Câu "), "turn", F.lit(": "), F.coalesce("after", F.lit("")))).otherwise(c("after"))
+    drawings = near.select("conv_id", c("turn").alias("drawing"), "before", labelled.alias("after"))
+    return match_contexts(near.withColumnRenamed("turn", "place"), drawings, "conv_id")
+
+
 @query("SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 def a1_count_by_key(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"))

@@ -120,3 +120,32 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = {tuple(r) for r in windowed_counts(src, "user_id", "ts", "1 day", 5).collect()}
     got = {tuple(r) for r in spark.table("w").collect()}
     assert got and got <= batch
+
+
+def test_match_contexts_agrees_with_the_pairwise_rule(spark):
+    import random
+    import re
+    import unicodedata
+
+    from tessera.operators.contexts import match_contexts
+
+    rnd = random.Random(3)
+    norm = lambda s: re.sub(r"\s+", "", unicodedata.normalize("NFC", s or "")).lower()
+    label = re.compile(r"^(?:câu|question|bài)?\d{1,3}[.:)]")
+    ends = [None, "", " ", "abc", "x Abcdefg", "Abcdefgh", "zz yy abcdefgh", "tail of the Text abcdefgh", "Cau\u0302 hỏi nào đó", "Câu hỏi\u00a0nào đó"]
+    starts = [None, "", "abc", "Abcdefgh", "abcdefgi", "abc defgh and so on and on", "Câu 12: abcdefgh and so", "7) abcdefgh", "abcdefgh\x1cand so on"]
+    make = lambda n: [(i % 3, i, rnd.choice(ends), rnd.choice(starts)) for i in range(n)]
+    places, drawings = make(60), make(60)
+
+    def agree(p, d):
+        a, b, da = norm(p[2])[-16:], norm(p[3])[:16], norm(d[2])[-16:]
+        for db in (norm(d[3])[:16], label.sub("", norm(d[3]), count=1)[:16]):
+            m, n = min(len(a), len(da)), min(len(b), len(db))
+            if a[len(a) - m :] == da[len(da) - m :] and b[:n] == db[:n] and max(m, n) >= 8:
+                return True
+        return False
+
+    want = {(p[0], p[1], d[1]) for p in places for d in drawings if p[0] == d[0] and agree(p, d)}
+    frame = lambda rows, name: spark.createDataFrame(rows, f"doc_id long, {name} long, before string, after string")
+    got = [tuple(r) for r in match_contexts(frame(places, "place"), frame(drawings, "drawing")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
