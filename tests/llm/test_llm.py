@@ -113,9 +113,9 @@ def test_packing_plan():
         plan = packing.plan(counts, 100)
         used = {}
         for times, items in plan:
-            assert sum(items) <= 100
-            for n in items:
-                used[n] = used.get(n, 0) + times
+            assert sum(n * copies for n, copies in items) <= 100
+            for n, copies in items:
+                used[n] = used.get(n, 0) + times * copies
         assert used == counts
         assert sum(t for t, _ in plan) <= packing.lower_bound(counts, 100) + 1
 
@@ -127,7 +127,6 @@ def test_packing(docs):
     rows, df = docs
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = {}
     for i, t, *_ in rows:
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -145,6 +144,64 @@ def test_packing(docs):
         assert at <= 64
 
 
+@pytest.mark.parametrize("counts", [{1: 3000}, {2: 3000, 1000: 50}, {}, {2048: 5, 1: 1}])
+def test_packing_plan_of_many_small_pieces(counts):
+    plan = packing.plan(counts, 2048)
+    used = {}
+    for times, items in plan:
+        for n, copies in items:
+            used[n] = used.get(n, 0) + times * copies
+    assert used == counts and sum(t for t, _ in plan) == packing.lower_bound(counts, 2048)
+
+
+def test_packing_plan_is_the_least_on_small_cases():
+    rnd = random.Random(8)
+
+    def least(items, capacity):
+        best = len(items)
+
+        def go(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + items[i] <= capacity and bins[j] not in bins[:j]:
+                    go(i + 1, [*bins[:j], bins[j] + items[i], *bins[j + 1 :]])
+            go(i + 1, [*bins, items[i]])
+
+        go(0, [])
+        return best
+
+    for _ in range(60):
+        items = sorted((rnd.randint(3, 30) for _ in range(9)), reverse=True)
+        counts = {n: items.count(n) for n in items}
+        assert sum(t for t, _ in packing.plan(counts, 50)) == least(items, 50) >= packing.lower_bound(counts, 50)
+
+
+def test_dominated_fillings():
+    spare = lambda *ns: sum(1 << n for n in ns)
+    assert packing.dominated([(5, 1), (3, 1)], 0, spare(8))
+    assert packing.dominated([(5, 1)], 2, spare(7)) and packing.dominated([(5, 1)], 2, spare(1))
+    assert not packing.dominated([(5, 1)], 2, spare(8, 4)) and not packing.dominated([(5, 1), (3, 1)], 0, spare(4, 6))
+
+
+def test_packing_of_empty_texts_and_control_strings(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.range(5000).selectExpr("id AS doc_id", "CASE WHEN id % 2 = 0 THEN '' END AS text", "'x' AS sequence_id", "1 AS length")
+    got = packing.pack(df, path).collect()
+    assert len(got) == 5000 and len({r.sequence_id for r in got}) == 3 and len({(r.sequence_id, r.offset) for r in got}) == 5000
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y", "plain A<|ENDOFTEXT|>"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)) * 2, "doc_id long, text string"), path).collect()
+    ids = [[*e.ids, 0] for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in rows) == sorted([(i, len(x), packing.zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)] * 2)
+
+
 @pytest.mark.parametrize("rule", ["first", "last", "most"])
 def test_token_counts(docs, rule):
     import public_tokenizers
