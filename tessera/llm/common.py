@@ -13,9 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a default of our own only where none is set (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    """The cluster's shared checkpoint folder. A local folder stands in for it only where all runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/checkpoints"
+    return folder.rstrip("/")
 
 
 _scratch: list[str] = []
@@ -44,7 +52,12 @@ def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000)
     if rows is not None:
         df = df.coalesce(max(12, rows // per_task))
     path = f"{_shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")  # once the rows are written nobody reads the shuffles behind them
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _scratch.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
@@ -60,8 +73,24 @@ def release(*frames: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
-def mix64(c: Column, salt: int = 0) -> Column:
-    return F.xxhash64(c, F.lit(salt))
+#: Ids up to which a list of them is sent to the rows; beyond it both sides are shuffled.
+BROADCAST_IDS = 4_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows of ``ids``, which keep their place where the ids are few enough to go to them."""
+    ids = materialize(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """``docs`` (id, text) with one row an id, that of its smallest text; only the rows of ids that repeat move."""
+    again = materialize(docs.groupBy("id").count().where("count > 1").select("id"))
+    if again.isEmpty():
+        release(again)
+        return docs
+    once = materialize(docs.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    return docs.join(again, "id", "left_anti").union(once)
 
 
 def components(edges: DataFrame) -> DataFrame:

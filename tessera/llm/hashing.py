@@ -8,6 +8,7 @@ import xxhash
 U = np.uint64
 CHUNK = 1 << 20
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+_ROW_BYTE = np.random.default_rng(20240608).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LIMIT = CHUNK + 1024
@@ -40,6 +41,14 @@ def windows(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((p[stop] - p[start]) * _INV[start])
 
 
+def row_hashes(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """A hash of each row of a byte matrix; the salts 0 and 1 give two that have nothing in common."""
+    h = np.zeros(len(x), np.uint64)
+    for j in range(x.shape[1]):
+        h += _ROW_BYTE[salt][x[:, j]] * _POW[j]
+    return mix(h)
+
+
 def all_windows(p: np.ndarray, k: int) -> np.ndarray:
     n = len(p) - k
     return mix((p[k:] - p[:n]) * _INV[:n])
