@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, release
 
 SEGMENT_BITS = 1 << 20
 BITS_PER_LINE = 16
 #: Bound on the filter that is sent to the executors. Beyond it only false suspects grow, never the result.
 MAX_FILTER_MB = 32
+#: Repeated keys up to which they go to the texts (24 bytes each); beyond it the texts are joined to their drops.
+BROADCAST_KEYS = 2_000_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -118,7 +120,7 @@ def _suspects(filters, segments: int, min_chars: int):
                 hit = ((table[seg, b1 >> 3] >> (7 - (b1 & 7))) & (table[seg, b2 >> 3] >> (7 - (b2 & 7))) & 1).astype(bool)
                 for k in np.flatnonzero(hit):
                     ids.append(i)
-                    high.append((full[k] >> 64) - (1 << 64 if full[k] >> 127 else 0))
+                    high.append(_halves(full[k])[0])
                 low.append(h[hit])
             lows = np.concatenate(low).view(np.int64) if low else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(high, pa.int64()), pa.array(lows)], ["id", "h1", "h2"])
@@ -126,17 +128,36 @@ def _suspects(filters, segments: int, min_chars: int):
     return run
 
 
-def _drop(min_chars: int):
+def _halves(h: int) -> tuple[int, int]:
+    """A 128-bit hash as two signed longs."""
+    high, low = h >> 64, h & 0xFFFFFFFFFFFFFFFF
+    return high - (high >> 63 << 64), low - (low >> 63 << 64)
+
+
+def _drop(min_chars: int, keepers=None):
+    """Texts without the lines that are dropped: those of ``keepers`` (keys and who keeps each) or of the column of drops."""
+
     def run(batches):
+        table = None if keepers is None else keepers.value
         for batch in batches:
             texts, lines, dropped = [], [], []
-            for text, drops in zip(batch.column(1), batch.column(2), strict=True):
-                text, drops = text.as_py() or "", drops.as_py()
+            for i, text, drops in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                text = text.as_py() or ""
                 rows = text.split("\n")
                 lines.append(len(rows))
-                if drops:
-                    gone = {d & 0xFFFFFFFFFFFFFFFF for d in drops}
-                    kept = [r for r in rows if (k := line_key(r, min_chars)) is None or (xxhash.xxh3_128_intdigest(k) & 0xFFFFFFFFFFFFFFFF) not in gone]
+                gone = set()
+                if drops.is_valid:
+                    gone = {(d["h1"], d["h2"]) for d in drops.as_py()}
+                    keys = [(k := line_key(r, min_chars)) and _halves(xxhash.xxh3_128_intdigest(k)) for r in rows] if gone else []
+                elif table is not None and i is not None and len(text) >= min_chars:
+                    keys = [(k := line_key(r, min_chars)) and _halves(xxhash.xxh3_128_intdigest(k)) for r in rows]
+                    asked = list({k for k in keys if k is not None})
+                    if asked and len(table[1]):
+                        h1, h2 = (np.array(x, np.int64) for x in zip(*asked, strict=True))
+                        at = np.minimum(np.searchsorted(table[1], h2), len(table[1]) - 1)
+                        gone = {asked[j] for j in np.flatnonzero((table[1][at] == h2) & (table[0][at] == h1) & (table[2][at] != i))}
+                if gone:
+                    kept = [r for r, k in zip(rows, keys, strict=True) if k not in gone]
                     text = "\n".join(kept)
                     dropped.append(len(rows) - len(kept))
                 else:
@@ -151,7 +172,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Rows (id_col, text_col, n_lines, n_dropped, *carry): lines whose key stands in ``min_docs`` documents go.
 
     A key is the line stripped of ASCII white space and lower-cased (A-Z). All its lines go but those of the largest id
-    that holds it. The filters' size follows the number of lines, up to ``max_filter_mb``.
+    that holds it. The filters' size follows the number of lines, up to ``max_filter_mb``. The texts stay where they are: what
+    goes to them is each repeated key with the id that keeps it, up to a checked count.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"x{i}") for i, c in enumerate(carry)]).alias("rest"))
@@ -161,8 +183,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, "segment long, twice binary")
     filters = spark.sparkContext.broadcast({r[0]: bytes(r[1]) for r in merged.collect()})
     suspects = materialize(docs.select("id", "text").mapInArrow(_suspects(filters, segments, min_chars), "id long, h1 long, h2 long").distinct())
-    common = suspects.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n")
-    drops = suspects.join(common, ["h1", "h2"]).where("id <> keeper").groupBy("id").agg(F.collect_list("h2").alias("drops"))
-    out = docs.join(drops, "id", "left").select("id", "text", "drops", "rest")
-    kept = out.mapInArrow(_drop(min_chars), f"id long, text string, n_lines long, n_dropped long, rest {docs.schema['rest'].dataType.simpleString()}")
+    filters.destroy()
+    common = materialize(suspects.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).drop("n"))
+    drops_type, shared = "array<struct<h1: long, h2: long>>", None
+    # keys that share the lower half of their hash cannot be looked up by it; there are none below about 10^9 keys
+    if common.count() <= BROADCAST_KEYS and common.groupBy("h2").count().where("count > 1").isEmpty():
+        got = common.orderBy("h2").toArrow()
+        shared = spark.sparkContext.broadcast([got.column(c).to_numpy() for c in ("h1", "h2", "keeper")])
+        out = docs.select("id", "text", F.lit(None).cast(drops_type).alias("drops"), "rest")
+    else:
+        drops = suspects.join(common, ["h1", "h2"]).where("id <> keeper").groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("drops"))
+        out = docs.join(materialize(drops), "id", "left").select("id", "text", "drops", "rest")
+    release(suspects, common)
+    kept = out.mapInArrow(_drop(min_chars, shared), f"id long, text string, n_lines long, n_dropped long, rest {docs.schema['rest'].dataType.simpleString()}")
     return kept.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_lines", "n_dropped", *[F.col(f"rest.x{i}").alias(c) for i, c in enumerate(carry)])
