@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import round_even
+
 #: Credit for 0 to 4 right statements of four.
 STEP_TABLE = {0: 0.0, 1: 0.1, 2: 0.25, 3: 0.5, 4: 1.0}
 
@@ -45,7 +47,7 @@ def score(blank: Column, gradable: Column, fraction: Column, points: Column, cor
         .when(~gradable, made("ungraded", zero, zero))
         .when(blank, made("unanswered", unanswered * points, points))
         .when(fraction >= 1, made("correct", correct * points, points))
-        .when(fraction > 0, made("partial", F.round(fraction * correct * points, 6), points))
+        .when(fraction > 0, made("partial", round_even(fraction * correct * points, 6), points))
         .otherwise(made("incorrect", incorrect * points, points))
     )
 
@@ -53,7 +55,7 @@ def score(blank: Column, gradable: Column, fraction: Column, points: Column, cor
 def session_totals(items: DataFrame, session: str, scale: float | None = None) -> DataFrame:
     """One row a session from items with ``outcome, points, max_points``."""
     out = items.groupBy(session).agg(F.sum("points").alias("points"), F.sum("max_points").alias("max_points"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("correct", "partial", "incorrect", "unanswered", "ungraded")])
-    return out.withColumn("scaled", F.round(F.try_divide(F.col("points") * scale, F.col("max_points")), 4)) if scale else out
+    return out.withColumn("scaled", round_even(F.try_divide(F.col("points") * scale, F.col("max_points")), 4)) if scale else out
 
 
 def is_blank(labels: Column | None = None, text: Column | None = None, values: Column | None = None) -> Column:

@@ -100,12 +100,16 @@ def t3_idempotent_ingest(t):
     return first.select("x.event_id", "user_id", "x.value")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'late' WHEN o_orderstatus = 'P' OR o_orderdate < TIMESTAMP '1998-01-01' THEN 'matched' ELSE 'matched' END AS status FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'ignored' WHEN o_orderkey % 7 = 0 THEN 'unmatched' WHEN o_orderstatus = 'F' OR o_orderkey % 13 = 0 THEN 'late' WHEN o_orderkey % 3 = 0 THEN 'underpaid' ELSE 'matched' END AS status,
+o_orderkey % 11 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 3 <> 0 AND o_orderstatus <> 'F' AND o_orderdate < TIMESTAMP '1998-01-01' AS after_expiry FROM orders""")
 def t4_late_payments(t):
-    s = F.when(c("o_orderstatus") == "F", "paid").when(c("o_orderdate") < F.lit("1998-01-01"), "expired").otherwise("pending")
     from tessera.operators.ledger import match_status
 
-    return t.orders.select("o_orderkey", match_status(s, F.lit(1), F.lit(1), F.lit(True)).alias("status"))
+    own = F.when(c("o_orderkey") % 13 == 0, "cancelled").when(c("o_orderstatus") == "F", "paid").when(c("o_orderdate") < F.lit("1998-01-01"), "expired").otherwise("pending")
+    order = F.when(c("o_orderkey") % 7 != 0, own)
+    received = c("o_totalprice") * F.when(c("o_orderkey") % 3 == 0, 0.5).otherwise(1.0)
+    status = match_status(order, received, c("o_totalprice"), c("o_orderkey") % 11 != 0)
+    return t.orders.select("o_orderkey", status.alias("status"), F.coalesce((status == "matched") & (order == "expired"), F.lit(False)).alias("after_expiry"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_orderdate + INTERVAL 90 DAY <= TIMESTAMP '1998-01-01' THEN 'expired' ELSE o_orderstatus END AS status FROM orders")

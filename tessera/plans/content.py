@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import norm_key
 from tessera.operators import policy as P
 from tessera.operators import quality as Q
 from tessera.plans.base import query
@@ -23,27 +22,6 @@ def k6_resolution_order(t):
     return j.select("o_orderkey", F.coalesce(F.when(c("c_acctbal") > 5000, c("c_name")), "n_name", F.lit("warn")).alias("shown"))
 
 
-@query(r"""SELECT p_partkey, CASE WHEN p_type = '' THEN NULL WHEN p_size % 3 = 0 THEN 'numeric' WHEN p_size % 3 = 1 THEN 'choice' ELSE 'text' END AS kind, CASE WHEN p_size % 3 = 1 AND p_size > 40 THEN 'answer_not_in_options' END AS problem FROM part""")
-def k7_normalize_answer(t):
-    kind = F.when(c("p_type") == "", None).when(c("p_size") % 3 == 0, "numeric").when(c("p_size") % 3 == 1, "choice").otherwise("text")
-    return t.part.withColumn("kind", kind).select("p_partkey", "kind", F.when((c("kind") == "choice") & (c("p_size") > 40), "answer_not_in_options").alias("problem"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'auto' WHEN p_brand LIKE '%1' THEN 'self_check' ELSE 'none' END AS mode FROM part")
-def k9_scoring_mode(t):
-    return t.part.select("p_partkey", F.when(c("p_size") < 10, "auto").when(c("p_brand").endswith("1"), "self_check").otherwise("none").alias("mode"))
-
-
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(?i)all of the above|none of the above|both .* and'))) = 0 AS safe FROM documents")
-def k10_shuffle_safe(t):
-    return t.documents.select("doc_id", (~F.exists(F.split("text", "\n"), lambda l: l.rlike(r"(?i)all of the above|none of the above|both .* and"))).alias("safe"))
-
-
-@query(r"SELECT doc_id, regexp_matches(text, '^\s*[A-Da-d]\s*[.)]?\s*$') AS letter, len(string_split(text, chr(10))) NOT IN (1, 4) AS count_suspect FROM documents")
-def k11_suspects(t):
-    return t.documents.select("doc_id", c("text").rlike(r"^\s*[A-Da-d]\s*[.)]?\s*$").alias("letter"), (~F.size(F.split("text", "\n")).isin(1, 4)).alias("count_suspect"))
-
-
 @query("SELECT doc_id, concat_ws(',', CASE WHEN n_chars = 0 THEN 'empty' END, CASE WHEN n_chars > 10000 THEN 'long' END, CASE WHEN contains(text, '@') THEN 'mail' END) AS flags FROM documents")
 def k16_derived_flags(t):
     return t.documents.select("doc_id", F.concat_ws(",", P.queues(empty=c("n_chars") == 0, long=c("n_chars") > 10000, mail=c("text").contains("@"))).alias("flags"))
@@ -98,38 +76,28 @@ def p8_failing_parts(t):
     return t.lineitem.join(bad, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_or(c("bad").isNotNull()).alias("failing"))
 
 
-_FINDINGS = r"""SELECT doc_id, code FROM (SELECT doc_id, unnest(list_filter([CASE WHEN trim(text) = '' THEN 'empty_text' END, CASE WHEN n_chars < 40 THEN 'too_short' END, CASE WHEN contains(text, '  ') THEN 'double_space' END, CASE WHEN regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'phone_number' END, CASE WHEN contains(text, '�') THEN 'bad_character' END], lambda x: x IS NOT NULL)) AS code FROM documents)"""
-
-
-def _findings(t):
-    rules = {"empty_text": F.trim("text") == "", "too_short": c("n_chars") < 40, "double_space": c("text").contains("  "), "phone_number": c("text").rlike("[0-9]{3}-[0-9]{4}"), "bad_character": c("text").contains("�")}
-    return t.documents.select("doc_id", F.explode(P.queues(**rules)).alias("code"))
+_KEY = r"regexp_replace(lower(nfc_normalize({})), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_KEYS = f"""SELECT doc_id, CASE WHEN length(k) >= 40 THEN sha256(k || '#' || array_to_string(list_transform(ls[2:], lambda o: {_KEY.format("o")}), '|')) END AS exact_key, CASE WHEN length(k) >= 40 THEN sha256(k) END AS near_key
+FROM (SELECT doc_id, ls, {_KEY.format("ls[1]")} AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 
 
-@query(_FINDINGS)
-def q1_validators(t):
-    return _findings(t)
+def _keys(t):
+    lines = F.split("text", "\n", -1)
+    k = Q.duplicate_keys(lines[0], F.slice(lines, 2, F.size(lines)))
+    return t.documents.select("doc_id", k.alias("k")).select("doc_id", c("k.exact").alias("exact_key"), c("k.near").alias("near_key"))
 
 
-_KEY = r"regexp_replace(lower(nfc_normalize(text)), '[^\p{L}\p{N}]+', '', 'g')"
-
-
-@query(f"SELECT doc_id, sha256({_KEY} || '#' || lang) AS exact_key, CASE WHEN length({_KEY}) >= 40 THEN sha256({_KEY}) END AS near_key FROM documents")
+@query(_KEYS)
 def q2_duplicate_keys(t):
-    d = t.documents.select("doc_id", "lang", norm_key(c("text")).alias("k"))
-    return d.select("doc_id", F.sha2(F.concat_ws("#", "k", "lang"), 256).alias("exact_key"), F.when(F.length("k") >= 40, F.sha2("k", 256)).alias("near_key"))
+    return _keys(t)
 
 
-@query(f"""WITH k AS (SELECT doc_id, {_KEY} AS k FROM documents), g AS (SELECT k, list_sort(list(doc_id))[1:6] AS ids FROM k GROUP BY k HAVING count(*) > 1)
-SELECT doc_id, array_to_string(list_filter(ids, lambda x: x <> doc_id)[1:5], ',') AS partners FROM k JOIN g USING (k)""")
+@query(f"""WITH k AS ({_KEYS}), e AS (SELECT exact_key AS k, list_sort(list(doc_id)) AS ids FROM k WHERE exact_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1), n AS (SELECT near_key AS k, list_sort(list(doc_id)) AS ids FROM k WHERE near_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT doc_id, CASE WHEN e.k IS NOT NULL THEN 'exact_duplicate' ELSE 'near_duplicate' END AS code, array_to_string(list_filter(coalesce(e.ids, n.ids), lambda x: x <> doc_id)[1:5], ',') AS partners
+FROM k LEFT JOIN e ON k.exact_key = e.k LEFT JOIN n ON k.near_key = n.k WHERE coalesce(e.k, n.k) IS NOT NULL""")
 def q3_duplicate_index(t):
-    from pyspark.sql import Window
-
-    d = t.documents.select("doc_id", F.sha2(norm_key(c("text")), 256).alias("k"))
-    n = d.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    few = d.join(n, "k").withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy("doc_id"))).where("r <= 6").groupBy("k").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    others = F.slice(F.filter("ids", lambda x: x != c("doc_id")), 1, 5)
-    return d.join(few, "k").select("doc_id", F.array_join(F.transform(others, lambda x: x.cast("string")), ",").alias("partners"))
+    found = Q.duplicate_index(_keys(t), "doc_id", "exact_key", "near_key")
+    return found.select("doc_id", "code", F.array_join(F.transform("partners", lambda x: x.cast("string")), ",").alias("partners"))
 
 
 @query(f"""WITH p AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'open' WHEN 1 THEN 'dismissed' ELSE 'accepted' END AS s, CASE WHEN doc_id % 2 = 0 THEN sha256(text) ELSE 'old' END AS ph FROM documents WHERE doc_id % 5 < 3),

@@ -37,9 +37,9 @@ def r4_subscription_state(t):
 
 @query("SELECT event_id, CASE WHEN event_type = 'error' THEN 'ignored' WHEN o_orderkey IS NULL THEN 'unmatched' WHEN o_orderstatus = 'F' THEN 'late' WHEN value * 1000 < o_totalprice THEN 'underpaid' ELSE 'matched' END AS status FROM events LEFT JOIN orders ON o_orderkey = event_id * 3 AND event_id % 4 <> 0")
 def r5_payment_matching(t):
-    note = F.when(c("event_id") % 4 == 0, "no code").otherwise(F.concat(F.lit("for hsa-"), F.lpad((c("event_id") * 3).cast("string"), 8, "0")))
-    e = t.events.withColumn("code", find_code(note, "HSA", "0-9"))
-    o = t.orders.select(F.concat(F.lit("HSA"), F.lpad(c("o_orderkey").cast("string"), 8, "0")).alias("code"), "o_totalprice", F.when(c("o_orderstatus") == "F", "paid").otherwise("pending").alias("st"))
+    note = F.when(c("event_id") % 4 == 0, "no code").otherwise(F.concat(F.lit("for ref-"), F.lpad((c("event_id") * 3).cast("string"), 8, "0")))
+    e = t.events.withColumn("code", find_code(note, "REF", "0-9"))
+    o = t.orders.select(F.concat(F.lit("REF"), F.lpad(c("o_orderkey").cast("string"), 8, "0")).alias("code"), "o_totalprice", F.when(c("o_orderstatus") == "F", "paid").otherwise("pending").alias("st"))
     return e.join(o, "code", "left").select("event_id", L.match_status(c("st"), c("value") * 1000, c("o_totalprice"), c("event_type") != "error").alias("status"))
 
 

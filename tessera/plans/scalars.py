@@ -48,21 +48,33 @@ def c7_content_hash(t):
     return t.conversations.select("conv_id", "turn", F.sha2(F.to_json(F.struct("role", "text")), 256).alias("h"))
 
 
-@query("SELECT item_id, substr(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), 1, 50) AS a FROM benchmark")
+@query("SELECT doc_id, substr(trim(regexp_replace(strip_accents(replace(replace(text, 'đ', 'd'), 'Đ', 'D')), '[^A-Za-z0-9]+', ' ', 'g')), 1, 50) AS a FROM documents")
 def c8_ascii_content(t):
-    return t.benchmark.select("item_id", T.ascii_content(c("text")).alias("a"))
+    return t.documents.select("doc_id", T.ascii_content(c("text")).alias("a"))
 
 
-@query()
+def _crc_sql(text: str) -> str:
+    """CRC-16/CCITT in SQL: the register is folded over the bytes, eight shifts each."""
+    shift = "CASE WHEN {0} & 32768 <> 0 THEN xor({0} << 1, 4129) & 65535 ELSE ({0} << 1) & 65535 END"
+    step = f"list_reduce(list_prepend(xor(acc, b << 8), [0, 0, 0, 0, 0, 0, 0, 0]), lambda r, _: {shift.format('r')})"
+    return f"list_reduce(list_prepend(65535, list_transform(string_split({text}, ''), lambda ch: ord(ch))), lambda acc, b: {step})"
+
+
+_TLV = "CASE WHEN length({1}) <= 99 THEN '{0}' || lpad(length({1})::VARCHAR, 2, '0') || {1} END"
+
+
+@query(f"""SELECT o_orderkey, body || upper(lpad(to_hex({_crc_sql('body')}), 4, '0')) AS payload
+FROM (SELECT o_orderkey, {_TLV.format('00', "'01'")} || {_TLV.format('54', 'o_orderkey::VARCHAR')} || coalesce({_TLV.format('62', "repeat('x', (o_orderkey % 200)::INT)")}, '') || '6304' AS body FROM orders)""")
 def c9_tlv_crc(t):
-    body = F.concat(T.tlv("00", F.lit("01")), T.tlv("54", c("o_orderkey").cast("string")), F.lit("6304"))
+    note = F.coalesce(T.tlv("62", F.expr("repeat('x', cast(o_orderkey % 200 AS int))")), F.lit(""))
+    body = F.concat(T.tlv("00", F.lit("01")), T.tlv("54", c("o_orderkey").cast("string")), note, F.lit("6304"))
     return t.orders.select("o_orderkey", T.with_crc16(body).alias("payload"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'HSA' || lpad(o_orderkey::VARCHAR, 8, '0') END AS code FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'REF' || lpad(o_orderkey::VARCHAR, 8, '0') END AS code FROM orders")
 def c10_find_code(t):
-    text = F.concat(F.lit("pay. hsa "), F.when(c("o_orderkey") % 3 == 0, F.lit("-")).otherwise(F.lpad(c("o_orderkey").cast("string"), 8, "0")), F.lit(" thanks!"))
-    return t.orders.select("o_orderkey", T.find_code(text, "HSA", "0-9").alias("code"))
+    text = F.concat(F.lit("pay. ref "), F.when(c("o_orderkey") % 3 == 0, F.lit("-")).otherwise(F.lpad(c("o_orderkey").cast("string"), 8, "0")), F.lit(" thanks!"))
+    return t.orders.select("o_orderkey", T.find_code(text, "REF", "0-9").alias("code"))
 
 
 @query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:questions?|items?)\s+(\d+)\s*(?:-|to)\s*(\d+)', 1), '') AS low, regexp_replace(text, '(?i)\bgroup\b', '_', 'g') = text AS neutral FROM documents")
@@ -131,6 +143,7 @@ def c28_array_functions(t):
     return a.select("user_id", F.array_join("ev", ",").alias("all_types"), F.array_join(F.array_sort(F.array_except("ev", F.array(F.lit("click")))), ",").alias("rest"), F.array_join(F.array_sort(F.array_union("ev", F.array(F.lit("extra")))), ",").alias("more"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount), 6) AS net FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, format('{:.6f}', l_extendedprice * (1 - l_discount))::DOUBLE AS net, format('{:.2f}', l_linenumber + 0.675)::DOUBLE AS near_tie, format('{:.2f}', l_quantity / 8)::DOUBLE AS tie FROM lineitem")
 def c29_rounding(t):
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(c("l_extendedprice") * (1 - c("l_discount")), 6).alias("net"))
+    exact = {"net": (c("l_extendedprice") * (1 - c("l_discount")), 6), "near_tie": (c("l_linenumber") + 0.675, 2), "tie": (c("l_quantity") / 8, 2)}
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[T.round_even(x, n).alias(k) for k, (x, n) in exact.items()])

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import cdc, ledger, policy, scoring
+from tessera.operators import answers, cdc, ledger, policy, quality, scoring, validators
 from tessera.operators.windows import greedy_fill, stack_periods
 from tessera.sources.jsonl import read_jsonl, read_manifests, split_records
 from tessera.streaming.windows import ingest_once, windowed_counts
@@ -28,8 +28,8 @@ def test_crc16():
 
 
 def test_find_code(spark):
-    assert one(spark, T.find_code(F.lit("ck hsa-ab12 cd34 xx"), "HSA")) == "HSAAB12CD34"
-    assert one(spark, T.find_code(F.lit("nothing"), "HSA")) is None
+    assert one(spark, T.find_code(F.lit("ck ref-ab12 cd34 xx"), "REF")) == "REFAB12CD34"
+    assert one(spark, T.find_code(F.lit("nothing"), "REF")) is None
 
 
 def arr(xs, kind="string"):
@@ -149,3 +149,69 @@ def test_match_contexts_agrees_with_the_pairwise_rule(spark):
     frame = lambda rows, name: spark.createDataFrame(rows, f"doc_id long, {name} long, before string, after string")
     got = [tuple(r) for r in match_contexts(frame(places, "place"), frame(drawings, "drawing")).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
+
+
+@pytest.mark.parametrize(("x", "digits"), [(2.675, 2), (0.125, 2), (0.375, 2), (1.005, 2), (-2.675, 2), (-0.125, 2), (2.5, 0), (3.5, 0), (1e300, 2), (0.1 + 0.2, 16), (1234567.8949999999, 2), (5e-7, 6)])
+def test_round_even_is_the_exact_one(spark, x, digits):
+    assert one(spark, T.round_even(F.lit(x), digits)) == round(x, digits)
+
+
+def test_round_even_on_many(spark):
+    import random
+
+    rnd = random.Random(1)
+    xs = [rnd.choice([1, -1]) * rnd.randrange(10**7) / 10 ** rnd.randint(0, 6) for _ in range(3000)] + [k / 8 for k in range(100)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", *[T.round_even(F.col("x"), n).alias(f"r{n}") for n in range(5)]).collect()
+    assert all(r[f"r{n}"] == round(r["x"], n) for r in got for n in range(5))
+
+
+def test_transfer_text(spark):
+    assert one(spark, T.ascii_content(F.lit("Nguyễn Văn Á, đơn-hàng 12!"))) == "Nguyen Van A don hang 12"
+    assert one(spark, T.tlv("62", F.lit("x" * 99))) == "6299" + "x" * 99
+    assert one(spark, T.tlv("62", F.lit("x" * 100))) is None
+
+
+def test_duplicates_report_once(spark):
+    stem = "A stem that is long enough to be compared with others, surely"
+    rows = [(1, stem, ["one", "two"]), (2, stem.upper() + "!", ["One", "TWO."]), (3, stem, ["one", "three"]), (4, "short", ["one"]), (5, "short", ["one"])]
+    keys = spark.createDataFrame(rows, "id long, stem string, options array<string>").select("id", quality.duplicate_keys(F.col("stem"), F.col("options")).alias("k")).select("id", "k.*")
+    got = {r.id: (r.code, r.partners) for r in quality.duplicate_index(keys, "id", "exact", "near").collect()}
+    assert got == {1: ("exact_duplicate", [2]), 2: ("exact_duplicate", [1]), 3: ("near_duplicate", [1, 2])}
+
+
+def test_answers(spark):
+    raw = "struct<kind: string, labels: array<string>, value: double, text: string, unit: string, values: array<string>>"
+    rows = [
+        ("short_response", ("text", None, None, " 1,50 ", None, None), [], [], ("numeric", None)),
+        ("short_response", ("text", None, None, "1,50 m", None, None), [], [], ("text", None)),
+        ("single_choice", ("text", None, None, "c.", None, None), ["A", "C"], ["x", "y"], ("choice", None)),
+        ("single_choice", ("text", None, None, "Y ", None, None), ["A", "C"], ["x", "y."], ("choice", None)),
+        ("single_choice", ("labels", ["D"], None, None, None, None), ["A", "C"], ["x", "y"], (None, "answer_not_in_options")),
+        ("single_choice", ("labels", ["D"], None, None, None, None), [], [], (None, "answer_without_options")),
+        ("true_false", ("text", None, None, "Đúng", None, None), [], [], ("boolean", None)),
+        ("true_false_statements", ("text", None, None, "a) Đúng; b) S", None, None), [], [], ("tf_sequence", None)),
+        ("true_false_statements", ("true_false_sequence", None, None, None, None, ["true", "sai", "?"]), [], [], (None, "answer_unparseable")),
+        ("short_response", None, [], [], (None, None)),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], f"q string, raw {raw}, labels array<string>, texts array<string>")
+    got = answers.with_answer(df, F.col("q"), F.col("raw"), F.lit("IMPORTED"), F.col("labels"), F.col("texts")).select("answer.kind", "problem").collect()
+    assert [tuple(r) for r in got] == [r[4] for r in rows]
+
+
+def test_shuffle_safe(spark):
+    for texts, want in ((["one", "two"], True), (["A và B", "x"], False), (["Cả A, B", "x"], False), (["all of the above", "x"], False), (["only"], False), (["Tất cả", "x"], False), (["none", "Bob and Al"], True)):
+        assert one(spark, answers.shuffle_safe(F.lit("single_choice"), arr(texts))) is want
+
+
+@pytest.mark.parametrize(
+    ("tex", "problem"),
+    [(r"\frac{a}{b}", None), ("{a", "open_brace"), ("}{", "extra_brace"), (r"\{ a", None), (r"\left( a", "left_right"), (r"\leftarrow a", None), (r"\begin{a}\begin{b}\end{b}\end{a}", None), (r"\begin{a}\begin{b}\end{a}\end{b}", "end_mismatch"), (r"\begin{a}", "open_environment"), (r"\end{a}", "end_mismatch"), ("a $ b", "dollar_inside"), (r"a \$ b", None)],
+)
+def test_latex_problem(spark, tex, problem):
+    assert one(spark, validators.latex_problem(F.lit(tex))) == problem
+
+
+def test_ocr_suspect(spark):
+    cases = {"": None, "plain text": None, "a�b": "replacement_character", "NÄ‘ Æ°": "wrong_encoding", "é": "not_nfc", "#@~^" * 12: "odd_characters", "a b c d e f g h i " * 3: "scattered_letters", "tiếng Việt đủ dấu và không có lỗi nào cả, nhé": None}
+    for text, want in cases.items():
+        assert one(spark, validators.ocr_suspect(F.lit(text))) == want
