@@ -3,7 +3,9 @@
 Words score positive and tags negative, with weights learned from labelled pages: pages that mark their content with an
 ``article`` or ``main`` element. A word's weight is the log-odds of its context (the innermost container and its class),
 a tag's cost grows with the log-odds of standing outside the content. One linear scan finds the best contiguous region;
-boilerplate elements inside it (adverts, forms, asides, comments ...) are then left out.
+boilerplate elements inside it (adverts, forms, asides, comments ...) are then left out. An element is boilerplate by its
+name, by a class, id or role made of nothing but such words ("cookie-notice", not "search-term"), or by a class that the
+labelled pages have hardly anywhere but outside their content; elements of any other kind are text.
 
 Handling of odd input: a null or empty page gives empty text, as does one without words; unclosed and stray tags are
 tolerated; very long pages are read whole; of two equal regions the first wins; repeated rows each get a row; an empty table
@@ -12,6 +14,7 @@ gives an empty result; columns not named in ``carry`` are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import re
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 #: Expected labelled pages to learn from (all where there are fewer).
 SAMPLE_PAGES = 2000
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|math)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*+>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.S | re.I)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select)\b(?:"[^"]*"|'[^']*'|[^'">])*+>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z](?:"[^"]*"|'[^']*'|[^'">])*+>|</?[a-zA-Z][^>]*>|[^<]+|<""", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""\s(?:hidden(?=[\s>=/])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
@@ -33,34 +36,45 @@ VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embe
 #: Elements and class, id or role words of what is not main text.
 BOILER_TAGS = {"head", "title", "nav", "footer", "aside", "form", "menu", "dialog", "button", "fieldset", "label"}
 BOILER_WORDS = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "adsense", "adbox", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "widget", "footer", "masthead", "cookie", "cookies", "consent", "notice", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "recommendations", "comment", "comments", "disqus", "replies", "respond", "toolbar", "pagination", "pager", "search", "copyright", "complementary", "contentinfo", "alert"}
-_ROOTS = {"html", "body", "main", "article"}
+#: Words that may stand beside those in the name of such a class.
+FILLER = {"", "box", "bar", "banner", "block", "section", "wrapper", "wrap", "container", "content", "list", "post", "posts", "link", "links", "button", "buttons", "form", "panel", "area", "site", "page", "top", "bottom", "left", "right", "main", "primary", "secondary", "inline", "unit", "slot", "item", "items", "group", "icons", "media", "the", "and", "js", "is"}
+#: Log-odds of a class below which the labelled pages tell that it is boilerplate.
+OUTSIDE = -3.0
+#: Elements whose start ends an open one of the same name.
+SIBLINGS = {"li", "dt", "dd", "tr", "td", "th", "option"}
 
 
-def _class_words(tag: str) -> list[str]:
-    return sorted({w for m in _ATTR.finditer(tag) for w in re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower()) if w})
+def _classes(tag: str) -> tuple[str, ...]:
+    return tuple(sorted({w for m in _ATTR.finditer(tag) for w in (m[2] or m[3] or m[4] or "").lower().split()}))
 
 
-def _boiler(name: str, tag: str, stack: list) -> bool:
-    words = set(_class_words(tag))
-    inside = any(s[0] in ("article", "main") for s in stack)
+@functools.lru_cache(100_000)
+def _is_boiler_class(name: str) -> bool:
+    words = re.split(r"[^a-z]+", name)
+    return any(w in BOILER_WORDS for w in words) and all(w in BOILER_WORDS or w in FILLER for w in words)
+
+
+def _boiler(name: str, tag: str, classes: tuple[str, ...], inside: bool, weights: dict[str, float]) -> bool:
     if name in ("html", "body", "main"):
         return False
     if name == "article":
-        return bool(words & {"comment", "comments", "related", "ad", "advert", "promo"})
-    return name in BOILER_TAGS or bool(words & BOILER_WORDS) or (not inside and (name == "header" or "header" in words)) or bool(_HIDDEN.search(tag))
+        return any(_is_boiler_class(c) for c in classes)
+    if name in BOILER_TAGS or _HIDDEN.search(tag) or (not inside and (name == "header" or "header" in classes)):
+        return True
+    return any(_is_boiler_class(c) or weights.get("c" + c, 0.0) <= OUTSIDE for c in classes)
 
 
-def tokens(page: str):
-    """(kind, text, feature, in_article, boilerplate) of each token; kind is "w" (words) or "t" (a tag)."""
-    stack: list[tuple[str, str, bool, bool]] = []  # name, signature, boilerplate here or above, inside marked content
+def tokens(page: str, weights: dict[str, float]):
+    """(kind, text, feature, classes, in_article, boilerplate) of each token; kind is "w" (words) or "t" (a tag)."""
+    stack: list[tuple] = []  # name, signature, the nearest classes, inside marked content, boilerplate here or above
     for m in _TOKEN.finditer(page):
         t = m[0]
         if m[1] or t.startswith(("<!", "<?")):
             continue
-        top = stack[-1] if stack else ("", "", False, False)
         name_at = _NAME.match(t)
+        top = stack[-1] if stack else ("", "", (), False, False)
         if t[0] != "<" or not name_at:
-            yield "w", t, top[1], top[3], top[2]
+            yield "w", t, *top[1:]
             continue
         name = name_at[1].lower()
         if t[1] == "/":
@@ -68,24 +82,29 @@ def tokens(page: str):
             if depth is not None:
                 top = stack[depth]
                 del stack[depth:]
-            yield "t", name, f"/{top[1] if depth is not None else name}", top[3] and name not in ("article", "main"), top[2]
+            yield "t", name, f"/{top[1] if depth is not None else name}", top[2], top[3] and name not in ("article", "main"), top[4]
             continue
-        boiler = top[2] or _boiler(name, t, stack)
-        if (name in CONTAINERS or (boiler and not top[2])) and name not in VOID and not t.endswith("/>"):
-            sign = " ".join([name, *(w for w in _class_words(t))][:4])
-            stack.append((name, sign, boiler, top[3] or (name in ("article", "main") and not boiler)))
-            yield "t", name, sign, top[3], boiler
+        if stack and ((top[0] == "p" and name in BLOCKS) or (top[0] == name and name in SIBLINGS)):
+            stack.pop()  # its end tag may be left out
+            top = stack[-1] if stack else ("", "", (), False, False)
+        classes = _classes(t)
+        boiler = top[4] or _boiler(name, t, classes, top[3], weights)
+        if (name in CONTAINERS or (boiler and not top[4])) and name not in VOID and not t.endswith("/>"):
+            sign = " ".join([name, *classes][:4])
+            stack.append((name, sign, classes or top[2], top[3] or (name in ("article", "main") and not boiler), boiler))
+            yield "t", name, sign, classes or top[2], top[3], boiler
         else:
-            yield "t", name, name, top[3], boiler
+            yield "t", name, name, top[2], top[3], boiler
 
 
 def _learn(batches):
     for batch in batches:
         n: dict[tuple[str, bool], int] = {}
         for page in batch.column(0):
-            for kind, text, feature, inside, boiler in tokens(page.as_py()):
-                k = (kind + feature, inside and not boiler)
-                n[k] = n.get(k, 0) + (len(text.split()) if kind == "w" else 1)
+            for kind, text, feature, classes, inside, boiler in tokens(page.as_py(), {}):
+                many = len(text.split()) if kind == "w" else 1
+                for k in (kind + feature, *(["c" + c for c in classes] if kind == "w" else [])):
+                    n[k, inside and not boiler] = n.get((k, inside and not boiler), 0) + many
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.bool_()), pa.array(list(n.values()), pa.int64())], ["feature", "inside", "n"])
 
 
@@ -98,20 +117,29 @@ def learn_weights(pages: DataFrame, html_col: str = "html", sample_pages: int =
     return {f: max(-6.0, min(6.0, math.log((i + 0.5) / (o + 0.5)))) for f, i, o in counts.where("i + o >= 5").collect()}
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    seen = list(tokens(page or ""))
-    best, at, run, start = (0.0, 0, 0), 0, 0.0, 0
-    for at, (kind, text, feature, _, boiler) in enumerate(seen):
-        if boiler:
-            pass  # left out of the text wherever the region ends, so it counts for nothing
-        elif kind == "w":
-            run += max(0.2, weights.get("w" + feature, 1.0)) * len(text.split())
-        else:
-            run -= 0.2 + max(0.0, -weights.get("t" + feature, 0.0))
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Start and stop of the contiguous run of the greatest sum, in one scan; the first of equals, empty where none is positive."""
+    best, run, start = (0.0, 0, 0), 0.0, 0
+    for at, score in enumerate(scores):
+        run += score
         if run <= 0:
             run, start = 0.0, at + 1
         elif run > best[0]:
             best = (run, start, at + 1)
+    return best[1], best[2]
+
+
+def score(kind: str, text: str, feature: str, boiler: bool, weights: dict[str, float]) -> float:
+    if boiler:
+        return 0.0  # left out of the text wherever the region ends, so it counts for nothing
+    if kind == "w":
+        return max(0.2, weights.get("w" + feature, 1.0)) * len(text.split())
+    return -0.2 - max(0.0, -weights.get("t" + feature, 0.0))
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    seen = list(tokens(page or "", weights))
+    first, stop = best_region([score(kind, text, feature, boiler, weights) for kind, text, feature, _, _, boiler in seen])
     blocks, now = [], []
 
     def close():
@@ -120,7 +148,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(line)
         now.clear()
 
-    for kind, text, _, _, boiler in seen[best[1] : best[2]]:
+    for kind, text, _, _, _, boiler in seen[first:stop]:
         if kind == "t":
             if text in BLOCKS:
                 close()
