@@ -37,8 +37,9 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]
     if len(c) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    two = (c[:-1] << 21) | c[1:]
-    three = (two[:-1] << 21) | c[2:]
+    b = np.where(c > 0, c, 1)  # a border is a character of its own, so that a gram's code tells its length
+    two = (b[:-1] << 21) | b[1:]
+    three = (two[:-1] << 21) | b[2:]
     return np.unique(np.concatenate([c[c > 0], two, three[c[1:-1] > 0]]), return_counts=True)
 
 
