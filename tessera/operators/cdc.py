@@ -54,3 +54,18 @@ def field_changes(before: DataFrame, after: DataFrame, key: str, fields: list[st
     joined = before.alias("b").join(after.alias("a"), key)
     changed = F.filter(F.array(*pairs), lambda x: ~x["old"].eqNullSafe(x["new"]))
     return joined.select(key, F.explode(changed).alias("x")).select(key, "x.*")
+
+
+def pending(source: DataFrame, runs: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Rows of ``source`` that an import still has to take: all, or those after the last key that was committed.
+
+    ``runs`` has (fingerprint, last_key) of each committed batch; only those of the same snapshot count.
+    """
+    last = runs.where(F.col("fingerprint") == fingerprint).agg(F.max("last_key")).first()[0]
+    return source if last is None else source.where(F.col(key) > F.lit(last))
+
+
+def changed_flags(df: DataFrame, key: str, stored: str, computed: Column) -> DataFrame:
+    """(key, stored, flags) of the rows whose content gives other flags than the stored ones, whatever their order."""
+    rows = df.select(key, F.array_sort(F.coalesce(stored, F.array().cast("array<string>"))).alias(stored), F.array_sort(computed).alias("flags"))
+    return rows.where(F.col(stored) != F.col("flags"))

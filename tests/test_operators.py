@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import answers, cdc, ledger, policy, quality, scoring, validators
+from tessera.operators import answers, cdc, evidence, ledger, policy, quality, scoring, validators
 from tessera.operators.windows import greedy_fill, stack_periods
+from tessera.sources import snapshot
 from tessera.sources.jsonl import read_jsonl, read_manifests, split_records
 from tessera.streaming.windows import ingest_once, windowed_counts
 
@@ -215,3 +216,43 @@ def test_ocr_suspect(spark):
     cases = {"": None, "plain text": None, "a�b": "replacement_character", "NÄ‘ Æ°": "wrong_encoding", "é": "not_nfc", "#@~^" * 12: "odd_characters", "a b c d e f g h i " * 3: "scattered_letters", "tiếng Việt đủ dấu và không có lỗi nào cả, nhé": None}
     for text, want in cases.items():
         assert one(spark, validators.ocr_suspect(F.lit(text))) == want
+
+
+def test_stem_fixes(spark):
+    stem = "What is the greatest number that divides both of these?"
+    assert one(spark, evidence.strip_stem_echo(F.lit(stem), F.lit(stem + "  \n It is 4"))) == "It is 4"
+    assert one(spark, evidence.strip_stem_echo(F.lit(stem), F.lit(stem))) is None
+    assert one(spark, evidence.strip_stem_echo(F.lit(stem), F.lit("It is 4"))) == "It is 4"
+    assert one(spark, evidence.strip_stem_echo(F.lit("short"), F.lit("short one"))) == "short one"
+    assert one(spark, evidence.norm_tex(F.lit(r"$\dfrac{1}{{x}} \cdot \left( a \right)$"))) == r"\frac1x*(a)"
+
+
+def test_contradicting_option(spark):
+    texts = arr(["the river carries sand down toward the sea", "strong winds shape tall dunes along coasts"])
+    ask = lambda stem, solution: one(spark, evidence.contradicting_option(F.lit("A"), arr("AB"), texts, F.lit(stem), F.lit(solution)))
+    assert ask("Which is right?", "We know that strong winds shape tall dunes along coasts.") == "B"
+    assert ask("Which is not right?", "We know that strong winds shape tall dunes along coasts.") is None
+    assert ask("Which is right?", "A. no, strong winds shape tall dunes along coasts.") is None
+    assert ask("Which is right?", "the river carries sand down toward the sea, of course") is None
+
+
+def test_snapshot_and_report(spark, tmp_path):
+    a = tmp_path / "a.jsonl"
+    a.write_text("{}\n")
+    paths = [str(a), str(tmp_path / "none.jsonl")]
+    one_, again = snapshot.fingerprint(spark, paths, "v1"), snapshot.fingerprint(spark, paths, "v1")
+    assert one_ == again and one_.endswith("@v1") and len(one_) == 19
+    a.write_text("{}\n{}\n")
+    assert snapshot.fingerprint(spark, paths, "v1") != one_
+    snapshot.write_report(spark.createDataFrame([("x|y", 1), (None, 2)], "k string, n int"), str(tmp_path / "r"), "Title")
+    assert (tmp_path / "r.md").read_text().splitlines() == ["# Title", "", "| k | n |", "| --- | --- |", r"| x\|y | 1 |", "|  | 2 |"]
+    assert '"n": 2' in (tmp_path / "r.json").read_text()
+    with pytest.raises(ValueError):
+        snapshot.write_report(spark.range(5), str(tmp_path / "r2"), "Too long", limit=3)
+
+
+def test_pending_rows_of_the_same_snapshot(spark):
+    runs = spark.createDataFrame([("f1", 3), ("f1", 5), ("f0", 9)], "fingerprint string, last_key long")
+    rows = spark.range(8)
+    assert [r.id for r in cdc.pending(rows, runs, "id", "f1").orderBy("id").collect()] == [6, 7]
+    assert cdc.pending(rows, runs, "id", "f2").count() == 8
