@@ -357,10 +357,15 @@ def a14_two_sided_buckets(t):
     return both.groupBy("k").agg(F.sum("a").alias("upstream"), F.sum("b").alias("effective"), F.sum("m").alias("moved_out"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE n_chars < 100) AS tiny, count(*) FILTER (WHERE text LIKE '%license%') AS licensed, count(DISTINCT source) AS sources, string_agg(CASE WHEN doc_id < 200 AND n_chars < 400 THEN doc_id::VARCHAR END, ',' ORDER BY doc_id) AS sample FROM documents")
+@query("""SELECT total, tiny, licensed, sources, sample FROM (SELECT count(*) AS total, count(*) FILTER (WHERE n_chars < 100) AS tiny, count(*) FILTER (WHERE text LIKE '%license%') AS licensed, count(DISTINCT source) AS sources FROM documents),
+(SELECT string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS sample FROM (SELECT doc_id FROM documents WHERE n_chars < 400 ORDER BY doc_id LIMIT 50))""")
 def a15_profile(t):
-    sample = F.array_sort(F.collect_list(F.when((c("doc_id") < 200) & (c("n_chars") < 400), c("doc_id"))))
-    return t.documents.agg(F.count("*").alias("total"), F.count_if(c("n_chars") < 100).alias("tiny"), F.count_if(c("text").contains("license")).alias("licensed"), F.countDistinct("source").alias("sources"), F.array_join(F.transform(sample, lambda x: x.cast("string")), ",").alias("sample"))
+    counts = t.documents.agg(F.count("*").alias("total"), F.count_if(c("n_chars") < 100).alias("tiny"), F.count_if(c("text").contains("license")).alias("licensed"), F.countDistinct("source").alias("sources"))
+    first = t.documents.where(c("n_chars") < 400).select("doc_id").orderBy("doc_id").limit(50)  # a report's sample: Spark takes the top 50 of each task
+    sample = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("sample"))
+    null = F.lit(None)
+    rows = counts.select("*", null.cast("string").alias("sample")).union(sample.select(*[null.cast("long")] * 4, "sample"))
+    return rows.agg(*[F.max(k).alias(k) for k in ("total", "tiny", "licensed", "sources", "sample")])
 
 
 @query("SELECT event_type, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS first_ids FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events) WHERE r <= 20 GROUP BY event_type")
