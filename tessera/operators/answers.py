@@ -218,3 +218,61 @@ def part_problems(parts: Column, keys: Column) -> Column:
     )
     whole = F.array_compact(F.array(F.when(F.size(parts) < 1, F.lit("no_parts")), F.when(F.size(F.array_distinct(keys)) != F.size(keys), F.lit("duplicate_keys"))))
     return F.concat(whole, each)
+
+
+def incompatible(answer: Column, input_kind: Column, multi: Column, n: Column, option_labels: Column) -> Column:
+    """Why a stored answer cannot be scored against its question's input, null where it can."""
+    kind = answer["kind"]
+    labels = _strings(answer["labels"])
+    outside = (F.size(labels) == 0) | (F.size(F.array_except(labels, _strings(option_labels))) > 0)
+    number = answer["value"].isNotNull() & ~F.isnan(answer["value"]) & input_kind.isin("numeric", "text")
+    sequence = (input_kind == "tf_sequence") & (n == F.size(F.coalesce(answer["values"], F.array().cast("array<boolean>"))))
+    wrong = lambda fine, reason: F.when(~F.coalesce(fine, F.lit(False)), reason)
+    return (
+        F.when(kind.isNull(), "no_answer")
+        .when(kind == "choice", F.when(input_kind != "choice", "choice_answer_without_choice_input").when(outside, "labels_not_in_options").when(~F.coalesce(multi, F.lit(False)) & (F.size(labels) > 1), "multiple_labels_single_choice"))
+        .when(kind == "numeric", wrong(number, "numeric_answer_invalid"))
+        .when(kind == "tf_sequence", wrong(sequence, "tf_sequence_length_mismatch"))
+        .when(kind == "boolean", wrong(answer["flag"].isNotNull(), "boolean_invalid"))
+        .when(kind == "text", wrong(F.trim(answer["text"]) != "", "text_empty"))
+        .otherwise("unknown_answer_kind")
+    )
+
+
+RESPONSE = "struct<labels: array<string>, value: string, text: string, values: array<boolean>, flag: boolean>"
+#: Characters kept of a response's text by kind of input.
+KEPT = {"text": 2000, "math": 400, "none": 5000}
+
+
+def read_response(raw: Column, input_kind: Column, multi: Column, n: Column, option_labels: Column) -> Column:
+    """struct<response, error> of a response in JSON: cleaned for its kind of input, or why it is refused; both null for none."""
+    got = F.from_json(raw, RESPONSE)
+    broken = F.get_json_object(raw, "$").isNull() | ~raw.rlike(r"^\s*\{")
+    labels = F.array_sort(F.array_distinct(_strings(got["labels"])))
+    has = lambda name: F.get_json_object(raw, f"$.{name}").isNotNull()
+    none = {"labels": "array<string>", "value": "string", "text": "string", "values": "array<boolean>", "flag": "boolean"}
+    clean = lambda **x: F.struct(*[x.get(k, F.lit(None)).cast(t).alias(k) for k, t in none.items()]).cast(RESPONSE)
+    out = f"struct<response: {RESPONSE}, error: string>"
+    good = lambda r: F.struct(r.alias("response"), F.lit(None).cast("string").alias("error")).cast(out)
+    bad = lambda e: F.struct(F.lit(None).cast(RESPONSE).alias("response"), F.lit(e).alias("error")).cast(out)
+    text = lambda kind: good(clean(text=F.substring(F.coalesce(got["text"], F.lit("")), 1, KEPT[kind])))
+    choice = (
+        F.when(~has("labels"), bad("malformed"))
+        .when(F.size(F.array_except(labels, _strings(option_labels))) > 0, bad("no_such_option"))
+        .when(~F.coalesce(multi, F.lit(False)) & (F.size(labels) > 1), bad("one_option_only"))
+        .otherwise(good(clean(labels=labels)))
+    )
+    sequence = F.when(~has("values") | (F.size(got["values"]) > F.coalesce(n, F.lit(0))), bad("malformed")).otherwise(good(clean(values=got["values"])))
+    nothing = F.struct(F.lit(None).cast(RESPONSE).alias("response"), F.lit(None).cast("string").alias("error")).cast(out)
+    return (
+        F.when(raw.isNull(), nothing)
+        .when(broken, bad("malformed"))
+        .when(input_kind == "choice", choice)
+        .when(input_kind == "numeric", good(clean(value=F.substring(got["value"], 1, 60))))
+        .when(input_kind == "text", text("text"))
+        .when(input_kind.isin("math", "formula"), text("math"))
+        .when(input_kind == "tf_sequence", sequence)
+        .when(input_kind == "boolean", good(clean(flag=got["flag"])))
+        .when(input_kind == "none", F.when(has("text"), text("none")).otherwise(nothing))
+        .otherwise(bad("no_response_expected"))
+    )

@@ -88,3 +88,12 @@ def queues(**rules: Column) -> Column:
 def priority_score(blockers: Column, has_answer: Column, classified: Column, served_with_findings: Column, draft: Column, critical: Column) -> Column:
     add = lambda cond, n: F.when(cond, n).otherwise(0)
     return add(blockers == 1, 40) + add(has_answer, 20) + add(classified, 10) + add(served_with_findings, 30) + add(draft, 15) - F.least(critical, F.lit(3)) * 5
+
+
+def serves_bank(pool_banks: Column, item_banks: Column, bank: Column) -> Column:
+    """Whether a blueprint can draw from a bank: a pool names it or names none, or a fixed item is its own.
+
+    ``pool_banks``: array<array<string>>, an empty or null one names none; ``item_banks``: array<string>.
+    """
+    open_pool = F.exists(pool_banks, lambda b: F.coalesce(F.size(b) <= 0, F.lit(True)) | F.coalesce(F.array_contains(b, bank), F.lit(False)))
+    return F.coalesce(open_pool, F.lit(False)) | F.coalesce(F.array_contains(item_banks, bank), F.lit(False))

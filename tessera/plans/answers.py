@@ -231,3 +231,24 @@ def c21_latex_problem(t):
 @query(f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 2 THEN 'replacement_character' WHEN 3 THEN 'wrong_encoding' WHEN 4 THEN 'scattered_letters' END AS problem FROM part""")
 def c22_ocr_verdict(t):
     return t.part.select("p_partkey", F.expr(_QUESTION["stem"]).alias("s")).select("p_partkey", V.ocr_suspect(c("s")).alias("problem"))
+
+
+@query(f"""SELECT p_partkey, CASE WHEN akind IS NULL THEN 'no_answer' WHEN akind = 'choice' THEN CASE WHEN entered <> 'choice' THEN 'choice_answer_without_choice_input' WHEN p_partkey % 4 = 0 AND NOT ((kind = 'labels' AND labels = 'A') OR (kind = 'text' AND txt = 'ALPHA')) THEN 'labels_not_in_options' WHEN kind = 'labels' AND labels = 'C,A,C' AND p_partkey % 3 = 0 THEN 'multiple_labels_single_choice' END
+WHEN akind = 'numeric' THEN CASE WHEN entered NOT IN ('numeric', 'text') THEN 'numeric_answer_invalid' END WHEN akind = 'tf_sequence' THEN CASE WHEN entered <> 'tf_sequence' OR NOT (kind = 'text' OR vals = 'đúng,sai') THEN 'tf_sequence_length_mismatch' END END AS problem FROM ({_SPEC_SQL})""")
+def r11_compatibility(t):
+    options = F.when(c("p_partkey") % 4 == 0, F.array(F.lit("A"))).otherwise(F.array(*map(F.lit, "ABCD")))
+    return _specs(t).select("p_partkey", A.incompatible(c("answer"), c("spec.kind"), c("p_partkey") % 3 != 0, F.lit(2), options).alias("problem"))
+
+
+_RESPONSES = _cases("p_partkey", """'{"labels": ["B", "A", "B"]}'""", """'{"labels": ["Z"]}'""", """'{"value": 2.5}'""", """'{"text": "some words"}'""", """'{"values": [true, null, false]}'""", """'{"flag": true}'""", "NULL", "'no json'", """'{"labels": ["A"]}'""")
+_KINDS = _cases("p_size", "'choice'", "'numeric'", "'text'", "'tf_sequence'", "'boolean'", "'none'", "'parts'")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN k = 6 THEN NULL WHEN k = 7 THEN 'malformed' WHEN kind = 'choice' THEN CASE WHEN k NOT IN (0, 1, 8) THEN 'malformed' WHEN k = 1 THEN 'no_such_option' WHEN k = 0 AND p_size % 2 = 0 THEN 'one_option_only' END
+WHEN kind = 'tf_sequence' THEN CASE WHEN k <> 4 OR p_size % 2 = 0 THEN 'malformed' END WHEN kind = 'parts' THEN 'no_response_expected' END AS error,
+CASE WHEN kind = 'choice' AND k = 0 AND p_size % 2 = 1 THEN 'A,B' WHEN kind = 'choice' AND k = 8 THEN 'A' END AS labels, CASE WHEN kind = 'numeric' AND k = 2 THEN '2.5' END AS value,
+CASE WHEN k NOT IN (6, 7) AND kind IN ('text', 'none') THEN CASE WHEN k = 3 THEN 'some words' WHEN kind = 'text' THEN '' END END AS text, CASE WHEN kind = 'tf_sequence' AND k = 4 AND p_size % 2 = 1 THEN 3 END AS n_values, CASE WHEN kind = 'boolean' AND k = 5 THEN true END AS flag
+FROM (SELECT p_partkey, p_size, p_partkey % 9 AS k, {_KINDS} AS kind FROM part)""")
+def d18_response_errors(t):
+    r = A.read_response(F.expr(_RESPONSES), F.expr(_KINDS), c("p_size") % 2 != 0, F.when(c("p_size") % 2 != 0, 3).otherwise(2), F.array(*map(F.lit, "ABC")))
+    return t.part.select("p_partkey", r.alias("r")).select("p_partkey", c("r.error").alias("error"), F.array_join("r.response.labels", ",").alias("labels"), c("r.response.value").alias("value"), c("r.response.text").alias("text"), F.when(c("r.response.values").isNotNull(), F.size("r.response.values")).alias("n_values"), c("r.response.flag").alias("flag"))

@@ -126,11 +126,6 @@ def d17_weighted_parts(t):
     return t.lineitem.groupBy("l_orderkey").agg(F.round(F.try_divide(w(c("l_returnflag") == "N"), w(c("l_returnflag") != "A")), 6).alias("share"))
 
 
-@query("SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'kind_unknown' WHEN value < 0 THEN 'negative' WHEN value > 1000000 THEN 'too_large' END AS error FROM events")
-def d18_response_errors(t):
-    return t.events.select("event_id", F.when(~c("event_type").isin("click", "view"), "kind_unknown").when(c("value") < 0, "negative").when(c("value") > 1_000_000, "too_large").alias("error"))
-
-
 @query("SELECT event_id, ts <= TIMESTAMP '2024-01-15' + INTERVAL 20 SECOND AS in_time FROM events")
 def d19_deadlines(t):
     return t.events.select("event_id", (c("ts") <= F.lit("2024-01-15").cast("timestamp") + F.expr("INTERVAL 20 SECOND")).alias("in_time"))

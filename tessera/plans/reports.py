@@ -83,18 +83,6 @@ def r10_bank_audit(t):
     return j.agg(F.count("*").alias("docs"), F.countDistinct(F.sha2("text", 256)).alias("texts"), F.countDistinct("lang").alias("langs"), F.max("n_chars").alias("longest"), F.count_if(c("l").isNull()).alias("unlabelled"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size < 5 AND p_retailprice > 1500 THEN 'price_mismatch' WHEN p_type = '' THEN 'type_missing' END AS problem FROM part")
-def r11_compatibility(t):
-    return t.part.select("p_partkey", F.when((c("p_size") < 5) & (c("p_retailprice") > 1500), "price_mismatch").when(c("p_type") == "", "type_missing").alias("problem"))
-
-
-@query("SELECT day, n, users, round(avg(n) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS mean7 FROM (SELECT ts::DATE AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1)")
-def r12_review_statistics(t):
-    d = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
-    past = d.select("users", "n", "day", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k")).select(F.date_add("day", c("k")).alias("day"), c("n").alias("m"))
-    return d.join(past.groupBy("day").agg(F.round(F.avg("m"), 4).alias("mean7")), "day")
-
-
 @query("SELECT c_mktsegment, count(o_orderkey) AS submitted, round(avg(o_totalprice / nullif(c_acctbal, 0)), 6) AS mean_ratio FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_mktsegment")
 def r13_exam_statistics(t):
     j = t.customer.join(t.orders, (c("o_custkey") == c("c_custkey")) & (c("o_orderstatus") == "F"), "left")
@@ -112,18 +100,6 @@ def r15_catalogue(t):
     return t.documents.groupBy("lang").agg(F.count("*").alias("total")).withColumn("free", F.least(c("total"), F.lit(100)))
 
 
-@query("SELECT q AS queue, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'poor' END], lambda x: x IS NOT NULL)) AS q FROM labels) GROUP BY q")
-def r16_queue_counters(t):
-    from tessera.operators.policy import queues
-
-    return t.labels.select(F.explode(queues(toxic=c("toxic") == 1, poor=c("quality") == 0)).alias("queue")).groupBy("queue").agg(F.count("*").alias("n"))
-
-
-@query("SELECT event_id, json_extract_string(props, '$.k')::INT > 50 AS compatible FROM events")
-def r17_blueprint_compatibility(t):
-    return t.events.select("event_id", (F.from_json("props", "k int")["k"] > 50).alias("compatible"))
-
-
 @query("SELECT c_custkey, o_orderkey AS latest, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS revealed FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) WHERE r = 1) ON o_custkey = c_custkey")
 def r19_latest_seen(t):
     last = t.orders.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"), F.struct("o_orderdate", "o_orderkey")).alias("x"))
@@ -192,3 +168,48 @@ def r31_reconciliation_alarm(t):
 def r32_config_changes(t):
     w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     return t.orders.select("o_custkey", "o_orderkey", (~F.lag("o_orderpriority").over(w).eqNullSafe(c("o_orderpriority"))).cast("int").alias("bumped"))
+
+
+_REVIEWED = "event_type IN ('click', 'view', 'purchase')"
+
+
+@query(f"""SELECT 'day' AS part, strftime(ts, '%Y-%m-%d') AS name, count(DISTINCT props) AS n FROM events WHERE {_REVIEWED} AND ts >= TIMESTAMP '2024-01-01' GROUP BY 2
+UNION ALL SELECT 'reviewer', c_name, count(DISTINCT props) FROM events JOIN customer ON c_custkey = user_id WHERE {_REVIEWED} AND ts >= TIMESTAMP '2024-01-23' GROUP BY 2
+UNION ALL SELECT 'approved_week', '', count(DISTINCT props) FROM events WHERE event_type = 'purchase' AND ts >= TIMESTAMP '2024-01-23'
+UNION ALL SELECT 'reviewed_week', '', count(DISTINCT props) FROM events WHERE {_REVIEWED} AND ts >= TIMESTAMP '2024-01-23'""")
+def r12_review_statistics(t):
+    week = c("ts") >= F.lit("2024-01-23").cast("timestamp")
+    done = t.events.where(_REVIEWED)
+    n = F.countDistinct("props").alias("n")
+    day = done.where(c("ts") >= F.lit("2024-01-01").cast("timestamp")).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("name")).agg(n).select(F.lit("day").alias("part"), "name", "n")
+    who = done.where(week).join(t.customer, c("c_custkey") == c("user_id")).groupBy(c("c_name").alias("name")).agg(n).select(F.lit("reviewer").alias("part"), "name", "n")
+    total = lambda part, df: df.agg(n).select(F.lit(part).alias("part"), F.lit("").alias("name"), "n")
+    return day.union(who).union(total("approved_week", done.where(week & (c("event_type") == "purchase")))).union(total("reviewed_week", done.where(week)))
+
+
+@query("""SELECT 'queue:' || q AS queue, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN toxic = 1 THEN 'toxic' END, CASE WHEN quality = 0 THEN 'poor' END, CASE WHEN n_chars < 300 THEN 'short' END], lambda x: x IS NOT NULL)) AS q FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY q
+UNION ALL SELECT 'reason:mail', count(*) FILTER (WHERE contains(text, '@')) FROM documents UNION ALL SELECT 'reported', count(*) FROM documents WHERE EXISTS (SELECT 1 FROM events WHERE event_id = doc_id AND event_type = 'error')""")
+def r16_queue_counters(t):
+    from tessera.operators.policy import queues
+
+    j = t.documents.join(t.labels, "doc_id")
+    held = j.select(F.explode(queues(toxic=c("toxic") == 1, poor=c("quality") == 0, short=c("n_chars") < 300)).alias("q")).groupBy("q").agg(F.count("*").alias("n")).select(F.concat(F.lit("queue:"), "q").alias("queue"), "n")
+    reasons = queues(mail=c("text").contains("@"))
+    mail = t.documents.agg(F.count_if(F.array_contains(reasons, "mail")).alias("n")).select(F.lit("reason:mail").alias("queue"), "n")
+    open_ = t.events.where("event_type = 'error'").select(c("event_id").alias("doc_id"))
+    reported = t.documents.join(open_, "doc_id", "left_semi").agg(F.count("*").alias("n")).select(F.lit("reported").alias("queue"), "n")
+    return held.union(mail).union(reported)
+
+
+@query("SELECT o_orderkey, k <> 2 AND (k <> 1 OR o_orderkey % 5 = 0) OR o_orderkey % 11 = 0 AS compatible FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)")
+def r17_blueprint_compatibility(t):
+    from tessera.operators.policy import serves_bank
+
+    k = c("o_orderkey") % 4
+    other = F.when(c("o_orderkey") % 5 == 0, '{"banks": []}').otherwise('{"banks": ["x", "y"]}')
+    pools = F.when(k == 0, '{"banks": ["x", "main"]}').when(k == 1, F.concat(F.lit('{"banks": ["z"]},'), other)).when(k == 2, "").otherwise("{}")
+    items = F.when(c("o_orderkey") % 11 == 0, '{"bank": "main"}').otherwise('{"bank": "x"}')
+    text = F.concat(F.lit('{"sections": [{"pools": ['), pools, F.lit('], "items": ['), items, F.lit("]}]}"))
+    config = F.from_json(text, "sections array<struct<pools: array<struct<banks: array<string>>>, items: array<struct<bank: string>>>>")
+    flat = lambda get: F.flatten(F.transform(config["sections"], get))
+    return t.orders.select("o_orderkey", serves_bank(flat(lambda s: F.transform(s["pools"], lambda p: p["banks"])), flat(lambda s: F.transform(s["items"], lambda i: i["bank"])), F.lit("main")).alias("compatible"))
