@@ -1,5 +1,7 @@
 """Small cases: scoring rules, policy order, number formats, change capture, folds, streams."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +258,41 @@ def test_pending_rows_of_the_same_snapshot(spark):
     rows = spark.range(8)
     assert [r.id for r in cdc.pending(rows, runs, "id", "f1").orderBy("id").collect()] == [6, 7]
     assert cdc.pending(rows, runs, "id", "f2").count() == 8
+
+
+def test_timeouts_of_a_stream(spark, tmp_path):
+    from tessera.streaming.windows import timeouts
+
+    schema = "k string, ts timestamp, s string"
+    parts = [
+        [("a", "2024-01-01 00:00:00", "pending"), ("b", "2024-01-01 00:00:00", "pending"), ("c", "2024-01-01 00:05:00", "pending")],
+        [("b", "2024-01-01 00:10:00", "paid"), ("c", "2024-01-01 01:00:00", "pending")],
+        [("z", "2024-01-01 01:10:00", "paid")],
+        [("z", "2024-01-01 01:11:00", "paid")],
+    ]
+    source = tmp_path / "in"
+    source.mkdir()
+    for i, rows in enumerate(parts):
+        (source / f"{i}.csv").write_text("\n".join(",".join(r) for r in rows))
+        os.utime(source / f"{i}.csv", (1_700_000_000 + 10 * i,) * 2)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).csv(str(source))
+    q = timeouts(stream, "k", "ts", "s", "pending", 1800).writeStream.format("memory").queryName("timed_out").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.k, str(r.due)) for r in spark.table("timed_out").collect()] == [("a", "2024-01-01 00:30:00")]
+    table = spark.read.schema(schema).csv(str(source))
+    assert sorted((r.k, str(r.due)) for r in timeouts(table, "k", "ts", "s", "pending", 1800).collect()) == [("a", "2024-01-01 00:30:00"), ("c", "2024-01-01 01:30:00")]
+
+
+def test_refresh_of_changed_keys(spark, tmp_path):
+    from tessera.streaming.windows import refresh_changed
+
+    spark.createDataFrame([(1, 5), (2, 7), (1, 6)], "k long, v long").write.parquet(str(tmp_path / "base"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text('{"k": 1}\n{"k": 1}\n')
+    base = spark.read.parquet(str(tmp_path / "base"))
+    recompute = lambda keys: base.join(keys, "k", "left_semi").groupBy("k").agg(F.sum("v").alias("total"))
+    run = lambda: refresh_changed(spark.readStream.schema("k long").json(str(tmp_path / "in")), ["k"], recompute, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    run()
+    (tmp_path / "in" / "1.json").write_text('{"k": 2}\n')
+    run()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("k", "total").collect())) == [(1, 11), (2, 7)]
