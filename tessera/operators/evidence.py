@@ -13,6 +13,47 @@ BY_LETTER = r"(?:^|[\s(])(?:[A-D][.):]|[A-D]\s+(?:sai|đúng|là|is|are)\b|đáp
 TRUSTED_CLASSIFICATION = ["semantic_correction", "semantic_assignment"]
 #: Fixed value: options A to D in order at the end of a stem.
 INLINE_OPTIONS = r"(?s)^(.*?\S)\s*\n\s*A\.\s*(\S.*?)\s+B\.\s*(\S.*?)\s+C\.\s*(\S.*?)\s+D\.\s*(\S.*?)\s*$"
+# Ranges of question numbers in the header of a shared passage.
+HEADER_RANGE = r"(?iu)(?:câu|questions?)\s*(?:hỏi\s*)?(?:số\s*)?(\d{1,3})\s*(?:đến|tới|-|–|—|to|and)\s*(?:câu\s*)?(?:hỏi\s*)?(?:số\s*)?(\d{1,3})"
+SHOWN_RANGES = [
+    r"(?iu)(?:từ\s+)?(?:câu\s+(?:hỏi\s+)?)?(?:số\s+)?\d{1,3}\s*(?:đến|tới|-|–|—)\s*(?:câu\s+(?:hỏi\s+)?)?(?:số\s+)?\d{1,3}",
+    r"(?iu)(?:from\s+)?questions?\s+\d{1,3}\s*(?:to|-|–|—|and)\s*\d{1,3}",
+]
+# What a line of plain prose does not hold, with the reason; the first that matches counts.
+FLATTENED = [
+    ("page_number", r"(?U)\bTrang(?: -)? \d{1,3}\b"),
+    ("math_symbol", r"[=<>≤≥≠±×÷^√∫∑∏∞πΔ∆∈∉⊂⊃∪∩→⇒⇔|/+−\\{}\[\]_~*'′″°]"),
+    ("math_word", r"(?iuU)\b(?:log|ln|lg|sin|cos|tan|tg|cot|cotg|lim|max|min|arcsin|arccos|arctan|vec|mod)\b"),
+    ("letter_digit", r"\p{L}\d|\d\p{L}(?<![đ])"),
+    ("digit_gap", r"(?U)\d\s+\d|(?<!\w)\d{1,3}\s+[A-Z][a-z]?(?!\w)|(?<!\w)[A-Z][a-z]?\s\d(?!\w)|(?:\d+\.\s*[A-D]\s+){3}"),
+]
+
+
+def header_range(header: Column) -> Column:
+    """struct<low, high> of the question numbers that a header names; null without a range, or where it falls."""
+    low, high = (F.regexp_extract(header, HEADER_RANGE, k).try_cast("int") for k in (1, 2))
+    return F.when(low <= high, F.struct(low.alias("low"), high.alias("high")))
+
+
+def neutral_header(header: Column) -> Column:
+    """The header with {{range}} in place of question numbers, which a reader fills with its own."""
+    for pattern in SHOWN_RANGES:
+        header = F.regexp_replace(header, pattern, "{{range}}")
+    return header
+
+
+def flattened_math(lines: Column) -> Column:
+    """Why lines of plain text may hide mathematics that lost its layout; null for plain prose and plain numbers."""
+    lines = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    alone = (F.size(lines) > 1) & F.exists(lines, lambda x: x.rlike(r"(?U)^[\d\s.,]+$"))
+
+    def reason(x: Column) -> Column:
+        out = F.when((F.length(x) <= 3) & ~x.rlike(r"^(?:[A-D]?\.?|\d+[.,]?)$"), "stray_fragment").when(x.rlike(r"(?U)^[\d\W]+$") & ~x.rlike(r"^\d+(?:[.,]\d+)?\s*%?\.?$"), "symbol_line")
+        for name, pattern in FLATTENED:
+            out = out.when(x.rlike(pattern), name)
+        return out
+
+    return F.when(alone, "number_line").otherwise(F.get(F.filter(F.transform(lines, reason), lambda r: r.isNotNull()), F.lit(0)))
 
 
 def strip_stem_echo(stem: Column, solution: Column) -> Column:

@@ -90,3 +90,26 @@ def p6_recompute_flags(t):
     computed = F.array_compact(F.array(F.when(c("text").contains("@"), "mail"), F.when(c("text").rlike("[0-9]"), "digits")))
     docs = t.documents.withColumn("stored", F.when(c("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("mail"))))
     return cdc.changed_flags(docs, "doc_id", "stored", computed).select("doc_id", F.array_join("stored", ",").alias("stored"), F.array_join("flags", ",").alias("flags"))
+
+
+_LOW, _HIGH = "CAST(p_size AS STRING)", "CAST(p_size + p_partkey % 5 - 1 AS STRING)"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 > 0 THEN p_size END AS low, CASE WHEN p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 > 0 THEN p_size + p_partkey % 5 - 1 END AS high,
+CASE p_partkey % 6 WHEN 0 THEN 'Đọc rồi làm {{{{range}}}} sau' WHEN 1 THEN 'Read for {{{{range}}}}.' WHEN 2 THEN '{{{{range}}}}' WHEN 3 THEN 'No numbers here' ELSE '{{{{range}}}}' END AS neutral
+FROM part WHERE p_partkey % 6 <> 4""")
+def c11_header_range(t):
+    k, low, high = c("p_partkey") % 6, F.expr(_LOW), F.expr(_HIGH)
+    lit = F.lit
+    header = F.when(k == 0, F.concat(lit("Đọc rồi làm câu hỏi số "), low, lit(" đến câu "), high, lit(" sau"))).when(k == 1, F.concat(lit("Read for Questions "), low, lit(" and "), high, lit("."))).when(k == 2, F.concat(lit("từ câu "), low, lit(" - "), high)).when(k == 3, "No numbers here").otherwise(F.concat(low, lit(" tới "), high))
+    x = E.header_range(header)
+    return t.part.where("p_partkey % 6 <> 4").select("p_partkey", x["low"].alias("low"), x["high"].alias("high"), E.neutral_header(header).alias("neutral"))
+
+
+_LINES = ["Plain prose, of 12 words.|and more", "text|12", "ab|plain text here", "see|- - -|text line", "text line|Trang 12 of it", "so x = y here", "take the Log of it", "so x2 grows", "wait 12 Na there", "3,5%", "ngày 5đ thôi"]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 11 WHEN 1 THEN 'number_line' WHEN 2 THEN 'stray_fragment' WHEN 3 THEN 'stray_fragment' WHEN 4 THEN 'page_number' WHEN 5 THEN 'math_symbol' WHEN 6 THEN 'math_word' WHEN 7 THEN 'letter_digit' WHEN 8 THEN 'digit_gap' END AS reason FROM part")
+def c23_flattened_math(t):
+    lines = F.split(F.get(F.array(*map(F.lit, _LINES)), (c("p_partkey") % 11).cast("int")), r"\|")
+    return t.part.select("p_partkey", E.flattened_math(lines).alias("reason"))

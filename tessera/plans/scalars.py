@@ -77,11 +77,6 @@ def c10_find_code(t):
     return t.orders.select("o_orderkey", T.find_code(text, "REF", "0-9").alias("code"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '(?i)(?:questions?|items?)\s+(\d+)\s*(?:-|to)\s*(\d+)', 1), '') AS low, regexp_replace(text, '(?i)\bgroup\b', '_', 'g') = text AS neutral FROM documents")
-def c11_header_range(t):
-    return t.documents.select("doc_id", F.nullif(F.regexp_extract("text", r"(?i)(?:questions?|items?)\s+(\d+)\s*(?:-|to)\s*(\d+)", 1), F.lit("")).alias("low"), (F.regexp_replace("text", r"(?i)\bgroup\b", "_") == c("text")).alias("neutral"))
-
-
 @query(r"SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '(?:^|\n)\s*\**([a-h])\)', 1)))::INT AS n FROM documents")
 def c12_statement_count(t):
     return t.documents.select("doc_id", T.statement_count(F.lower("text")).alias("n"))
@@ -116,11 +111,6 @@ def c22_ocr_suspect(t):
     return t.documents.where(F.length("text") >= 40).select("doc_id", c("text").contains("�").alias("replaced"), F.round(T.odd_share(c("text")), 4).alias("odd"))
 
 
-@query(r"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '\d\s*[/^=]\s*\d|\b\d+\s+\d+\s+\d+\b'))) > 0 AS flat FROM documents")
-def c23_flattened_math(t):
-    return t.documents.select("doc_id", F.exists(F.split("text", "\n"), lambda l: l.rlike(r"\d\s*[/^=]\s*\d|\b\d+\s+\d+\s+\d+\b")).alias("flat"))
-
-
 LEXICONS = {"english": ["the", "and", "with"], "german": ["die", "und", "mit"], "french": ["les", "dans", "avec"]}
 
 
