@@ -13,6 +13,13 @@ BY_LETTER = r"(?:^|[\s(])(?:[A-D][.):]|[A-D]\s+(?:sai|đúng|là|is|are)\b|đáp
 TRUSTED_CLASSIFICATION = ["semantic_correction", "semantic_assignment"]
 #: Fixed value: options A to D in order at the end of a stem.
 INLINE_OPTIONS = r"(?s)^(.*?\S)\s*\n\s*A\.\s*(\S.*?)\s+B\.\s*(\S.*?)\s+C\.\s*(\S.*?)\s+D\.\s*(\S.*?)\s*$"
+def shared_words(stored: Column, rebuilt: Column) -> Column:
+    """Share of a rebuilt text's words (two letters or more, each as often as it stands) that the stored one has; 1 without any."""
+    of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"(\p{L}{2,})"), 1)
+    have, new = F.array_distinct(of(stored)), of(rebuilt)
+    return F.when(F.size(new) > 0, F.size(F.filter(new, lambda w: F.array_contains(have, w))) / F.size(new)).otherwise(1.0)
+
+
 # Ranges of question numbers in the header of a shared passage.
 HEADER_RANGE = r"(?iu)(?:câu|questions?)\s*(?:hỏi\s*)?(?:số\s*)?(\d{1,3})\s*(?:đến|tới|-|–|—|to|and)\s*(?:câu\s*)?(?:hỏi\s*)?(?:số\s*)?(\d{1,3})"
 SHOWN_RANGES = [

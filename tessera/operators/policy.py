@@ -97,3 +97,34 @@ def serves_bank(pool_banks: Column, item_banks: Column, bank: Column) -> Column:
     """
     open_pool = F.exists(pool_banks, lambda b: F.coalesce(F.size(b) <= 0, F.lit(True)) | F.coalesce(F.array_contains(b, bank), F.lit(False)))
     return F.coalesce(open_pool, F.lit(False)) | F.coalesce(F.array_contains(item_banks, bank), F.lit(False))
+
+
+# Editorial states, the gravest first; flags of broken text, flags a rebuilt stem settles, flags that need no review.
+STATES = ["REJECTED", "NEEDS_FORMULA_REVIEW", "NEEDS_VISUAL_REVIEW", "NEEDS_ANSWER_LINKING", "NEEDS_REVIEW", "READY_TO_SERVE"]
+BROKEN_TEXT = ["legacy_encoding_mojibake", "encoding_replacement_char"]
+SETTLED = ["pdf_text_layer_fidelity", "formula_low_confidence", "formula_unconverted"]
+HARMLESS = ["missing_solution", "image_dependent", "missing_answer"]
+UNANSWERED = ["UNRESOLVED", "AUTOMATICALLY_INFERRED_CANDIDATE"]
+
+
+def editorial_states(review: Column, issues: Column, flags: Column, answer_source: Column, from_text_layer: Column, mathematical: Column, needs_figure: Column, rebuilt: Column) -> Column:
+    """A record's editorial states, the gravest first; READY_TO_SERVE alone where nothing is open.
+
+    ``issues`` are the kinds of what went wrong in rendering. Text from a page's text layer may have lost formulas
+    (``mathematical``) or figures (``needs_figure``) unless its stem was ``rebuilt``.
+    """
+    none = F.array().cast("array<string>")
+    issues, flags = F.coalesce(issues, none), F.coalesce(flags, none)
+    any_of = lambda have, names: F.size(F.array_intersect(have, F.array(*map(F.lit, names)))) > 0
+    layer = from_text_layer & ~rebuilt
+    harmless = F.array(*map(F.lit, HARMLESS))
+    left = F.array_except(flags, F.when(rebuilt, F.array(*map(F.lit, HARMLESS + SETTLED))).otherwise(harmless))
+    rules = {
+        "REJECTED": review == "rejected",
+        "NEEDS_FORMULA_REVIEW": any_of(issues, ["formula"]) | (layer & mathematical),
+        "NEEDS_VISUAL_REVIEW": any_of(issues, ["visual", "missing_visual"]) | (layer & needs_figure),
+        "NEEDS_ANSWER_LINKING": answer_source.isNull() | answer_source.isin(UNANSWERED),
+        "NEEDS_REVIEW": any_of(issues, ["content"]) | any_of(flags, BROKEN_TEXT) | ((review == "needs_review") & (F.size(left) > 0)),
+    }
+    open_ = queues(**{k: F.coalesce(v, F.lit(False)) for k, v in rules.items()})
+    return F.when(F.size(open_) > 0, open_).otherwise(F.array(F.lit(STATES[-1])))

@@ -65,6 +65,19 @@ def p4_state_priority(t):
     return a.select("user_id", F.get(P.first_by_priority(c("s"), ["error", "purchase", "signup"]), 0).alias("state"))
 
 
+@query("""SELECT p_partkey, coalesce(nullif(concat_ws(',', CASE WHEN n % 10 = 0 THEN 'REJECTED' END, CASE WHEN n % 6 = 1 OR (layer AND s % 4 = 0) THEN 'NEEDS_FORMULA_REVIEW' END, CASE WHEN n % 6 = 2 OR (layer AND s % 5 = 0) THEN 'NEEDS_VISUAL_REVIEW' END,
+CASE WHEN s % 6 IN (0, 1, 2) THEN 'NEEDS_ANSWER_LINKING' END, CASE WHEN n % 6 = 3 OR s % 7 = 1 OR (n % 10 = 1 AND (s % 7 IN (1, 4) OR (s % 7 = 2 AND NOT rebuilt))) THEN 'NEEDS_REVIEW' END), ''), 'READY_TO_SERVE') AS states
+FROM (SELECT p_partkey, p_partkey AS n, p_size AS s, p_partkey % 4 = 0 AS rebuilt, p_partkey % 3 = 0 AND p_partkey % 4 <> 0 AS layer FROM part)""")
+def p4_editorial_states(t):
+    n, s = c("p_partkey"), c("p_size")
+    issue = F.when(n % 6 == 1, "formula").when(n % 6 == 2, "missing_visual").when(n % 6 == 3, "content")
+    flag = F.when(s % 7 == 1, "encoding_replacement_char").when(s % 7 == 2, "formula_low_confidence").when(s % 7 == 3, "missing_solution").when(s % 7 == 4, "odd_layout")
+    review = F.when(n % 10 == 0, "rejected").when(n % 10 == 1, "needs_review").otherwise("accepted")
+    answer = F.when(s % 6 == 0, "UNRESOLVED").when(s % 6 == 1, "AUTOMATICALLY_INFERRED_CANDIDATE").when(s % 6 > 2, "SOURCE_PROVIDED_ANSWER")
+    x = P.editorial_states(review, F.array_compact(F.array(issue)), F.array_compact(F.array(flag)), answer, n % 3 == 0, s % 4 == 0, s % 5 == 0, n % 4 == 0)
+    return t.part.select("p_partkey", F.array_join(x, ",").alias("states"))
+
+
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE (reasons = '') <> (o_orderkey % 2 = 0)) AS changed FROM ({_REASONS})")
 def p5_recompute_changes(t):
     return _reasons(t).agg(F.count("*").alias("total"), F.count_if((F.size("r") == 0) != (c("o_orderkey") % 2 == 0)).alias("changed"))
@@ -162,11 +175,15 @@ def e2_ordered_substrings(t):
     return t.documents.select("doc_id", ((at > 0) & rest.between(1, 3000)).alias("ordered"))
 
 
-@query(r"SELECT conv_id, turn, round(len(list_intersect(list_distinct(w), ['the', 'and', 'of', 'die', 'de'])) / greatest(len(list_distinct(w)), 1)::DOUBLE, 6) AS share FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM conversations)")
+@query(r"""SELECT conv_id, turn, CASE WHEN len(b) = 0 THEN 1.0 ELSE round(len(list_filter(b, lambda w: list_contains(a, w))) / len(b)::DOUBLE, 6) END::DOUBLE AS share
+FROM (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(before, '')), '[\p{L}]{2,}') AS a, regexp_extract_all(lower(text), '[\p{L}]{2,}') AS b FROM (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations))""")
 def e3_identity_score(t):
-    w = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1))
-    known = F.array(*map(F.lit, ("the", "and", "of", "die", "de")))
-    return t.conversations.select("conv_id", "turn", F.round(F.size(F.array_intersect(w, known)) / F.greatest(F.size(w), F.lit(1)), 6).alias("share"))
+    from pyspark.sql import Window
+
+    from tessera.operators.evidence import shared_words
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.withColumn("before", F.coalesce(before, F.lit(""))).select("conv_id", "turn", F.round(shared_words(c("before"), c("text")), 6).alias("share"))
 
 
 @query("SELECT sha256(text) AS key, count(*) AS occurrences, count(DISTINCT source) = 1 AS agree FROM documents GROUP BY 1 HAVING count(*) > 1")
