@@ -50,6 +50,18 @@ def multiset_share(df: DataFrame, key: str, text: str, against: DataFrame) -> Da
     return a.join(b, "ch").groupBy(key).agg(F.sum(F.least("n", "m")).alias("common")).join(total, key).select(key, F.round(F.col("common") / F.col("total"), 6).alias("share"))
 
 
+def confirmed_by_editions(df: DataFrame, id_col: str, key: str, rebuilt: str, most: int = 3) -> DataFrame:
+    """(id_col, siblings, confirmed): up to ``most`` other rows of the same key, and whether all of them were rebuilt alike.
+
+    Spark keeps the first rows of each key before the shuffle. Rows without a sibling are not reported.
+    """
+    d = df.select(id_col, F.col(key).alias("k"), F.col(rebuilt).alias("r")).where("k is not null")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(id_col))
+    few = d.withColumn("n", rank).where(F.col("n") <= most + 1).groupBy("k").agg(F.array_sort(F.collect_list(F.struct(id_col, "r"))).alias("rows")).where("size(rows) > 1")
+    others = F.slice(F.filter("rows", lambda x: x[id_col] != F.col(id_col)), 1, most)
+    return d.join(few, "k").select(id_col, "r", others.alias("o")).select(id_col, F.size("o").alias("siblings"), F.forall("o", lambda x: x["r"].eqNullSafe(F.col("r"))).alias("confirmed"))
+
+
 #: Distinct trigrams of the questions up to which they go to the pages.
 BROADCAST_GRAMS = 1_000_000
 
