@@ -13,7 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while rows are written. Once they are, nobody reads the shuffles behind them.
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch on its way to Python: those of texts take memory beside the heap, those of ranks do not.
+TEXT_ROWS, RANK_ROWS = 1_000, 10_000
 
 
 def _shared_dir(spark: SparkSession) -> str:
@@ -43,7 +46,7 @@ def _drop_all() -> None:
             _drop(spark, _scratch.pop())
 
 
-def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000) -> DataFrame:
+def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000, batch_rows: int = TEXT_ROWS) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     With ``rows`` (about how many it has) the last stage runs in one task per ``per_task`` rows, 12 at least.
@@ -52,12 +55,14 @@ def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000)
     if rows is not None:
         df = df.coalesce(max(12, rows // per_task))
     path = f"{_shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")  # once the rows are written nobody reads the shuffles behind them
+    before = {k: spark.conf.get(k) for k in (_CLEANUP, _BATCH)}
+    spark.conf.set(_CLEANUP, True)
+    spark.conf.set(_BATCH, batch_rows)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _scratch.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path

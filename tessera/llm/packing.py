@@ -31,7 +31,7 @@ from tessera.llm.common import materialize
 
 CAPACITY = 2048
 #: Words that a worker remembers the ids of, twice at most: those met since the last turn and those of the turn before.
-CACHE = 300_000
+CACHE = 200_000
 #: Texts of these characters alone are split here as the tokenizer splits them; others go to it by words.
 _PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]*")
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"

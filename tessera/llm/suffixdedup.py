@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, one_row_per_id, release
+from tessera.llm.common import RANK_ROWS, materialize, one_row_per_id, release
 from tessera.llm.hashing import CHUNK, U, all_windows, mix, prefix, row_hashes, windows
 
 LENGTH, SPAN = 100, 64
@@ -236,7 +236,7 @@ def _deal(size: int):
 def _ranked(rows: DataFrame) -> DataFrame:
     kind = F.shiftright("m", 16)
     key = F.when(kind == REPEAT, F.xxhash64("doc", "pos")).when(kind == DEALT, F.xxhash64("core", "uni")).otherwise(F.col("core"))
-    return materialize(rows.repartition(key).sortWithinPartitions("core", "uni", "doc", "pos").mapInArrow(_rank, _SCHEMA))
+    return materialize(rows.repartition(key).sortWithinPartitions("core", "uni", "doc", "pos").mapInArrow(_rank, _SCHEMA), batch_rows=RANK_ROWS)
 
 
 def _cut(batches):
