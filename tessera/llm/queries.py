@@ -69,7 +69,44 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_html_text, op9_decontamination, op10_chat_format)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ONE_TEXT = "SELECT doc_id, coalesce(min(text), '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id"
 ORACLE_SQL = {
+    "op2_suffix_dedup": f"""
+WITH docs AS MATERIALIZED (SELECT doc_id, hex(encode(text)) AS h FROM ({_ONE_TEXT})),
+blocks AS (SELECT doc_id, b, substr(h, 2 * b + 1, 1198) AS part FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0), 500)) AS b FROM docs)),
+starts AS (SELECT doc_id, b, part, unnest(range(0, least(500, length(part) // 2 - 99))) AS s FROM blocks),
+keyed AS MATERIALIZED (SELECT doc_id, b + s AS s, md5_number(substr(part, 2 * s + 1, 200)) AS k FROM starts),
+firsts AS (SELECT k, min({{'d': doc_id, 's': s}}) AS f FROM keyed GROUP BY k HAVING count(*) > 1),
+repeats AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS opens FROM keyed JOIN firsts USING (k) WHERE f.d <> doc_id OR f.s <> s),
+islands AS (SELECT doc_id, s, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY s) AS i FROM repeats),
+spans AS MATERIALIZED (SELECT doc_id, min(s) AS a, max(s) + 100 AS z FROM islands GROUP BY doc_id, i),
+ends AS (SELECT doc_id, max(z) AS last FROM spans GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, z - a AS n, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b, a AS e FROM spans
+  UNION ALL SELECT d.doc_id, NULL, coalesce(last, 0), length(h) // 2 FROM docs d LEFT JOIN ends ON d.doc_id = ends.doc_id)
+SELECT d.doc_id, length(any_value(h)) // 2 AS n_bytes, coalesce(sum(n), 0)::BIGINT AS n_removed, count(n) AS n_spans,
+  sha256(unhex(string_agg(substr(h, 2 * b + 1, 2 * (e - b)), '' ORDER BY b))) AS kept_sha256
+FROM docs d JOIN pieces p ON d.doc_id = p.doc_id GROUP BY d.doc_id""",
+    "op3_minhash_dedup": f"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM ({_ONE_TEXT})),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, md5_number(array_to_string(w[i:i + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+pairs AS MATERIALIZED (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 75 * (p.n + q.n - k)),
+links AS MATERIALIZED (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach AS (SELECT x AS d, x AS c FROM links UNION SELECT y, c FROM reach JOIN links ON x = d WHERE c < y),
+low AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept
+FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN low ON d = doc_id""",
+    "op7_embedding_dedup": """
+WITH RECURSIVE fine AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS MATERIALIZED (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM fine),
+links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM unit a JOIN unit b ON a.vec_id <> b.vec_id AND len(a.u) = len(b.u) WHERE list_dot_product(a.u, b.u) >= 0.9),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+reach AS (SELECT x AS d, x AS c FROM links UNION SELECT y, c FROM reach JOIN links ON x = d WHERE c < y),
+low AS (SELECT d, min(c) AS c FROM reach GROUP BY d)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN counts ON x = vec_id LEFT JOIN low ON d = vec_id""",
     "op5_line_dedup": f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lines AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM docs),
