@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, materialize
 
-#: Leading axes that the grid order and the boxes use; rows of an interval; intervals at most (bounds what is broadcast).
-AXES, ROWS, INTERVALS = 8, 4096, 2048
+#: Leading axes that the grid order and the boxes use; numbers in the vectors of an interval, of which a task holds two.
+AXES, NUMBERS = 8, 1 << 20
 LEAF = 512
 SAMPLE_PER_INTERVAL = 50
 
@@ -59,20 +59,39 @@ def _cells(p: np.ndarray, epsilon: float) -> np.ndarray:
 
 
 def _place(axes: np.ndarray, epsilon: float, splits):
-    """Rows with their grid key, interval and leading coordinates."""
+    """Rows with their grid key, interval and leading coordinates; ``splits`` are sorted pairs (key, id)."""
+    keys, firsts = (np.array([s[k] for s in splits], np.int64) for k in (0, 1))
 
     def run(batches):
         for batch in batches:
             p = _unit(batch.column(2).to_pylist()) @ axes if batch.num_rows else np.empty((0, len(axes)))
             key, ids = _cells(p, epsilon).view(np.int64), batch.column(0).to_numpy()
-            at = np.zeros(len(ids), np.int64)
-            for k, i in splits:  # sorted pairs (key, id)
-                at += (key > k) | ((key == k) & (ids >= i))
+            at = np.searchsorted(keys, key, "left")
+            for r in np.flatnonzero(at < np.searchsorted(keys, key, "right")):  # a split has this key: its id decides
+                while at[r] < len(keys) and keys[at[r]] == key[r] and ids[r] >= firsts[at[r]]:
+                    at[r] += 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(key), pa.array(at), pa.array(list(p[:, :AXES]), pa.list_(pa.float64()))], ["id", "n", "v", "key", "interval", "p"])
 
     return run
 
 
+def _partners(placed: DataFrame, epsilon: float) -> DataFrame:
+    """Rows (interval, pi, pj): the pairs pi <= pj of intervals whose boxes come within ``epsilon``, listed at both.
+
+    Boxes meet by the cells that they span on the first axis, one cell more on one side; the distance of the whole boxes
+    decides.
+    """
+    axes = placed.select(F.size("p").alias("n")).first()["n"]
+    box = placed.groupBy("interval").agg(*[f(F.col("p")[k]).alias(f"{name}{k}") for k in range(axes) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+    box = materialize(box)
+    cell = lambda c: F.floor(F.col(c) / epsilon)
+    left = box.select(F.col("interval").alias("pi"), *[F.col(f"{s}{k}").alias(f"a{s}{k}") for k in range(axes) for s in ("lo", "hi")], F.explode(F.sequence(cell("lo0"), cell("hi0"))).alias("cell"))
+    right = box.select(F.col("interval").alias("pj"), *[F.col(f"{s}{k}") for k in range(axes) for s in ("lo", "hi")], F.explode(F.sequence(cell("lo0") - 1, cell("hi0") + 1)).alias("cell"))
+    gap = sum(F.pow(F.greatest(F.lit(0.0), F.col(f"alo{k}") - F.col(f"hi{k}"), F.col(f"lo{k}") - F.col(f"ahi{k}")), F.lit(2)) for k in range(axes))
+    near = left.join(right, "cell").where((F.col("pi") <= F.col("pj")) & (gap <= (epsilon + 1e-9) ** 2)).select("pi", "pj").distinct()
+    return near.select(F.explode(F.array_distinct(F.array("pi", "pj"))).alias("interval"), "pi", "pj")
+
+
 def _gap(lo_a, hi_a, lo_b, hi_b) -> float:
     d = np.maximum(0, np.maximum(lo_a - hi_b, lo_b - hi_a))
     return float(np.sqrt((d * d).sum()))
@@ -157,7 +176,7 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
         m = np.array([x for _, x in sorted(sums)])
         mean, second = m[1 : dim + 1] / m[0], m[dim + 1 :].reshape(dim, dim) / m[0]
         axes = np.ascontiguousarray(np.linalg.eigh(second - np.outer(mean, mean))[1][:, ::-1])
-        count = min(INTERVALS, math.ceil(m[0] / ROWS))
+        count = math.ceil(m[0] * dim / NUMBERS)
         splits: list[tuple[int, int]] = []
         if count > 1:
             share = min(1.0, count * SAMPLE_PER_INTERVAL / m[0])
@@ -165,14 +184,8 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
             sample = sorted((r[0], r[1]) for r in picked.mapInArrow(_place(axes, epsilon, []), "id long, n long, v binary, key long, interval long, p array<double>").select("key", "id").collect())
             splits = sorted({sample[len(sample) * k // count] for k in range(1, count)}) if sample else []
         placed = materialize(of_dim.mapInArrow(_place(axes, epsilon, splits), "id long, n long, v binary, key long, interval long, p array<double>"))
-        box: dict[int, tuple[dict, dict]] = {}
-        for k, pos, lo, hi in placed.select("interval", F.posexplode("p")).groupBy("interval", "pos").agg(F.min("col"), F.max("col")).collect():
-            box.setdefault(k, ({}, {}))[0][pos] = lo
-            box[k][1][pos] = hi
-        edges = {k: tuple(np.array([x[1] for x in sorted(side.items())]) for side in b) for k, b in box.items()}
-        near = [(i, j) for i in sorted(edges) for j in sorted(edges) if i <= j and _gap(*edges[i], *edges[j]) <= epsilon + 1e-9]
-        partners = spark.createDataFrame([(k, i, j) for i, j in near for k in {i, j}], "interval long, pi long, pj long")
-        dealt = placed.select("id", "n", "v", "key", "interval").join(F.broadcast(partners), "interval")
+        dealt = placed.select("id", "n", "v", "key", "interval").join(_partners(placed, epsilon), "interval")
+        # the pairs of intervals bound each group to two intervals
         part = dealt.groupBy("pi", "pj").applyInPandas(_join_pair(axes, epsilon, cosine), "id long, links long, low long")
         found = part if found is None else found.union(part)
     if found is None:
