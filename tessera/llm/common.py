@@ -23,7 +23,8 @@ def _shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder. A local folder stands in for it only where all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "/tmp/checkpoints"
     return folder.rstrip("/")
