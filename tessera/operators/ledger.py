@@ -37,3 +37,25 @@ def fold_states(events: DataFrame, key: str, order: list[str], kind: str, start:
     step = lambda s, x: F.coalesce(F.try_element_at(table, F.concat_ws("|", s, x["e"])), s)
     moved = lists.select(key, F.aggregate("es", F.lit(start), step).alias("state"))
     return events.select(key).distinct().join(moved, key, "left").select(key, F.coalesce("state", F.lit(start)).alias("state"))
+
+
+TRANSACTION = "struct<txn_id: string, amount: bigint, content: string, occurred: string, incoming: boolean>"
+
+
+def webhook_transactions(payload: Column, kind: Column) -> Column:
+    """array<struct<txn_id, amount, content, occurred, incoming>> of a webhook's JSON payload, by the kind of its sender.
+
+    "transfer": one object whose type tells the direction; "list": ``data`` holds one object or a list, and the sign of an
+    amount its direction; "signed": one object, always incoming. Any other kind, and a payload that is no JSON, give none.
+    """
+    text = lambda path: F.get_json_object(payload, path)
+    whole = lambda c: F.coalesce(c.try_cast("double").try_cast("bigint"), F.lit(0).cast("bigint"))
+    made = lambda i, amount, content, at, incoming: F.struct(i.alias("txn_id"), amount.alias("amount"), content.alias("content"), at.alias("occurred"), incoming.alias("incoming")).cast(TRANSACTION)
+    or_empty = lambda c: F.coalesce(c, F.lit(""))
+    data = text("$.data")
+    rows = F.from_json(F.when(data.rlike(r"^\s*\["), data).otherwise(F.concat(F.lit("["), data, F.lit("]"))), "array<struct<tid: string, id: string, amount: string, description: string, when: string, transactionDateTime: string>>")
+    listed = F.transform(rows, lambda r: made(F.coalesce(F.nullif(r["tid"], F.lit("")), r["id"]), F.abs(whole(r["amount"])), or_empty(r["description"]), F.coalesce(r["when"], r["transactionDateTime"]), whole(r["amount"]) > 0))
+    transfer = made(text("$.id"), whole(text("$.transferAmount")), F.concat_ws(" ", or_empty(text("$.content")), or_empty(text("$.description"))), text("$.transactionDate"), F.coalesce(text("$.transferType"), F.lit("in")) == "in")
+    signed = made(text("$.txn_id"), whole(text("$.amount")), or_empty(text("$.content")), text("$.occurred_at"), F.lit(True))
+    none = F.array().cast(f"array<{TRANSACTION}>")
+    return F.coalesce(F.when(text("$").isNull(), none).when(kind == "transfer", F.array(transfer)).when(kind == "list", listed).when(kind == "signed", F.array(signed)), none)

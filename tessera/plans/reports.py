@@ -148,10 +148,19 @@ def r28_reuse_pending(t):
     return t.orders.select("o_orderkey", F.lag("o_orderkey").over(w).alias("reusable")).where("reusable is not null")
 
 
-@query("SELECT event_id, CASE WHEN k < 50 THEN 'out' ELSE 'in' END AS direction, abs(k - 50) AS amount FROM (SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events)")
+_HOOKS = """CASE p_partkey % 6 WHEN 0 THEN concat('{"id": ', p_partkey, ', "transferAmount": ', p_size, ', "transferType": "out", "content": "a", "description": "b"}')
+WHEN 1 THEN concat('{"id": "x', p_partkey, '", "transferAmount": ', p_size, '.0, "content": "a"}') WHEN 2 THEN concat('{"data": [{"tid": "t', p_partkey, '", "amount": -', p_size, ', "when": "2024-01-02"}, {"id": "u', p_partkey, '", "amount": ', p_size, ', "description": "d"}]}')
+WHEN 3 THEN concat('{"data": {"id": ', p_partkey, ', "amount": ', p_size, '}}') WHEN 4 THEN concat('{"txn_id": "s', p_partkey, '", "amount": ', p_size, ', "occurred_at": "2024-01-03"}') ELSE 'no json' END"""
+
+
+@query("""WITH p AS (SELECT p_partkey AS n, p_size AS s FROM part)
+SELECT n AS p_partkey, n::VARCHAR AS txn_id, s::BIGINT AS amount, 'a b' AS content, NULL AS occurred, false AS incoming FROM p WHERE n % 6 = 0 UNION ALL SELECT n, 'x' || n, s, 'a ', NULL, true FROM p WHERE n % 6 = 1
+UNION ALL SELECT n, 't' || n, s, '', '2024-01-02', false FROM p WHERE n % 6 = 2 UNION ALL SELECT n, 'u' || n, s, 'd', NULL, true FROM p WHERE n % 6 = 2
+UNION ALL SELECT n, n::VARCHAR, s, '', NULL, true FROM p WHERE n % 6 = 3 UNION ALL SELECT n, 's' || n, s, '', '2024-01-03', true FROM p WHERE n % 6 = 4""")
 def r29_webhook_normalisation(t):
-    k = F.from_json("props", "k bigint")["k"] - 50
-    return t.events.select("event_id", F.when(k < 0, "out").otherwise("in").alias("direction"), F.abs(k).alias("amount"))
+    kind = F.when(c("p_partkey") % 6 < 2, "transfer").when(c("p_partkey") % 6 < 4, "list").when(c("p_partkey") % 6 == 4, "signed").otherwise("list")
+    x = L.webhook_transactions(F.expr(_HOOKS), kind)
+    return t.part.select("p_partkey", F.explode(x).alias("x")).select("p_partkey", "x.*")
 
 
 @query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts DESC, event_id LIMIT 100")
