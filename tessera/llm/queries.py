@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chatformat, decontaminate, embdedup, htmltext, langid, linededup, minhash, packing, suffixdedup, tokencounts
+from tessera.llm import chatformat, decontaminate, embdedup, htmltext, langid, lexsearch, linededup, minhash, packing, resample, secretscan, suffixdedup, tokencounts
 from tessera.llm.common import table
 
 
@@ -66,9 +66,48 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chats.select("conv_id", F.size("back").cast("long").alias("n_turns"), F.sha2(listed, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_html_text, op9_decontamination, op10_chat_format)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    size = lexsearch.corpus_size(docs)
+    return lexsearch.search(lexsearch.build_index(docs, size), table(spark, sf_dir, "benchmark"), size)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secretscan.scan_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(secretscan.listed(F.col("base")), 256).alias("base_sha256"), secretscan.listed(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_minhash_dedup, op4_best_fit_packing, op5_line_dedup, op6_token_counts, op7_embedding_dedup, op8_html_text, op9_decontamination, op10_chat_format, op11_importance_resampling, op12_lexical_search, op13_secret_scan)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _secret_sql() -> str:
+    quoted = [p.replace("'", "''") for p in secretscan.PATTERNS]
+    good = {secretscan.ASSIGN: f"length(regexp_extract(m, '{quoted[0]}', 2)) >= {secretscan.SHORTEST}", secretscan.KEY: "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')"}
+    kinds = " UNION ALL ".join(
+        f"SELECT r, {k} AS kind, i, m, ends - length(m) AS s, ends AS e, {good.get(k, 'true')} AS good FROM (SELECT r, i, m, sum(gap + length(m)) OVER (PARTITION BY r ORDER BY i) AS ends FROM "
+        f"(SELECT r, unnest(list_transform(pieces[:-2], lambda x: length(x))) AS gap, unnest(ms) AS m, unnest(range(len(ms))) AS i FROM (SELECT r, string_split_regex(text, '{p}') AS pieces, regexp_extract_all(text, '{p}') AS ms FROM docs WHERE regexp_matches(text, '{p}'))))"
+        for k, p in enumerate(quoted)
+    )
+    name = f"[{', '.join(repr(k) for k in secretscan.KINDS)}][kind + 1] || ':' || s || ':' || e"
+    return f"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+found AS MATERIALIZED (SELECT r, kind, s::BIGINT AS s, e::BIGINT AS e FROM ({kinds}) WHERE good),
+pairs AS (SELECT a.r, a.kind AS ak, a.s AS a0, a.e AS a1, p.kind, p.s, p.e FROM found a JOIN found p ON a.r = p.r AND a.kind IN (1, 3) AND p.kind IN (0, 2, 4, 5) AND p.s >= a.s - 300 AND p.e <= a.e + 300 AND (p.e <= a.s OR p.s >= a.e)
+  WHERE NOT EXISTS (SELECT 1 FROM found b WHERE b.r = a.r AND b.kind = 6 AND b.s >= least(a.s, p.s) AND b.s < greatest(a.s, p.s))
+    AND (p.kind <> 4 OR NOT EXISTS (SELECT 1 FROM found x WHERE x.r = p.r AND x.kind NOT IN (4, 6) AND x.s < p.e AND x.e > p.s))),
+whole AS (SELECT *, bool_or(kind <> 5) OVER (PARTITION BY r, ak, a0) AND bool_or(kind = 5) OVER (PARTITION BY r, ak, a0) AS complete FROM pairs),
+spans AS (SELECT r, kind, s, e FROM found WHERE kind <= 2 UNION ALL SELECT DISTINCT r, kind, s, e FROM (SELECT r, kind, s, e FROM whole WHERE complete UNION ALL SELECT r, ak, a0, a1 FROM whole WHERE complete) WHERE kind > 2)
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg({name}, ',' ORDER BY s, kind, e) FILTER (kind <= 2), '')) AS base_sha256, coalesce(string_agg({name}, ',' ORDER BY s, kind, e), '') AS spans
+FROM docs LEFT JOIN spans USING (r) GROUP BY r, doc_id"""
+
+
 _ONE_TEXT = "SELECT doc_id, coalesce(min(text), '') AS text FROM documents WHERE doc_id IS NOT NULL GROUP BY doc_id"
 ORACLE_SQL = {
     "op2_suffix_dedup": f"""
@@ -130,4 +169,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
   sum(shown + CASE WHEN goes_on THEN 10 ELSE 12 + length(role) + 1 + 11 END)::BIGINT AS formatted_chars
 FROM seen GROUP BY conv_id""",
+    "op11_importance_resampling": f"""
+WITH made AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+rows AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+words AS MATERIALIZED (SELECT r, unnest(ws) AS w FROM rows),
+aims AS MATERIALIZED (SELECT unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS w FROM benchmark),
+distinct_words AS MATERIALIZED (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM words UNION SELECT w FROM aims)),
+buckets AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM distinct_words, made),
+corpus AS (SELECT b, count(*) AS s FROM words JOIN buckets USING (w) GROUP BY b),
+target AS (SELECT b, count(*) AS t FROM aims JOIN buckets USING (w) GROUP BY b),
+totals AS (SELECT (SELECT count(*) FROM words)::DOUBLE AS big_s, (SELECT count(*) FROM aims)::DOUBLE AS big_t),
+gains AS MATERIALIZED (SELECT b, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((coalesce(s, 0) + 1) * (big_t + 10000))))::BIGINT AS g FROM corpus FULL JOIN target USING (b), totals),
+weights AS (SELECT r, count(*) AS n, sum(g)::BIGINT AS weight FROM words JOIN buckets USING (w) JOIN gains USING (b) GROUP BY r),
+scored AS MATERIALIZED (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM rows LEFT JOIN weights USING (r)),
+ranked AS (SELECT *, doc_id IS NOT NULL AND n_features >= 20 AS pool, row_number() OVER (PARTITION BY doc_id IS NOT NULL AND n_features >= 20 ORDER BY score DESC, doc_id, n_features, weight) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN pool AND place <= (SELECT 10 * count(*) // 100 FROM ranked WHERE pool) THEN place END AS rank FROM ranked""",
+    "op12_lexical_search": rf"""
+WITH found AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{lexsearch.TERM}') AS ws FROM documents),
+docs AS MATERIALIZED (SELECT r, doc_id, len(ws) AS n FROM found WHERE len(ws) > 0),
+stats AS MATERIALIZED (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM docs),
+asked AS MATERIALIZED (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(min(text), ''), '{_UPPER}', '{_LOWER}'), '{lexsearch.TERM}')) AS t FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id) GROUP BY item_id, t),
+postings AS MATERIALIZED (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM found) SEMI JOIN asked USING (t) GROUP BY r, t),
+weights AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, stats GROUP BY t, big_n),
+scored AS (SELECT item_id, r, sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))))::BIGINT AS score
+  FROM postings JOIN docs USING (r) JOIN weights USING (t) JOIN asked USING (t), stats GROUP BY item_id, r),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scored JOIN docs USING (r) WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT * FROM ranked WHERE rank <= 20""",
+    "op13_secret_scan": _secret_sql(),
 }
