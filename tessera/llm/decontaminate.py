@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.hashing import CHUNK, U, mix, prefix, rolling, windows
+from tessera.llm.hashing import CHUNK, U, mix, name_words, rolling
 
 WINDOW, SHORTEST, LITERALS = 13, 5, 0.6
 #: Literal words of a whole item that is used as one window: what the shortest placeholder window needs.
@@ -55,10 +55,9 @@ def _words(data: bytes):
         first, last = cut[:-1], cut[1:]
         keep = kind[first] > 0
         first, last = first[keep], last[keep]
-        low = np.frombuffer(raw.tobytes().lower(), np.uint8)
         two = raw[np.minimum(first + 1, len(raw) - 1)]
         cap = _UPPER[raw[first]] | ((raw[first] == 0xC3) & (two >= 0x80) & (two <= 0x9E))
-        parts.append((windows(prefix(low), first, last), kind[first], cap))
+        parts.append((name_words(raw.tobytes().lower(), first, last), kind[first], cap))
         at = stop
     if not parts:
         return np.empty(0, np.uint64), np.empty(0, np.int8), np.empty(0, bool)

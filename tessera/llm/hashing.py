@@ -12,6 +12,8 @@ _ROW_BYTE = np.random.default_rng(20240608).integers(1, 1 << 63, (2, 256), dtype
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LIMIT = CHUNK + 1024
+#: Bytes of a word from which on it has a hash of its own kind: sums modulo 2^64 are equal for some long words that differ.
+LONG_WORD = 64
 _POW = np.cumprod(np.concatenate([[U(1)], np.full(_LIMIT, U(_BASE))]), dtype=np.uint64)
 _INV = np.cumprod(np.concatenate([[U(1)], np.full(_LIMIT, U(_INVERSE))]), dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
@@ -41,6 +43,14 @@ def windows(p: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix((p[stop] - p[start]) * _INV[start])
 
 
+def name_words(data: bytes, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, stop) of at most CHUNK + 1024 bytes: by sums where they are short, else one by one."""
+    h = windows(prefix(np.frombuffer(data, np.uint8)), start, stop)
+    for i in np.flatnonzero(stop - start > LONG_WORD):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : stop[i]])
+    return h
+
+
 def row_hashes(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A hash of each row of a byte matrix; the salts 0 and 1 give two that have nothing in common."""
     h = np.zeros(len(x), np.uint64)
@@ -83,7 +93,7 @@ def word_hashes(data: bytes) -> np.ndarray:
         gap = np.concatenate([[True], _SPACE[b], [True]])
         edge = np.flatnonzero(gap[1:] != gap[:-1])
         if len(edge):
-            out.append(windows(prefix(b), edge[0::2], edge[1::2]))
+            out.append(name_words(piece, edge[0::2], edge[1::2]))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 

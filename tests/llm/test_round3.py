@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import lexsearch, resample, secretscan
+from tessera.llm import decontaminate, lexsearch, minhash, resample, secretscan
 
 from .brute import LOW
 from .test_cases import crowded
@@ -191,3 +191,17 @@ def test_weak_parts_are_reported_only_together(spark):
     assert got[0] == trio and sorted(got[7]) == sorted(trio)
     assert not any(got[i] for i in range(1, 6))
     assert got[6] == [("endpoint", url), ("access", "AKIA" + "Q" * 16), ("assign", "password=hunter22")]
+
+
+def test_long_words_that_sums_confuse_stay_apart(spark):
+    """Sums modulo 2^64 of a word of the Thue-Morse sequence and of its swap are equal, whatever the weights of the letters."""
+    swap = str.maketrans("ab", "ba")
+    w = "a"
+    while len(w) < 4096:
+        w += w.translate(swap)
+    docs = [(1, w), (2, w.translate(swap)), (3, w)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    item = "one two three " + w + " four five six"
+    leaks = decontaminate.find_leaks(spark.createDataFrame([(1, item), (2, item.replace(w, w.translate(swap)))], DOCS), spark.createDataFrame([(7, item)], ITEMS))
+    assert [r.doc_id for r in leaks.collect()] == [1]
