@@ -125,3 +125,49 @@ def t6_state_machine(t):
     from tessera.operators.ledger import fold_states
 
     return fold_states(t.events, "user_id", ["ts", "event_id"], "event_type", "new", {("new", "signup"): "member", ("member", "purchase"): "buyer", ("buyer", "error"): "returned"})
+
+
+@query("""SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts) AS window_start, count(*) AS n, count(*) > 1 AS rejected FROM events GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 1 DAY > (SELECT max(ts) FROM events)""")
+def t2_live_windows(t):
+    from tessera.streaming.expiry import live_counters
+
+    return live_counters(t.events, "user_id", "ts", 21600, 1)
+
+
+@query("""WITH d AS (SELECT event_id, user_id, value, least(datediff('day', DATE '2024-01-01', ts::DATE) // 6, 4) AS day FROM events), last AS (SELECT user_id, max(day) AS epoch FROM d WHERE event_id % 37 = 0 GROUP BY 1)
+SELECT user_id, epoch, count(*) AS n, round(sum(value), 4) AS total FROM d JOIN last USING (user_id) WHERE day <= epoch AND user_id % 5 <> epoch GROUP BY 1, 2""")
+def t7_refreshed_keys(t):
+    """Five epochs of users with marked events, two epochs tried twice; in each a fifth of the users have no rows left."""
+    from tessera.sources.scratch import shared_folder
+    from tessera.streaming.refresh import current, write_epoch
+
+    target = _own_folder(t.spark, shared_folder(t.spark))
+    days = t.events.withColumn("day", F.least(F.floor(F.datediff(c("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 6), F.lit(4)))
+    for epoch in (0, 1, 1, 2, 3, 3, 4):
+        totals = lambda dirty, e=epoch: days.where(c("day") <= e).join(dirty, "user_id", "left_semi").where(c("user_id") % 5 != e).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        write_epoch(days.where((c("day") == epoch) & (c("event_id") % 37 == 0)), epoch, ["user_id"], totals, target, snapshot_every=3)
+    return current(t.spark, target, ["user_id"]).select("user_id", c("epoch").cast("long").alias("epoch"), "n", "total")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
+def m7_batched_import(t):
+    """An import in four batches that breaks off after two and is started again."""
+    from tessera.sources.batches import committed, import_batches
+    from tessera.sources.scratch import shared_folder
+
+    target = _own_folder(t.spark, shared_folder(t.spark))
+    rows = t.orders.count() // 4 + 1
+    for most in (2, None):
+        import_batches(t.orders, target, "o_orderkey", "orders", rows, lambda df: df.select("o_orderkey", "o_custkey", "o_totalprice"), most)
+    return committed(t.spark, target, "orders").drop("batch")
+
+
+def _own_folder(spark, folder):
+    import uuid
+
+    from tessera.sources import scratch
+
+    path = f"{folder}/tessera-{uuid.uuid4().hex}"
+    scratch._kept.append(path)
+    return path

@@ -26,15 +26,6 @@ def ingest_once(events: DataFrame, keys: list[str], ts: str, delay: str = "1 day
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def refresh_changed(stream: DataFrame, keys: list[str], recompute, target: str, checkpoint: str):
-    """Dirty-key refresh: each micro-batch recomputes only the keys it names and appends the result to ``target``."""
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        recompute(df.select(*keys).distinct()).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(target)
-
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def timeouts(events: DataFrame, key: str, ts: str, status: str, open_status: str, ttl_seconds: int, delay: str = "0 seconds") -> DataFrame:
     """(key, due) of keys whose last status is still ``open_status`` after ``ttl_seconds``.
 
