@@ -124,24 +124,28 @@ UNITS = set("mm cm dm m km inch inches foot feet yard yards mile miles mg g kg t
 
 
 def template_tokens(text, names):
-    """(template token, surface, literal) of each token of an ASCII text."""
+    """(template token, surface, literal) of each token of an ASCII text without number words; a run of names is one."""
     words = re.findall(r"[A-Za-z]+|\d+(?:[.,]\d+)*", text or "")
     out = []
     for k, w in enumerate(words):
         number = w[0].isdigit()
         unit = k > 0 and words[k - 1][0].isdigit() and w.lower() in UNITS
-        if number or unit or (names and w[0].isupper()):
+        name = names and w[0].isupper() and not number and not unit
+        if name and out and out[-1][0] == "<c>":
+            out[-1] = ("<c>", f"{out[-1][1]} {w.lower()}", False)
+        elif number or unit or name:
             out.append(("<n>" if number else "<u>" if unit else "<c>", w.lower(), False))
         else:
             out.append((w.lower(), w.lower(), True))
     return out
 
 
-def slots(tokens):
-    seen = {}
-    return tuple(seen.setdefault(s, len(seen)) for _, s, literal in tokens if not literal)
-
-
 def template_windows(text, names, width, share=0.6):
+    """(template, surfaces of the slots) of each window."""
     t = template_tokens(text, names)
-    return {(tuple(x[0] for x in w), slots(w)) for w in (t[k : k + width] for k in range(len(t) - width + 1)) if sum(x[2] for x in w) >= share * width}
+    return {(tuple(x[0] for x in w), tuple(x[1] for x in w if not x[2])) for w in (t[k : k + width] for k in range(len(t) - width + 1)) if sum(x[2] for x in w) >= share * width}
+
+
+def templates_meet(own, other):
+    """Whether a window of a document is one of an item with other slots, of which equal ones stay equal."""
+    return any(a == b and all(s[j] == s[k] for j in range(len(r)) for k in range(j) if r[j] == r[k]) for a, r in own for b, s in other)

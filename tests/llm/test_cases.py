@@ -262,8 +262,9 @@ def test_decontamination_against_brute_force(spark):
                 own = brute.template_windows(item, names, 13)
                 whole = not own and sum(x[2] for x in brute.template_tokens(item, names)) >= decontaminate.LEAST
                 width = len(brute.template_tokens(item, names))
-                hit |= bool(own & brute.template_windows(text, names, 13))
-                hit |= bool(whole and brute.template_windows(item, names, width, 0) & brute.template_windows(text, names, width, 0))
+                hit |= brute.templates_meet(own, brute.template_windows(text, names, 13))
+                whole = whole and (not names or width >= 13)
+                hit |= whole and brute.templates_meet(brute.template_windows(item, names, width, 0), brute.template_windows(text, names, width, 0))
             low = [x[1] for x in brute.template_tokens(item, False)]
             in_doc = [x[1] for x in brute.template_tokens(text, False)]
             plain = [x[2] for x in brute.template_tokens(item, False)]

@@ -335,7 +335,7 @@ def test_decontamination_of_items_full_of_numbers_and_names(spark, monkeypatch,
     docs = [f"{plain} {x} {plain}" for x in (train, train.replace("60", "45").replace("90", "80"), names, sums, sums.replace("30", "31"), "Why so", train.replace("60", "2"))]
     docs += ["why so?", "why not", "6 7 8 9 10", "1 2 3 4 5", "60 km in 2 hours and 90 km in 3 hours", plain]
     got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), items).collect()}
-    assert got == {0: [0], 1: [0], 2: [1], 3: [2], 4: [2], 7: [3], 10: [4]}
+    assert got == {0: [0], 1: [0], 2: [1], 3: [2], 4: [2], 6: [0], 7: [3], 10: [4]}  # 6 has two numbers alike that differ in the item
 
 
 def test_suffix_of_repeated_rows(spark):

@@ -205,3 +205,39 @@ def test_long_words_that_sums_confuse_stay_apart(spark):
     item = "one two three " + w + " four five six"
     leaks = decontaminate.find_leaks(spark.createDataFrame([(1, item), (2, item.replace(w, w.translate(swap)))], DOCS), spark.createDataFrame([(7, item)], ITEMS))
     assert [r.doc_id for r in leaks.collect()] == [1]
+
+
+def test_questions_with_other_parameters_are_found(spark):
+    item = "A car goes 60 km in 2 hours and stops by the old mill where Maria waits"
+    asked = {
+        0: item.replace("60", "75").replace("2", "3"), 1: item.replace("60", "2"), 2: item.replace("km", "metres"), 3: item.replace("km", "kilometers").replace("60", "five"), 4: item.replace("60", "sixty").replace("2", "two"),
+        5: item.replace("60", "one hundred twenty"), 6: item.replace("Maria", "Anna Lena"), 7: item.replace("Maria", "Anna Lena Berg").replace("60 km", "7.5 miles"),
+    }
+    other = {20: item.replace("stops", "halts"), 21: item.replace("old mill", "new bridge"), 22: "A car goes fast"}
+    twice = "12 red apples today and then 12 green pears are put there"
+    other |= {23: twice.replace("12", "5", 1)}
+    asked |= {8: twice.replace("12", "5"), 9: twice.replace("12", "twelve", 1)}  # twelve is 12
+    docs = spark.createDataFrame([(i, f"so {t} now then") for i, t in (asked | other).items()], DOCS)
+    got = {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item), (2, twice)], ITEMS)).collect()}
+    assert got == set(asked)
+
+
+def test_recall_of_new_parameters(spark):
+    """Items of numbers, units and names are asked anew at random; nearly all must be found, and nothing in other texts."""
+    rnd = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    numbers, units, names = ["4", "17", "250", "3.5", "seven", "forty two", "ninety"], ["km", "metres", "hours", "kilograms", "euros", "minutes"], ["Ann", "Bob Stone", "Eva", "Mary Ann Lee"]
+
+    def fill(parts):
+        return " ".join(rnd.choice(numbers) if p == "#" else rnd.choice(units) if p == "%" else rnd.choice(names) if p == "@" else p for p in parts)
+
+    shapes = []
+    for _ in range(60):
+        parts = rnd.choices(words, k=24)
+        for at in rnd.sample(range(1, 22, 5), 3):
+            parts[at : at + 2] = rnd.choice([["#", "%"], ["#", parts[at + 1]], ["@", parts[at + 1]]])
+        shapes.append(parts)
+    items = spark.createDataFrame([(i, fill(s)) for i, s in enumerate(shapes)], ITEMS)
+    docs = [(i, f"{' '.join(rnd.choices(words, k=30))} {fill(s)} {' '.join(rnd.choices(words, k=30))}") for i, s in enumerate(shapes)] + [(1000 + i, " ".join(rnd.choices(words, k=90))) for i in range(60)]
+    got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert all(i < 1000 and got[i] == [i] for i in got) and len(got) >= 57
