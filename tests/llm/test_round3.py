@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, lexsearch, minhash, resample, secretscan
+from tessera.llm import decontaminate, htmltext, lexsearch, minhash, resample, secretscan
 
 from .brute import LOW
 from .test_cases import crowded
@@ -241,3 +241,54 @@ def test_recall_of_new_parameters(spark):
     docs = [(i, f"{' '.join(rnd.choices(words, k=30))} {fill(s)} {' '.join(rnd.choices(words, k=30))}") for i, s in enumerate(shapes)] + [(1000 + i, " ".join(rnd.choices(words, k=90))) for i in range(60)]
     got = {r.doc_id: r.item_ids for r in decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), items).collect()}
     assert all(i < 1000 and got[i] == [i] for i in got) and len(got) >= 57
+
+
+BROKEN = ["<a ", '<a x="', '<a "x', '<a "x>', "<a 'x\"y>", "<p class='", "<form>", "<script>", "<!-- ", "<a b='\"><\"", "</", "<", "<x y=z ", "<div></p>"]
+
+
+@pytest.mark.parametrize("part", BROKEN)
+def test_broken_tags_cost_a_pass(part):
+    import time
+
+    page = part * (1_000_000 // len(part))
+    began = time.process_time()
+    htmltext.main_text(page, {})
+    assert time.process_time() - began < 5  # a second or less on a free machine; what was quadratic took minutes
+
+
+def test_pieces_join_to_the_page_without_what_is_left_out():
+    rnd = random.Random(1)
+    parts = ["<p>", "</p>", "<a href='x>y'>", '<b t="', '"', "'", "<", ">", "text ", "<div class=a>", "</div>", "<img/>"]
+    for _ in range(300):
+        page = "".join(rnd.choices(parts, k=rnd.randint(0, 30)))
+        got = list(htmltext.pieces(page))
+        assert "".join(t for _, t, _ in got) == page and all(page.startswith(t, at) for at, t, _ in got)
+
+
+def test_forms_around_a_page_and_labels_in_it():
+    page = "<body><form id=f><div class=nav><a>Home</a></div><p>One two three.</p><p>Four five</p><footer>end</footer></form></body>"
+    assert htmltext.main_text(page, {}) == "One two three.\n\nFour five"
+    page = "<body><article><p>One</p><label>kept</label><form><label>no</label><p>nor this</p></form></article></body>"
+    assert htmltext.main_text(page, {}) == "One\n\nkept"
+
+
+def test_weights_decide_where_no_name_tells(spark):
+    """Weights learned from half of the pages find the text of the others after all telling names, classes and ids are gone."""
+    import os
+
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights = htmltext.learn_weights(pages.where("page_id % 2 = 0"))
+    named = [r.html for r in pages.where("page_id % 2 = 1").select("html").collect() if r.html]
+    truth = [htmltext.main_text(p, weights) for p in named]
+    bare = [re.sub(r"(?i)\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", re.sub(r"(?i)<(/?)(article|main|section|nav|header|footer|aside|form|button|label|title|dialog)\b", r"<\1div", p)) for p in named]
+
+    def shares(texts):
+        common = sum((Counter(a.split()) & Counter(b.split())).total() for a, b in zip(texts, truth, strict=True))
+        return common / sum(len(t.split()) for t in texts), common / sum(len(t.split()) for t in truth)
+
+    precision, recall = shares([htmltext.main_text(p, weights) for p in bare])
+    whole = [" ".join(x for k, x, *rest in htmltext.tokens(p, weights) if k == "w") for p in bare]
+    assert precision > 0.99 and recall > 0.99
+    assert shares(whole)[0] < 0.97  # all text of the page: the region matters
