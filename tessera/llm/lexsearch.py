@@ -175,11 +175,20 @@ def _indexer(docs: int, tokens: int, shard_docs: int, shard_terms: int):
     return run
 
 
+def _counter(batches):
+    """Documents with a term, and all their terms, of a task."""
+    docs = tokens = 0
+    for batch in batches:
+        for text in batch.column(0):
+            n = len(terms(text.as_py()))
+            docs, tokens = docs + (n > 0), tokens + n
+    yield pa.RecordBatch.from_arrays([pa.array([docs], pa.int64()), pa.array([tokens], pa.int64())], ["docs", "tokens"])
+
+
 def corpus_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """Documents with a term, and all their terms."""
-    n = F.regexp_count(F.col(text_col).cast("string"), F.lit(TERM))
-    got = docs.select(n.cast("long").alias("n")).where("n > 0").agg(F.count("*"), F.sum("n")).first()
-    return got[0], got[1] or 0
+    got = docs.select(F.col(text_col).cast("string")).mapInArrow(_counter, "docs long, tokens long").agg(F.sum("docs"), F.sum("tokens")).first()
+    return got[0] or 0, got[1] or 0
 
 
 def build_index(docs: DataFrame, size: tuple[int, int], id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, shard_terms: int = SHARD_TERMS) -> DataFrame:
