@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import norm_key
+from tessera.sources.scratch import Scratch
 
 #: Fixed value: a stem with a shorter key is too short to compare.
 SHORTEST_KEY = 40
@@ -26,8 +27,11 @@ def duplicate_keys(stem: Column, options: Column, has_image: Column | None = Non
 def duplicate_index(keys: DataFrame, id_col: str, exact: str, near: str, most: int = 5) -> DataFrame:
     """Rows (id_col, code, partners): up to ``most`` others of the same exact key, else of the same near key.
 
-    Spark keeps the first ids of each key before the shuffle, so a key that very many rows share sends few of them.
+    Spark keeps the first ids of each key before the shuffle, so a key that very many rows share sends few of them. The keys,
+    which are read several times, are written once.
     """
+    with Scratch(keys.sparkSession) as scratch:
+        keys = scratch.keep(scratch.write(keys.select(id_col, exact, near)))
 
     def partners(key: str, code: str) -> DataFrame:
         d = keys.select(id_col, F.col(key).alias("k")).where("k is not null")
@@ -70,19 +74,20 @@ def trigram_locate(questions: DataFrame, q_id: str, q_text: str, pages: DataFram
     """The ``top`` pages per question by the share of its word trigrams that they hold.
 
     Only trigrams that a question has leave the pages: the questions' own go to the pages where they are few enough. Shared
-    ones are counted per question and page before anything is shuffled by them.
+    ones are counted per question and page before anything is shuffled by them. A trigram is two hashes of its words, 128 bits.
     """
 
     def grams(df, key, text, out):
         w = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        g = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 3), " "))
-        return df.select(F.col(key).alias(out), w.alias("w")).where(F.size("w") > 2).select(out, F.explode(F.array_distinct(g)).alias("g"))
+        three = lambda i: [F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)]
+        g = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.struct(F.xxhash64(*three(i)).alias("g"), F.xxhash64(*three(i)[::-1]).alias("r")))
+        return df.select(F.col(key).alias(out), w.alias("w")).where(F.size("w") > 2).select(out, F.inline(g))
 
-    q = grams(questions, q_id, q_text, "q")
+    q = grams(questions, q_id, q_text, "q").distinct()
     size = q.groupBy("q").agg(F.count("*").alias("n"))
     of = q.join(size, "q")
     few = q.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
-    hits = grams(pages, p_id, p_text, "p").join(F.broadcast(of) if few else of, "g").groupBy("q", "p").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    hits = grams(pages, p_id, p_text, "p").join(F.broadcast(of) if few else of, ["g", "r"]).distinct().groupBy("q", "p").agg(F.count("*").alias("k"), F.max("n").alias("n"))
     scored = hits.select("q", "p", F.round(F.col("k") / F.col("n"), 4).alias("score"))
     r = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "p"))
     return scored.withColumn("r", r).where(F.col("r") <= top).drop("r")
