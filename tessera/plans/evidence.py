@@ -9,46 +9,101 @@ from tessera.operators import evidence as E
 from tessera.plans.base import query
 
 c = F.col
-_STEM = "concat('What is the weight of ', p_name, ' when it is packed for the trip?')"
+#: The first lines of a document, which stand for the parts of a question.
+_LINES = "SELECT *, string_split(text, chr(10)) AS ls, length(text) AS n FROM documents"
 
 
-@query(f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'It is ' || p_size WHEN 1 THEN NULL WHEN 2 THEN substr(stem, 1, length(stem) // 2) || '# no echo' WHEN 3 THEN '# so it goes' ELSE NULL END AS rest
-FROM (SELECT p_partkey, p_size, {_STEM} AS stem FROM part)""")
+def _lines(t):
+    return t.documents.withColumns({"ls": F.split("text", "\n", -1), "n": F.length("text")})
+
+
+def _line(k: int):
+    return F.get("ls", F.lit(k))
+
+
+def _re2(pattern: str) -> str:
+    """A pattern for RE2: no Unicode flag, no look-behind, so a word's edge is the character before or behind it."""
+    for old, new in (("(?iuU)", "(?i)"), ("(?iu)", "(?i)"), ("(?U)", ""), (r"\d\p{L}(?<![đ])", r"\d[^\P{L}đ]"), (r"(?<!\w)", r"(?:^|[^\p{L}\p{N}_])"), (r"(?!\w)", r"(?:$|[^\p{L}\p{N}_])"), ("'", "''")):
+        pattern = pattern.replace(old, new)
+    return pattern
+
+
+#: A solution that begins with its stem, with the stem's first part, with another spelling of it, or with something else.
+_SOLVED = "CASE n % 6 WHEN 0 THEN ls[1] || '  ' || coalesce(ls[2], '') WHEN 1 THEN ls[1] WHEN 2 THEN substr(ls[1], 1, length(ls[1]) // 2) || coalesce(ls[2], '') WHEN 3 THEN substr(ls[1], 1, length(ls[1]) * 9 // 10) || coalesce(ls[2], '') WHEN 4 THEN replace(ls[1], 'ou', 'uo') ELSE ls[2] END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN length(stem) >= 40 AND k >= 0.8 * length(stem) THEN nullif(regexp_replace(substr(solution, k + 1), '^\\s+', ''), '') ELSE nullif(solution, '') END AS rest
+FROM (SELECT *, len(list_filter(range(1, least(length(stem), length(solution)) + 1), lambda i: substr(stem, 1, i) = substr(solution, 1, i))) AS k FROM (SELECT doc_id, ls[1] AS stem, {_SOLVED} AS solution FROM ({_LINES})))""")
 def c13_strip_echo(t):
-    stem = F.expr(_STEM)
+    n, stem, other = c("n") % 6, _line(0), F.coalesce(_line(1), F.lit(""))
     head = lambda share: F.substr(stem, F.lit(1), F.floor(F.length(stem) * share).cast("int"))
-    solution = F.when(c("p_partkey") % 5 == 0, F.concat(stem, F.lit("  \n It is "), c("p_size").cast("string"))).when(c("p_partkey") % 5 == 1, stem).when(c("p_partkey") % 5 == 2, F.concat(head(0.5), F.lit("# no echo"))).when(c("p_partkey") % 5 == 3, F.concat(head(0.9), F.lit("# so it goes")))
-    return t.part.select("p_partkey", E.strip_stem_echo(stem, solution).alias("rest"))
+    solution = F.when(n == 0, F.concat(stem, F.lit("  "), other)).when(n == 1, stem).when(n == 2, F.concat(head(0.5), other)).when(n == 3, F.concat(F.substr(stem, F.lit(1), F.floor(F.length(stem) * 9 / 10).cast("int")), other)).when(n == 4, F.replace(stem, F.lit("ou"), F.lit("uo"))).otherwise(_line(1))
+    return _lines(t).select("doc_id", E.strip_stem_echo(stem, solution).alias("rest"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 1 AND p_size % 4 <> 0 THEN 'stem' WHEN p_partkey % 6 = 2 THEN '4.5' WHEN p_partkey % 6 = 0 THEN 'stem|4.5' ELSE 'stem|' || CASE WHEN p_partkey % 6 = 1 THEN '4.5.' ELSE '45' END END AS stem, CASE WHEN p_partkey % 6 = 1 AND p_size % 4 <> 0 THEN '4.5' END AS key FROM part")
+#: Keys: the last line with other stops and blanks around it, its begin, or nothing.
+_KEYED = "CASE n % 5 WHEN 0 THEN ' ' || ls[-1] || '..' WHEN 1 THEN regexp_replace(ls[-1], '\\.+$', '') WHEN 2 THEN substr(ls[-1], 1, 5) WHEN 3 THEN ' ' ELSE NULL END"
+_BARE = r"regexp_replace(trim({}), '\.+$', '')"
+
+
+@query(f"""SELECT doc_id, array_to_string(CASE WHEN hit THEN ls[:-2] ELSE ls END, '|') AS stem, CASE WHEN hit THEN {_BARE.format("ls[-1]")} END AS key FROM (SELECT *, coalesce(provided AND len(ls) >= 2 AND trim(key) <> '' AND {_BARE.format("ls[-1]")} = {_BARE.format("key")}, false) AS hit
+FROM (SELECT doc_id, n, ls, {_KEYED} AS key, n % 4 <> 0 AS provided FROM (SELECT doc_id, n, ls[1:3] AS ls FROM ({_LINES}))))""")
 def k12_printed_key(t):
-    kind = c("p_partkey") % 6
-    paragraphs = F.when(kind == 1, F.array(F.lit("stem"), F.lit("4.5."))).when(kind == 2, F.array(F.lit("4.5"))).when(kind == 0, F.array(F.lit("stem"), F.lit("4.5"))).otherwise(F.array(F.lit("stem"), F.lit("45")))
-    key = F.when(kind == 0, F.lit(None).cast("string")).otherwise(F.lit(" 4.5 "))
-    x = E.strip_printed_key(paragraphs, key, c("p_size") % 4 != 0)
-    return t.part.select("p_partkey", x.alias("x")).select("p_partkey", F.array_join("x.stem", "|").alias("stem"), c("x.key").alias("key"))
+    d = _lines(t).withColumn("ls", F.slice("ls", 1, 3))
+    n, last = c("n") % 5, F.element_at("ls", -1)
+    key = F.when(n == 0, F.concat(F.lit(" "), last, F.lit(".."))).when(n == 1, F.regexp_replace(last, r"\.+$", "")).when(n == 2, F.substring(last, 1, 5)).when(n == 3, " ")
+    x = E.strip_printed_key(c("ls"), key, c("n") % 4 != 0)
+    return d.select("doc_id", x.alias("x")).select("doc_id", F.array_join("x.stem", "|").alias("stem"), c("x.key").alias("key"))
 
 
-@query(r"SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '\fracab+' || p_size || '.5' WHEN 1 THEN '(x)*y' WHEN 2 THEN 'a-{\pi}' WHEN 3 THEN '\frac{12}x' ELSE '' END AS tex FROM part")
-def c26_norm_tex(t):
-    k = c("p_partkey") % 5
-    raw = F.when(k == 0, F.concat(F.lit(r"$\dfrac{a}{{b}} + "), c("p_size").cast("string"), F.lit(",5$"))).when(k == 1, r"\left( {x} \right)\times~y").when(k == 2, r" a − {\pi} ").when(k == 3, r"\tfrac{12}{x}")
-    return t.part.select("p_partkey", E.norm_tex(raw).alias("tex"))
+#: Formulas: the begins of texts, with commands, brackets and braces where words of the corpus were.
+_TEX = [(" the ", r" \dfrac{a}{{b}} + "), (" of ", r" \times "), (" de ", r"\left( {x} \right)"), (" la ", " − {\\pi} "), (" die ", r"\tfrac{12}{{{y}}}"), (" in ", "~3,5 "), (" and ", r"\cdot\, z"), (" der ", " $ ")]
+
 
+def _tex_sql() -> str:
+    x = "substr(text, 1, 160)"
+    for old, new in _TEX:
+        x = f"replace({x}, '{old}', '{new}')"
+    return f"CASE WHEN n % 3 = 0 THEN '$$' || {x} || '$' ELSE {x} END"
 
 
-_OPTION_TEXTS = ["the river carries sand down toward the delta", "strong winds shape dunes along the coast", "slow glaciers carve valleys between high peaks", "warm currents bring heavy rain onto land"]
+def _after(x: str, *steps: tuple[str, str]) -> str:
+    for old, new in steps:
+        x = f"regexp_replace({x}, '{old}', '{new}', 'g')"
+    return x
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 7 NOT IN (0, 1, 2) AND p_partkey % 4 <> 0 THEN substr('ABCD', (p_partkey % 4 + 1)::INT, 1) END AS suggested FROM part")
+_TEX_FLAT = _after("translate(replace(replace(" + _after("trim(raw)", (r"^\$+|\$+$", ""), (r"\\(?:left|right)\b", ""), (r"\\[dt]frac", r"\\frac")) + r", '\cdot', '*'), '\times', '*'), '−,', '-.')", (r"\\[,;:! ]|~", ""), (r"\s+", ""))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, {_TEX_FLAT} AS tex FROM (SELECT doc_id, {_tex_sql()} AS raw FROM ({_LINES}))), r AS (SELECT doc_id, 0 AS i, tex FROM t UNION ALL SELECT doc_id, i + 1, regexp_replace(tex, '\\{{(\\\\?[A-Za-z0-9])\\}}', '\\1', 'g') FROM r WHERE regexp_matches(tex, '\\{{(\\\\?[A-Za-z0-9])\\}}'))
+SELECT doc_id, arg_max(tex, i) AS tex FROM r GROUP BY doc_id""")
+def c26_norm_tex(t):
+    raw = F.substring("text", 1, 160)
+    for old, new in _TEX:
+        raw = F.replace(raw, F.lit(old), F.lit(new))
+    d = t.documents.select("doc_id", F.length("text").alias("n"), raw.alias("raw"))
+    return d.select("doc_id", E.norm_tex(F.when(c("n") % 3 == 0, F.concat(F.lit("$$"), c("raw"), F.lit("$"))).otherwise(c("raw"))).alias("tex"))
+
+
+#: Options: four lines cut short; solutions: one of them in other words, by letter, or too little.
+_OPTS = "list_transform(ls[2:5], lambda o: substr(o, 1, 60))"
+_TOLD = "CASE n % 7 WHEN 0 THEN 'B. ' || os[2] WHEN 1 THEN substr(os[3], 1, 20) WHEN 2 THEN replace(os[n % 4 + 1], 'ou', 'o') ELSE 'Vì ' || os[n % 4 + 1] || '.' END"
+_LONG = r"list_filter(regexp_extract_all(lower(o), '[\p{L}\p{N}]+'), lambda w: length(w) > 1)"
+
+
+@query(rf"""WITH q AS MATERIALIZED (SELECT doc_id, n, {_OPTS} AS os, CASE WHEN n % 11 = 0 THEN 'Câu nào không đúng?' ELSE 'Câu nào đúng?' END AS stem FROM ({_LINES}) WHERE len(ls) >= 5),
+s AS MATERIALIZED (SELECT *, {_TOLD} AS solution, regexp_replace(lower({_TOLD}), '[^\p{{L}}\p{{N}}]+', '', 'g') AS flat FROM q),
+o AS (SELECT doc_id, unnest(os) AS o, unnest(['A', 'B', 'C', 'D']) AS label, flat FROM s),
+r AS (SELECT doc_id, label, len(ws) AS words, coalesce(len(list_filter(ws, lambda w: contains(flat, w)))::DOUBLE / nullif(len(ws), 0), 0) AS share FROM (SELECT *, {_LONG} AS ws FROM o)),
+b AS (SELECT doc_id, arg_max(label, (share, -ascii(label))) AS best, max(share) AS top, max(share) FILTER (label = 'A') AS own, min(words) AS least FROM r GROUP BY 1)
+SELECT doc_id, CASE WHEN length(flat) >= 30 AND NOT contains(stem, 'không') AND NOT regexp_matches(solution, '{_re2(E.BY_LETTER)}') AND least >= 4 AND best <> 'A' AND top >= 0.85 AND own <= top - 0.3 THEN best END AS suggested FROM s JOIN b USING (doc_id)""")
 def e5_contradiction(t):
-    labels, texts = F.array(*map(F.lit, "ABCD")), F.array(*map(F.lit, _OPTION_TEXTS))
-    told = F.get(texts, (c("p_partkey") % 4).cast("int"))
-    kind = c("p_partkey") % 7
-    stem = F.when(kind == 0, "Which one is NOT right?").otherwise("Which one is right?")
-    solution = F.when(kind == 1, "short").when(kind == 2, F.concat(F.lit("B. "), told)).otherwise(F.concat(F.lit("As we saw, "), F.upper(told), F.lit(".")))
-    return t.part.select("p_partkey", E.contradicting_option(F.lit("A"), labels, texts, stem, solution).alias("suggested"))
+    d = _lines(t).where(F.size("ls") >= 5).withColumn("os", F.transform(F.slice("ls", 2, 4), lambda o: F.substring(o, 1, 60)))
+    one, n = F.get("os", c("n") % 4), c("n") % 7
+    solution = F.when(n == 0, F.concat(F.lit("B. "), F.get("os", F.lit(1)))).when(n == 1, F.substring(F.get("os", F.lit(2)), 1, 20)).when(n == 2, F.replace(one, F.lit("ou"), F.lit("o"))).otherwise(F.concat(F.lit("Vì "), one, F.lit(".")))
+    stem = F.when(c("n") % 11 == 0, "Câu nào không đúng?").otherwise("Câu nào đúng?")
+    return d.select("doc_id", E.contradicting_option(F.lit("A"), F.array(*map(F.lit, "ABCD")), c("os"), stem, solution).alias("suggested"))
 
 
 @query("""SELECT p_partkey, CASE WHEN subject IS NULL OR subject = 'general' OR source = 'unclassified' THEN 'unclassified' WHEN mine >= 2 AND mine >= most - 1 THEN 'content' WHEN section = subject AND NOT against THEN 'section' WHEN section <> subject AND in_section >= mine THEN 'section_conflict'
@@ -65,11 +120,28 @@ def e8_subject_verdict(t):
     return t.part.select("p_partkey", v["reason"].alias("reason"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 AND p_size % 5 <> 0 THEN 'Pick one of ' || p_name END AS stem, CASE WHEN p_partkey % 4 = 0 AND p_size % 5 <> 0 THEN 'one|two b|three|' || p_size END AS options FROM part")
+#: Stems: the first lines, with labels where words of the corpus were.
+_LABELLED = [(" the ", "\n A. "), (" de ", "\n A. "), (" of ", " B. "), (" la ", " B. "), (" that ", " C. "), (" le ", " C. "), (" in ", " D. "), (" des ", " D. ")]
+
+
+def _labelled_sql() -> str:
+    x = "substr(text, 1, 300)"
+    for old, new in _LABELLED:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+_PART = "regexp_extract(stem, '" + E.INLINE_OPTIONS.replace("'", "''") + "', {})"
+
+
+@query(f"""SELECT doc_id, CASE WHEN hit THEN {_PART.format(1)} END AS stem, CASE WHEN hit THEN {_PART.format(2)} || '|' || {_PART.format(3)} || '|' || {_PART.format(4)} || '|' || {_PART.format(5)} END AS options
+FROM (SELECT *, regexp_matches(stem, '{E.INLINE_OPTIONS}') AND n % 5 <> 0 AS hit FROM (SELECT doc_id, n, {_labelled_sql()} AS stem FROM ({_LINES})))""")
 def e10_inline_options(t):
-    tail = F.when(c("p_partkey") % 4 == 0, F.concat(F.lit("\nA. one  B. two b\nC. three D. "), c("p_size").cast("string"))).when(c("p_partkey") % 4 == 1, "\nA. one C. two").when(c("p_partkey") % 4 == 2, "\nA. one B. two C. three D.").otherwise("")
-    x = E.inline_options(F.concat(F.lit("Pick one of "), c("p_name"), tail), F.when(c("p_size") % 5 == 0, "12").otherwise(" C"))
-    return t.part.select("p_partkey", x.alias("x")).select("p_partkey", c("x.stem").alias("stem"), F.array_join("x.options", "|").alias("options"))
+    stem = F.substring("text", 1, 300)
+    for old, new in _LABELLED:
+        stem = F.replace(stem, F.lit(old), F.lit(new))
+    x = E.inline_options(stem, F.when(F.length("text") % 5 == 0, "12").otherwise(" C"))
+    return t.documents.select("doc_id", x.alias("x")).select("doc_id", c("x.stem").alias("stem"), F.array_join("x.options", "|").alias("options"))
 
 
 @query("SELECT doc_id, coalesce(source, '') AS doc_path, CASE WHEN n_chars BETWEEN 0 AND 999 THEN n_chars ELSE 0 END AS source_number, substr(lower(text), 1, 4000) AS search_text, doc_id % 9 <> 0 AND NOT (lang = 'de') AS active FROM documents")
@@ -92,24 +164,40 @@ def p6_recompute_flags(t):
     return cdc.changed_flags(docs, "doc_id", "stored", computed).select("doc_id", F.array_join("stored", ",").alias("stored"), F.array_join("flags", ",").alias("flags"))
 
 
-_LOW, _HIGH = "CAST(p_size AS STRING)", "CAST(p_size + p_partkey % 5 - 1 AS STRING)"
+#: Headers: begins of texts with numbers from their lengths between them, in several ways of writing a range.
+_BEGIN, _RANGED = "substr(text, 1, 12)", "CASE n % 6 WHEN 0 THEN '{b} câu hỏi số {x} đến câu {y} {b}' WHEN 1 THEN '{b} Questions {x} and {y}.' WHEN 2 THEN 'từ câu {x} - {y} {b}' WHEN 3 THEN 'from question {x} to {y}' WHEN 4 THEN '{x} tới {y} {b}' ELSE 'CÂU {x}–{y}, questions {y}-{x}' END"
 
 
-@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 > 0 THEN p_size END AS low, CASE WHEN p_partkey % 6 IN (0, 1, 2) AND p_partkey % 5 > 0 THEN p_size + p_partkey % 5 - 1 END AS high,
-CASE p_partkey % 6 WHEN 0 THEN 'Đọc rồi làm {{{{range}}}} sau' WHEN 1 THEN 'Read for {{{{range}}}}.' WHEN 2 THEN '{{{{range}}}}' WHEN 3 THEN 'No numbers here' ELSE '{{{{range}}}}' END AS neutral
-FROM part WHERE p_partkey % 6 <> 4""")
+@query(f"""SELECT doc_id, CASE WHEN low <= high THEN low END AS low, CASE WHEN low <= high THEN high END AS high, regexp_replace(regexp_replace(header, '{_re2(E.SHOWN_RANGES[0])}', '{{{{range}}}}', 'g'), '{_re2(E.SHOWN_RANGES[1])}', '{{{{range}}}}', 'g') AS neutral
+FROM (SELECT *, try_cast(nullif(regexp_extract(header, '{_re2(E.HEADER_RANGE)}', 1), '') AS INT) AS low, try_cast(nullif(regexp_extract(header, '{_re2(E.HEADER_RANGE)}', 2), '') AS INT) AS high
+FROM (SELECT doc_id, replace(replace(replace({_RANGED}, '{{x}}', (n // 6 % 150)::VARCHAR), '{{y}}', (n // 7 % 150)::VARCHAR), '{{b}}', {_BEGIN}) AS header FROM ({_LINES})))""")
 def c11_header_range(t):
-    k, low, high = c("p_partkey") % 6, F.expr(_LOW), F.expr(_HIGH)
-    lit = F.lit
-    header = F.when(k == 0, F.concat(lit("Đọc rồi làm câu hỏi số "), low, lit(" đến câu "), high, lit(" sau"))).when(k == 1, F.concat(lit("Read for Questions "), low, lit(" and "), high, lit("."))).when(k == 2, F.concat(lit("từ câu "), low, lit(" - "), high)).when(k == 3, "No numbers here").otherwise(F.concat(low, lit(" tới "), high))
-    x = E.header_range(header)
-    return t.part.where("p_partkey % 6 <> 4").select("p_partkey", x["low"].alias("low"), x["high"].alias("high"), E.neutral_header(header).alias("neutral"))
+    n = c("n")
+    header = F.expr(_RANGED)
+    for mark, value in (("{x}", F.floor(n / 6) % 150), ("{y}", F.floor(n / 7) % 150), ("{b}", F.substring("text", 1, 12))):
+        header = F.replace(header, F.lit(mark), value.cast("string"))
+    x = E.header_range(c("header"))
+    return _lines(t).select("doc_id", header.alias("header")).select("doc_id", x["low"].alias("low"), x["high"].alias("high"), E.neutral_header(c("header")).alias("neutral"))
+
+
+#: Lines of texts cut at blanks of a few kinds, so that short, numeric and mathematical ones come up.
+_PLAIN = [(" the ", " log "), (" of ", "\n12\n"), (" de ", " = "), (" la ", "\nab\n"), (" die ", " x2 "), (" und ", " 12 Na "), (" que ", " Trang 7 "), (" en ", "\n- - -\n")]
+
+
+def _plain_sql() -> str:
+    x = "substr(text, 1 + n % 40, 60)"
+    for old, new in _PLAIN:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
 
 
-_LINES = ["Plain prose, of 12 words.|and more", "text|12", "ab|plain text here", "see|- - -|text line", "text line|Trang 12 of it", "so x = y here", "take the Log of it", "so x2 grows", "wait 12 Na there", "3,5%", "ngày 5đ thôi"]
+_WHY = "CASE WHEN length(x) <= 3 AND NOT regexp_matches(x, '^(?:[A-D]?\\.?|\\d+[.,]?)$') THEN 'stray_fragment' WHEN regexp_matches(x, '^[^\\p{L}_]+$') AND NOT regexp_matches(x, '^\\d+(?:[.,]\\d+)?\\s*%?\\.?$') THEN 'symbol_line' " + " ".join(f"WHEN regexp_matches(x, '{_re2(p)}') THEN '{k}'" for k, p in E.FLATTENED) + " END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 11 WHEN 1 THEN 'number_line' WHEN 2 THEN 'stray_fragment' WHEN 3 THEN 'stray_fragment' WHEN 4 THEN 'page_number' WHEN 5 THEN 'math_symbol' WHEN 6 THEN 'math_word' WHEN 7 THEN 'letter_digit' WHEN 8 THEN 'digit_gap' END AS reason FROM part")
+@query(f"""SELECT doc_id, CASE WHEN len(ls) > 1 AND len(list_filter(ls, lambda x: regexp_matches(x, '^[\\d\\s.,]+$'))) > 0 THEN 'number_line' ELSE list_filter(list_transform(ls, lambda x: {_WHY}), lambda r: r IS NOT NULL)[1] END AS reason
+FROM (SELECT doc_id, list_filter(list_transform(string_split({_plain_sql()}, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls FROM (SELECT *, length(text) AS n FROM documents))""")
 def c23_flattened_math(t):
-    lines = F.split(F.get(F.array(*map(F.lit, _LINES)), (c("p_partkey") % 11).cast("int")), r"\|")
-    return t.part.select("p_partkey", E.flattened_math(lines).alias("reason"))
+    part = F.substring(c("text"), 1 + F.length("text") % 40, F.lit(60))
+    for old, new in _PLAIN:
+        part = F.replace(part, F.lit(old), F.lit(new))
+    return t.documents.select("doc_id", E.flattened_math(F.split(part, "\n", -1)).alias("reason"))
