@@ -125,7 +125,7 @@ _LABELLED = [(" the ", "\n A. "), (" de ", "\n A. "), (" of ", " B. "), (" la ",
 
 
 def _labelled_sql() -> str:
-    x = "substr(text, 1, 300)"
+    x = "substr(text, 1, 2500)"
     for old, new in _LABELLED:
         x = f"replace({x}, '{old}', '{new}')"
     return x
@@ -137,7 +137,7 @@ _PART = "regexp_extract(stem, '" + E.INLINE_OPTIONS.replace("'", "''") + "', {})
 @query(f"""SELECT doc_id, CASE WHEN hit THEN {_PART.format(1)} END AS stem, CASE WHEN hit THEN {_PART.format(2)} || '|' || {_PART.format(3)} || '|' || {_PART.format(4)} || '|' || {_PART.format(5)} END AS options
 FROM (SELECT *, regexp_matches(stem, '{E.INLINE_OPTIONS}') AND n % 5 <> 0 AS hit FROM (SELECT doc_id, n, {_labelled_sql()} AS stem FROM ({_LINES})))""")
 def e10_inline_options(t):
-    stem = F.substring("text", 1, 300)
+    stem = F.substring("text", 1, 2500)
     for old, new in _LABELLED:
         stem = F.replace(stem, F.lit(old), F.lit(new))
     x = E.inline_options(stem, F.when(F.length("text") % 5 == 0, "12").otherwise(" C"))
