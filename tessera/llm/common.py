@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ def _shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: list[str] = []
+_open = threading.local()  # the scopes that a thread is in
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -65,6 +69,8 @@ def materialize(df: DataFrame, rows: int | None = None, per_task: int = 250_000,
         for k, v in before.items():
             spark.conf.set(k, v)
     _scratch.append(path)
+    for made in getattr(_open, "scopes", [])[-1:]:
+        made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
@@ -79,6 +85,26 @@ def release(*frames: DataFrame) -> None:
             _drop(df.sparkSession, path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Intermediates written inside go when it ends, by an error too, but those put into the list that it gives: the result
+    reads them, and they go when the session ends."""
+    stack = _open.scopes = getattr(_open, "scopes", [])
+    stack.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield kept
+    finally:
+        made = stack.pop()
+        stay = {getattr(df, "_tessera_path", None) for df in kept}
+        for path in made:
+            if path in _scratch and path not in stay:
+                _scratch.remove(path)
+                _drop(spark, path)
+        if stack:  # an outer scope deletes what the inner one kept
+            stack[-1].extend(p for p in made if p in stay)
+
+
 #: Ids up to which a list of them is sent to the rows; beyond it both sides are shuffled.
 BROADCAST_IDS = 4_000_000
 

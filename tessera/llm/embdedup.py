@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize
+from tessera.llm.common import components, materialize, scope
 
 #: Leading axes that the grid order and the boxes use; numbers in the vectors of an interval, of which a task holds two.
 AXES, NUMBERS = 8, 1 << 20
 LEAF = 512
 SAMPLE_PER_INTERVAL = 50
+#: Numbers of the sample that the axes come from; any axes give the same links. Beyond so many intervals, fewer rows of each
+#: are sampled for their bounds.
+AXES_NUMBERS, MANY_INTERVALS, FEW_PER_INTERVAL = 1 << 21, 10_000, 8
 
 
 def _unit(rows: list[bytes]) -> np.ndarray:
@@ -33,14 +36,15 @@ def _unit(rows: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def _moments(batches):
-    n, s, ss = 0, 0.0, 0.0
-    for batch in batches:
-        if batch.num_rows:
-            u = _unit(batch.column(0).to_pylist())
-            n, s, ss = n + len(u), s + u.sum(0), ss + u.T @ u
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([[n], s, ss.ravel()])], pa.list_(pa.float64()))], ["m"])
+def _axes(vectors: DataFrame, dim: int, rows: int) -> np.ndarray:
+    """Principal axes, the leading one first, of about as many vectors as ``AXES_NUMBERS`` lets, at least one a dimension."""
+    wanted = max(AXES_NUMBERS // dim, dim)
+    share = min(1.0, wanted / max(1, rows))
+    chosen = vectors.where(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else vectors
+    sample = chosen.select("v").limit(2 * wanted).toArrow()["v"].to_pylist()
+    u = _unit(sample) if sample else np.eye(dim)
+    u = u - u.mean(0)
+    return np.ascontiguousarray(np.linalg.eigh(u.T @ u)[1][:, ::-1])
 
 
 def _to_bytes(batches):
@@ -168,21 +172,31 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(F.coalesce(fine, F.lit(False)), v).alias("v"))
     rows = rows.select("id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v", F.size("v")).alias("h2"))
     classes = rows.where("v is not null and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
-    classes = materialize(classes)
-    found = None
+    with scope(spark) as kept:
+        of = _classes_of(materialize(classes), epsilon, cosine)
+        kept.append(of)
+    out = rows.select("id", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), "h2").join(of, ["h1", "h2"], "left")
+    comp = F.coalesce("c", "id")
+    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
+
+
+def _classes_of(classes: DataFrame, epsilon: float, cosine: float) -> DataFrame:
+    """(h1, h2, n_links, c) of each class of equal vectors: links to other vectors, and the smallest id of its component."""
+    spark, found = classes.sparkSession, None
     for (dim,) in classes.select(F.size("v").alias("d")).distinct().collect():
         of_dim = classes.where(F.size("v") == dim).select(F.col("rep").alias("id"), "v", "n").mapInArrow(_to_bytes, "id long, n long, v binary")
-        sums = of_dim.select("v").mapInArrow(_moments, "m array<double>").select(F.posexplode("m")).groupBy("pos").agg(F.sum("col")).collect()
-        m = np.array([x for _, x in sorted(sums)])
-        mean, second = m[1 : dim + 1] / m[0], m[dim + 1 :].reshape(dim, dim) / m[0]
-        axes = np.ascontiguousarray(np.linalg.eigh(second - np.outer(mean, mean))[1][:, ::-1])
-        count = math.ceil(m[0] * dim / NUMBERS)
+        rows_of = of_dim.count()
+        axes = _axes(of_dim, dim, rows_of)
+        count = math.ceil(rows_of * dim / NUMBERS)
         splits: list[tuple[int, int]] = []
         if count > 1:
-            share = min(1.0, count * SAMPLE_PER_INTERVAL / m[0])
+            share = min(1.0, count * (SAMPLE_PER_INTERVAL if count <= MANY_INTERVALS else FEW_PER_INTERVAL) / rows_of)
             picked = of_dim.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-            sample = sorted((r[0], r[1]) for r in picked.mapInArrow(_place(axes, epsilon, []), "id long, n long, v binary, key long, interval long, p array<double>").select("key", "id").collect())
-            splits = sorted({sample[len(sample) * k // count] for k in range(1, count)}) if sample else []
+            keyed = picked.mapInArrow(_place(axes, epsilon, []), "id long, n long, v binary, key long, interval long, p array<double>").select("key", "id").toArrow()
+            keys, ids = keyed["key"].to_numpy(), keyed["id"].to_numpy()
+            order = np.lexsort((ids, keys))
+            cut = order[[len(order) * k // count for k in range(1, count)]] if len(order) else []
+            splits = sorted({(int(keys[i]), int(ids[i])) for i in cut})
         placed = materialize(of_dim.mapInArrow(_place(axes, epsilon, splits), "id long, n long, v binary, key long, interval long, p array<double>"))
         dealt = placed.select("id", "n", "v", "key", "interval").join(_partners(placed, epsilon), "interval")
         # the pairs of intervals bound each group to two intervals
@@ -193,7 +207,5 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: st
     found = materialize(found)
     groups = components(found.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
     totals = found.groupBy("id").agg(F.sum("links").alias("links"))
-    of = classes.select("h1", "h2", "n", F.col("rep").alias("id")).join(totals, "id", "left").join(groups, "id", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("c"))
-    out = rows.select("id", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), "h2").join(of, ["h1", "h2"], "left")
-    comp = F.coalesce("c", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
+    of = classes.select("h1", "h2", "n", F.col("rep").alias("id")).join(totals, "id", "left").join(groups, "id", "left")
+    return materialize(of.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("c")))

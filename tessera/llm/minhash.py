@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_IDS, components, materialize, one_row_per_id, release
+from tessera.llm.common import BROADCAST_IDS, components, materialize, one_row_per_id, scope
 from tessera.llm.hashing import U, mix, shingles, word_hashes
 
 BINS, ROWS = 128, 4
@@ -128,12 +128,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by then. Links are decided on the full sets. The sets of buckets that still hold several components without their
     hub are compared by an exact prefix filter, so no link that could still join two components is lost.
     """
-    docs = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"))
-    signed = materialize(docs.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, bands array<long>"))
-    reps = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+    spark = docs.sparkSession
+    with scope(spark) as kept:
+        docs = one_row_per_id(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null"))
+        signed = materialize(docs.mapInArrow(_signatures, "id long, n long, d1 long, d2 long, bands array<long>"))
+        reps = materialize(signed.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("bands").alias("bands")))
+        labels = _linked(docs, reps, percent)
+        whole = materialize(_labelled(reps.select("d1", "d2", F.col("rep").alias("id")), labels, "id", "component_id").select("d1", "d2", "component_id"))
+        kept += [signed, whole]
+    out = signed.select("id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left")
+    comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
+
+
+def _linked(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame | None:
+    """Labels (id, c) of the linked among ``reps`` (rep, n, bands); None without any. Steps with nothing to do are left out."""
     places = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = materialize(places.join(shared, "bucket").select("bucket", "id", "n", (-F.sum("m").over(Window.partitionBy("id"))).alias("turn")))
+    if members.isEmpty():
+        return None
     wanted = materialize(members.select("id").distinct())
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -142,15 +156,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = (F.col("id") != F.col("hub")) & (F.least("n", "hn") * 100 >= F.greatest("n", "hn") * percent)
     stars = materialize(members.join(hubs, "bucket").where(close).groupBy("id", "hub").agg(F.count("*").alias("k")))
     first = materialize(_verify(stars.groupBy(F.col("id").alias("a")).agg(F.max_by("hub", F.struct("k", "hub")).alias("b")), sets, percent))
-    labels = _unite(None, first)
+    labels = None if first.isEmpty() else _unite(None, first)
     others = _labelled(_labelled(stars.select(F.col("id").alias("a"), F.col("hub").alias("b")), labels, "a", "ca"), labels, "b", "cb").where("ca <> cb")
-    labels = _unite(labels, materialize(_verify(others.select("a", "b"), sets, percent)))
+    second = materialize(_verify(others.select("a", "b"), sets, percent))
+    labels = labels if second.isEmpty() else _unite(labels, second)
     spokes = materialize(_labelled(members.join(hubs, "bucket").where("id <> hub").select("bucket", "id"), labels, "id", "c"))
     mixed = spokes.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
     left = materialize(sets.join(spokes.join(mixed, "bucket", "left_semi").select("id").distinct(), "id", "left_semi"))
-    labels = _unite(labels, materialize(_verify(materialize(prefix_pairs(left, labels, percent)), sets, percent)))
-    whole = materialize(_labelled(reps.select("d1", "d2", F.col("rep").alias("id")), labels, "id", "component_id").select("d1", "d2", "component_id"))
-    release(members, hubs, sets, stars, first, spokes, left)
-    out = signed.select("id", "n", "d1", "d2").join(whole, ["d1", "d2"], "left")
-    comp = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), (comp == F.col("id")).alias("kept"))
+    if left.isEmpty():
+        return labels
+    third = materialize(_verify(materialize(prefix_pairs(left, labels, percent)), sets, percent))
+    return labels if third.isEmpty() else _unite(labels, third)

@@ -16,6 +16,7 @@ from __future__ import annotations
 import bisect
 import functools
 import gc
+import json
 import os
 import re
 import zlib
@@ -39,9 +40,16 @@ _PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LET
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+#: How a tokenizer's file must normalise and split for its splitting to be done here.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class WordEncoder:
     """Ids of whole texts by a tokenizer that never joins across white space, remembering the words it has met.
 
+    A tokenizer of any other kind than ``NORMALIZER`` and ``SPLIT`` describe encodes the texts whole, without a memory.
+
     Texts that hold a string of the tokenizer's added tokens go to it whole.
 
     Words of plain characters are lower-cased and, when new, cut into the runs that the tokenizer itself cuts, so that case
@@ -53,6 +61,8 @@ class WordEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.by_words = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, SPLIT) and told["model"].get("end_of_word_suffix") == "</w>" and not told["truncation"] and not told["padding"]
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.runs = Tokenizer(self.tokenizer.model)
         self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -88,6 +98,8 @@ class WordEncoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_words:
+            return self._encode(texts)
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
         plain = [bool(_PLAIN.fullmatch(t)) for t in texts]

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, htmltext, lexsearch, minhash, resample, secretscan
+from tessera.llm import decontaminate, embdedup, htmltext, lexsearch, minhash, packing, resample, secretscan
 
 from .brute import LOW
 from .test_cases import crowded
@@ -292,3 +293,31 @@ def test_weights_decide_where_no_name_tells(spark):
     whole = [" ".join(x for k, x, *rest in htmltext.tokens(p, weights) if k == "w") for p in bare]
     assert precision > 0.99 and recall > 0.99
     assert shares(whole)[0] < 0.97  # all text of the page: the region matters
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["Hello World  don't\nstop", "ÉA 日本 <|endoftext|> x", "", "   ", "tabs\t\tand 1234"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        path = public_tokenizers.path(name)
+        encode, own = packing.WordEncoder(path), Tokenizer.from_file(path)
+        assert encode.by_words == (name == "word_bpe_49k.json")
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [own.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_no_scratch_is_left_but_what_the_result_reads(spark):
+    from tessera.llm import common
+
+    docs = spark.createDataFrame([(i, f"one two three four five six seven w{i % 3}") for i in range(9)], DOCS)
+    before = len(common._scratch)
+    got = minhash.near_duplicates(docs)
+    assert len(common._scratch) - before == 2 and {r.component_id for r in got.collect()} == {0, 1, 2}
+    before = len(common._scratch)
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 3), 0.0]) for i in range(9)], "vec_id long, embedding array<double>")
+    assert embdedup.embedding_duplicates(vectors).count() == 9
+    assert len(common._scratch) - before == 1
+    with pytest.raises(ZeroDivisionError), common.scope(spark):
+        common.materialize(docs)
+        1 / 0  # noqa: B018
+    assert len(common._scratch) - before == 1
