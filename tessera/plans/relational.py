@@ -73,9 +73,10 @@ def s12_jsonl_export(t):
     return rows.select(F.to_json(F.struct(c("o_orderkey").alias("id"), F.when(c("c_acctbal") > 0, c("c_name")).alias("user")), {"ignoreNullFields": "false"}).alias("line"))
 
 
-@query("SELECT DISTINCT p_type AS formula FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size > 49)")
+@query("WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{9,}')) AS formula FROM documents) SELECT DISTINCT formula FROM f WHERE formula NOT IN (SELECT formula FROM f WHERE doc_id IN (SELECT doc_id FROM labels))")
 def s13_unchecked_export(t):
-    return t.part.select(c("p_type").alias("formula")).distinct().join(t.part.where("p_size > 49").select(c("p_type").alias("formula")), "formula", "left_anti")
+    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{9,}"), F.lit(0))).alias("formula"))
+    return found.select("formula").distinct().join(found.join(t.labels, "doc_id", "left_semi").select("formula").distinct(), "formula", "left_anti")
 
 
 @query("SELECT o_orderkey, CASE WHEN l.k IS NULL THEN o_totalprice ELSE -1.0 END AS value FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 49) l ON o_orderkey = l.k")
@@ -158,9 +159,9 @@ def f13_search_dispatch(t):
     return one("digits", "12").union(one("prefix", "#12")).union(one("text", "License"))
 
 
-@query("SELECT p_partkey FROM part WHERE replace(p_type, ' ', '') ILIKE '%edt%'")
+@query("SELECT p_partkey FROM part WHERE replace(p_name, ' ', '') ILIKE '%DwId%'")
 def f14_space_insensitive(t):
-    return t.part.where(F.replace("p_type", F.lit(" "), F.lit("")).ilike("%edt%")).select("p_partkey")
+    return t.part.where(F.replace("p_name", F.lit(" "), F.lit("")).ilike("%DwId%")).select("p_partkey")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE (role || ' ' || text) LIKE '%user%'")
