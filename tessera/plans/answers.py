@@ -88,13 +88,30 @@ def k9_scoring_mode(t):
     return _specs(t).select("p_partkey", A.scoring_mode(c("spec.kind"), c("answer"), solved).alias("mode"), A.scoring_mode(c("spec.kind"), c("answer"), solved, text_auto=True).alias("mode_text_auto"))
 
 
-_TEXTS = _cases("p_size", "'Alpha|Beta'", "'all of the above|x'", "'both A and B|y'", "'cả A|z'", "'đều sai|w'", "'only one'", "'A và C|v'", "''", "'ý B đúng|u'", "'x|Không có đáp án'")
+#: Option texts: lines cut short, with references where words of the corpus were.
+_REFERRING = [(" the ", " cả A "), (" de ", " A và B "), (" ung ", " tất cả "), (" die ", " đều đúng "), (" que ", " none of the above "), (" la ", " both x and "), (" le ", " only X "), (" of ", " cả hai ý ")]
 
 
-@query(f"SELECT p_partkey, p_partkey % 9 <> 0 AND p_size % 10 = 0 AS safe FROM part")
+def _referring_sql() -> str:
+    x = "substr(o, 1, 30)"
+    for old, new in _REFERRING:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+_REFERS = A.OPTION_REFERENCE.replace("(?iuU)", "(?i)").replace(r"\w", r"[\p{L}\p{N}_]").replace(r"(?:\b(?:", r"(?:(?:^|[^\p{L}\p{N}_])(?:").replace(r"\s+[A-H]\b)", r"\s+[A-H](?:[^\p{L}\p{N}_]|$))").replace(r"|\b[A-H]", r"|(?:^|[^\p{L}\p{N}_])[A-H]").replace(r"[A-H]\b|", r"[A-H](?:[^\p{L}\p{N}_]|$)|")
+
+
+@query(f"SELECT doc_id, n_chars % 9 <> 0 AND len(os) >= 2 AND len(list_filter(os, lambda o: regexp_matches(o, '{_REFERS}'))) = 0 AS safe FROM (SELECT doc_id, n_chars, list_transform(string_split(text, chr(10))[2:4], lambda o: {_referring_sql()}) AS os FROM documents)")
 def k10_shuffle_safe(t):
-    texts = F.when(c("texts") != "", F.split("texts", r"\|"))
-    return t.part.select("p_partkey", F.expr(_TEXTS).alias("texts")).select("p_partkey", A.shuffle_safe(F.when(c("p_partkey") % 9 == 0, "error_identification").otherwise("single_choice"), texts).alias("safe"))
+    def referring(o):
+        x = F.substring(o, 1, 30)
+        for old, new in _REFERRING:
+            x = F.replace(x, F.lit(old), F.lit(new))
+        return x
+
+    d = t.documents.select("doc_id", "n_chars", F.transform(F.slice(F.split("text", "\n", -1), 2, 3), referring).alias("texts"))
+    return d.select("doc_id", A.shuffle_safe(F.when(c("n_chars") % 9 == 0, "error_identification").otherwise("single_choice"), c("texts")).alias("safe"))
 
 
 @query(f"SELECT p_partkey, coalesce(akind = 'text' AND opts = '' AND txt = 'b.', false) AS letter, qtype = 'single_choice' AND opts <> '' AND p_partkey % 2 = 0 AS count_suspect FROM ({_ANSWER_SQL})")
@@ -223,9 +240,28 @@ def q1_validators(t):
     return _question_findings(t)
 
 
-@query(f"""SELECT p_partkey, CASE p_partkey % 11 WHEN 1 THEN 'open_brace' WHEN 2 THEN 'extra_brace' WHEN 3 THEN 'left_right' WHEN 4 THEN 'open_environment' WHEN 5 THEN 'dollar_inside' WHEN 6 THEN 'end_mismatch' WHEN 10 THEN 'end_mismatch' END AS problem FROM part""")
+#: Formulas: begins of texts with braces, sides and environments where words of the corpus were.
+_TEX_WORDS = [(" the ", "{x"), (" of ", "}"), (" de ", r"\left( "), (" la ", r"\right) "), (" die ", r"\begin{a}"), (" und ", r"\end{a}"), (" que ", r"\begin{b*}"), (" en ", r"\end{b*}"), (" in ", r"\{"), (" le ", r"\$"), (" to ", "$"), (" les ", r"\leftarrow")]
+
+
+def _tex_sql() -> str:
+    x = "substr(text, 1, 60 + length(text) % 60)"
+    for old, new in _TEX_WORDS:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+@query(rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {_tex_sql()} AS tex FROM documents), b AS (SELECT doc_id, i, sum(CASE ch WHEN '{{' THEN 1 ELSE -1 END) OVER (PARTITION BY doc_id ORDER BY i) AS depth FROM (SELECT doc_id, unnest(bs) AS ch, unnest(range(len(bs))) AS i FROM (SELECT doc_id, regexp_extract_all(regexp_replace(tex, '(?s)\\.', '', 'g'), '[{{}}]') AS bs FROM t))),
+d AS (SELECT doc_id, min(depth) AS low, arg_max(depth, i) AS final FROM b GROUP BY 1),
+m AS (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(tex, '\\(?:begin|end)\{{[a-zA-Z*]+\}}'), lambda x: CASE WHEN starts_with(x, '\begin') THEN '<' ELSE '>' END || regexp_extract(x, '\{{([a-zA-Z*]+)\}}', 1) || ';'), '') AS marks FROM t),
+r AS (SELECT doc_id, marks, 0 AS i FROM m UNION ALL SELECT doc_id, replace(replace(marks, '<a;>a;', ''), '<b*;>b*;', ''), i + 1 FROM r WHERE contains(marks, '<a;>a;') OR contains(marks, '<b*;>b*;')), e AS (SELECT doc_id, arg_max(marks, i) AS marks FROM r GROUP BY 1)
+SELECT doc_id, CASE WHEN low < 0 THEN 'extra_brace' WHEN final > 0 THEN 'open_brace' WHEN len(regexp_extract_all(tex || ' ', '\\left[^a-zA-Z]')) <> len(regexp_extract_all(tex || ' ', '\\right[^a-zA-Z]')) THEN 'left_right' WHEN contains(marks, '>') THEN 'end_mismatch' WHEN marks <> '' THEN 'open_environment'
+WHEN contains(replace(tex, '\$', ''), '$') THEN 'dollar_inside' END AS problem FROM t LEFT JOIN d USING (doc_id) LEFT JOIN e USING (doc_id)""")
 def c21_latex_problem(t):
-    return t.part.select("p_partkey", F.expr(_QUESTION["formula"]).alias("f")).select("p_partkey", V.latex_problem(c("f")).alias("problem"))
+    tex = F.substring(c("text"), F.lit(1), 60 + F.length("text") % 60)
+    for old, new in _TEX_WORDS:
+        tex = F.replace(tex, F.lit(old), F.lit(new))
+    return t.documents.select("doc_id", tex.alias("f")).select("doc_id", V.latex_problem(c("f")).alias("problem"))
 
 
 @query(f"""SELECT p_partkey, CASE p_partkey % 7 WHEN 2 THEN 'replacement_character' WHEN 3 THEN 'wrong_encoding' WHEN 4 THEN 'scattered_letters' END AS problem FROM part""")
