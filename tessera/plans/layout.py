@@ -41,7 +41,7 @@ def g5_nested_boxes(t):
 
 
 #: Boxes small and sparse enough to form many groups.
-_FIGURES = "SELECT p_partkey AS id, p_partkey % 11 AS page, (p_partkey * 7919 % 997)::DOUBLE AS x0, (p_partkey * 104729 % 787)::DOUBLE AS y0, (p_partkey * 7919 % 997 + p_size)::DOUBLE AS x1, (p_partkey * 104729 % 787 + 51 - p_size)::DOUBLE AS y1 FROM part"
+_FIGURES = "SELECT p_partkey AS id, p_partkey % 11 AS page, (p_partkey * 7919 % 1201)::DOUBLE AS x0, (p_partkey * 104729 % 907)::DOUBLE AS y0, (p_partkey * 7919 % 1201 + p_size)::DOUBLE AS x1, (p_partkey * 104729 % 907 + 51 - p_size)::DOUBLE AS y1 FROM part"
 
 
 @query(f"""WITH RECURSIVE f AS MATERIALIZED ({_FIGURES}),
@@ -50,7 +50,7 @@ grown AS (SELECT 0 AS round, id, page, x0, y0, x1, y1 FROM f UNION ALL
     ON a.page = b.page AND a.x0 <= b.x1 + 5 AND b.x0 <= a.x1 + 5 AND a.y0 <= b.y1 + 5 AND b.y0 <= a.y1 + 5 WHERE a.round < 60 GROUP BY a.round, a.id, a.page)
 SELECT min(id) AS id, page, x0, y0, x1, y1, count(*) AS n FROM grown WHERE round = 60 GROUP BY page, x0, y0, x1, y1""")
 def g6_merged_boxes(t):
-    x, y, size = (c("p_partkey") * 7919 % 997).cast("double"), (c("p_partkey") * 104729 % 787).cast("double"), c("p_size")
+    x, y, size = (c("p_partkey") * 7919 % 1201).cast("double"), (c("p_partkey") * 104729 % 907).cast("double"), c("p_size")
     return G.merge_boxes(t.part.select(c("p_partkey").alias("id"), (c("p_partkey") % 11).alias("page"), x.alias("x0"), y.alias("y0"), (x + size).alias("x1"), (y + 51 - size).alias("y1")), 5.0)
 
 
