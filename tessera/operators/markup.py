@@ -59,3 +59,24 @@ def formula_islands(texts: DataFrame, id_col: str, text: str) -> DataFrame:
     tail = part(begin(F.size("_i")), F.size("_tokens"))
     rest = F.when(F.size("_i") == 0, F.col("_text")).otherwise(F.concat(F.array_join(heads, ""), tail))
     return joined.select(id_col, rest.alias("rest"), F.transform("_i", lambda x: part(x["a"] + 1, x["z"])).alias("formulas"))
+
+
+#: Fixed value: a paragraph that stands for one of the document's tables.
+TABLE_REF = r"^\s*\{\{tbl:([0-9]+)\}\}\s*$"
+
+
+def paragraphs(texts: DataFrame, id_col: str, text: str, n_tables: Column) -> DataFrame:
+    """(id_col, n, kind, table, display, rest, formulas) of each paragraph that is not blank, ``n`` from 0 in its text.
+
+    Paragraphs are parted by blank lines. One that only names a table is a ``table``, or ``missing_table`` where the text has fewer;
+    others are ``p``, with their islands taken out, and ``display`` where an island is all they have.
+    """
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")) != "")
+    each = texts.select(id_col, n_tables.alias("_tables"), F.posexplode(parts).alias("n", "_part")).withColumn("_key", F.struct(id_col, "n"))
+    named = F.regexp_extract("_part", TABLE_REF, 1)
+    each = each.withColumn("table", F.when(named != "", named.try_cast("int"))).withColumn("_body", F.when(named == "", F.col("_part")))
+    found = formula_islands(each, "_key", "_body")
+    joined = each.select("_key", id_col, "n", "_tables", "table", F.col("_body").isNotNull().alias("_text")).join(found, "_key")
+    kind = F.when(F.col("_text"), "p").when(F.col("table") < F.coalesce("_tables", F.lit(0)), "table").otherwise("missing_table")
+    alone = F.col("_text") & (F.size("formulas") == 1) & (F.trim("rest") == F.lit("\0TEX0\0"))
+    return joined.select(id_col, "n", kind.alias("kind"), "table", alone.alias("display"), "rest", "formulas")

@@ -56,7 +56,9 @@ def c20_plain_text(t):
 _BRACED = r"replace(replace(replace(translate(text, 'wk', '}{'), 'the', '{{tex:'), 'on', '}}'), ', ', '\')"
 
 
-@query(rf"""WITH RECURSIVE docs AS MATERIALIZED (SELECT doc_id, {_BRACED} AS body FROM documents),
+def _islands(source: str) -> str:
+    """CTEs from docs (doc_id, body) to rests (doc_id, rest) and inside (doc_id, n, f), the islands of each body."""
+    return rf"""WITH RECURSIVE docs AS MATERIALIZED ({source}),
 tokens AS MATERIALIZED (SELECT doc_id, unnest(ts) AS s, unnest(range(len(ts))) AS i FROM (SELECT doc_id, regexp_extract_all(body, '\\+|\{{\{{tex:|[{{}}]|[^\\{{}}]+') AS ts FROM docs WHERE contains(body, '{{{{tex:'))),
 looked AS (SELECT *, lead(s) OVER w AS following, lag(s) OVER w LIKE '\%' ESCAPE '^' AND length(lag(s) OVER w) % 2 = 1 AS escaped FROM tokens WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 stepped AS (SELECT *, CASE s WHEN '{{{{tex:' THEN 2 WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS raw, CASE WHEN coalesce(escaped, false) THEN 1 ELSE 0 END AS e FROM looked),
@@ -68,13 +70,41 @@ islands AS MATERIALIZED (SELECT * FROM chain WHERE z IS NOT NULL),
 labelled AS (SELECT t.doc_id, t.i, t.s, n, x.i AS a, x.z FROM tokens t ASOF LEFT JOIN islands x ON x.doc_id = t.doc_id AND x.i <= t.i),
 inside AS (SELECT doc_id, n, coalesce(string_agg(s, '' ORDER BY i) FILTER (i > a AND i < z), '') AS f FROM labelled WHERE n IS NOT NULL GROUP BY doc_id, n),
 rests AS (SELECT doc_id, string_agg(CASE WHEN i = a THEN chr(0) || 'TEX' || n || chr(0) WHEN n IS NULL OR i > z + 1 THEN s ELSE '' END, '' ORDER BY i) AS rest FROM labelled GROUP BY doc_id)
-SELECT doc_id, any_value(sha256(coalesce(rest, body))) AS rest, count(n) AS islands, sha256(coalesce(string_agg(f, chr(31) ORDER BY n), '')) AS formulas FROM docs LEFT JOIN rests USING (doc_id) LEFT JOIN inside USING (doc_id) GROUP BY doc_id""")
+"""
+
+
+@query(_islands(f"SELECT doc_id, {_BRACED} AS body FROM documents") + " SELECT doc_id, any_value(sha256(coalesce(rest, body))) AS rest, count(n) AS islands, sha256(coalesce(string_agg(f, chr(31) ORDER BY n), '')) AS formulas FROM docs LEFT JOIN rests USING (doc_id) LEFT JOIN inside USING (doc_id) GROUP BY doc_id")
 def k1_formula_islands(t):
     body = F.replace(F.replace(F.replace(F.translate("text", "wk", "}{"), F.lit("the"), F.lit("{{tex:")), F.lit("on"), F.lit("}}")), F.lit(", "), F.lit("\\"))
     found = markup.formula_islands(t.documents.select("doc_id", body.alias("body")), "doc_id", "body")
     return found.select("doc_id", F.sha2("rest", 256).alias("rest"), F.size("formulas").cast("long").alias("islands"), F.sha2(F.array_join("formulas", "\x1f"), 256).alias("formulas"))
 
 
+#: Paragraphs: texts parted at some words, with references to tables among them, and islands that stand alone.
+_MARKED = [(" and ", "\n\n"), (" die ", "\n \n{{tbl:1}}\n\n"), (" de ", "\n\n{{tex:a{b}}} \n\n"), (" the ", " {{tex:x}}"), (" que ", "\n\n {{tbl:7}} \n\n")]
+
+
+def _marked_sql() -> str:
+    x = "substr(text, 1, 900)"
+    for old, new in _MARKED:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+_PARTS = f"SELECT doc_id AS id, n_chars % 3 AS tables, ps[i] AS part, i - 1 AS n FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, n_chars, list_filter(regexp_split_to_array({_marked_sql()}, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')) <> '') AS ps FROM documents))"
+_REF = "nullif(regexp_extract(part, '^\\s*\\{\\{tbl:([0-9]+)\\}\\}\\s*$', 1), '')"
+
+
+@query(_islands(f"SELECT id || ':' || n AS doc_id, id, n AS num, tables, {_REF}::INT AS ref, CASE WHEN {_REF} IS NULL THEN part END AS body FROM ({_PARTS})") + """, fs AS (SELECT doc_id, count(n) AS formulas FROM inside GROUP BY 1)
+SELECT id AS doc_id, num AS n, CASE WHEN ref IS NULL THEN 'p' WHEN ref < tables THEN 'table' ELSE 'missing_table' END AS kind, ref AS \"table\", ref IS NULL AND coalesce(formulas, 0) = 1 AND trim(rest) = chr(0) || 'TEX0' || chr(0) AS display, CASE WHEN ref IS NULL THEN sha256(coalesce(rest, body)) END AS rest, coalesce(formulas, 0) AS formulas FROM docs LEFT JOIN rests USING (doc_id) LEFT JOIN fs USING (doc_id)""")
+def k3_paragraph_kinds(t):
+    text = F.substring("text", 1, 900)
+    for old, new in _MARKED:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    p = markup.paragraphs(t.documents.select("doc_id", text.alias("t"), "n_chars"), "doc_id", "t", c("n_chars") % 3)
+    return p.withColumn("rest", F.sha2("rest", 256)).withColumn("formulas", F.size("formulas").cast("long"))
+
+
 @query("""WITH RECURSIVE n AS (SELECT l_suppkey AS tab, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_tax) - 1 AS k, 1 + (l_quantity::INT % 5 = 0)::INT AS span, CASE l_returnflag WHEN 'R' THEN 'restart' WHEN 'A' THEN 'continue' END AS vm FROM lineitem),
 cells AS MATERIALIZED (SELECT tab, k // 4 AS r, k % 4 AS i, span, vm, (sum(span) OVER (PARTITION BY tab, k // 4 ORDER BY k) - span)::BIGINT AS col FROM n),
 numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY tab, col ORDER BY r) AS j FROM cells),
