@@ -65,17 +65,26 @@ def p4_state_priority(t):
     return a.select("user_id", F.get(P.first_by_priority(c("s"), ["error", "purchase", "signup"]), 0).alias("state"))
 
 
-@query("""SELECT p_partkey, coalesce(nullif(concat_ws(',', CASE WHEN n % 10 = 0 THEN 'REJECTED' END, CASE WHEN n % 6 = 1 OR (layer AND s % 4 = 0) THEN 'NEEDS_FORMULA_REVIEW' END, CASE WHEN n % 6 = 2 OR (layer AND s % 5 = 0) THEN 'NEEDS_VISUAL_REVIEW' END,
-CASE WHEN s % 6 IN (0, 1, 2) THEN 'NEEDS_ANSWER_LINKING' END, CASE WHEN n % 6 = 3 OR s % 7 = 1 OR (n % 10 = 1 AND (s % 7 IN (1, 4) OR (s % 7 = 2 AND NOT rebuilt))) THEN 'NEEDS_REVIEW' END), ''), 'READY_TO_SERVE') AS states
-FROM (SELECT p_partkey, p_partkey AS n, p_size AS s, p_partkey % 4 = 0 AS rebuilt, p_partkey % 3 = 0 AND p_partkey % 4 <> 0 AS layer FROM part)""")
+#: Records by what texts hold: issues of rendering, flags, sources of answers.
+_ISSUES = {"formula": "osa", "missing_visual": "ingan", "visual": "heitun", "content": "queí"}
+_RECORD_FLAGS = {"encoding_replacement_char": "zzz", "legacy_encoding_mojibake": "ûx", "formula_low_confidence": "esche", "pdf_text_layer_fidelity": "eaule", "missing_solution": "ciónde", "odd_layout": "oulth", "missing_answer": "tionan"}
+_HELD = lambda names: "list_filter([" + ", ".join(f"CASE WHEN contains(head, '{w}') THEN '{k}' END" for k, w in names.items()) + "], lambda x: x IS NOT NULL)"
+_RECORDS = f"""SELECT doc_id, {_HELD(_ISSUES)} AS issues, {_HELD(_RECORD_FLAGS)} AS flags, CASE WHEN contains(head, 'rr') THEN 'needs_review' WHEN contains(head, 'ßß') THEN 'rejected' ELSE 'accepted' END AS review, CASE WHEN contains(head, 'aux') THEN 'SOURCE_PROVIDED_ANSWER' WHEN contains(head, 'ie') THEN 'UNRESOLVED' WHEN contains(head, 'th') THEN 'SOURCE_PROVIDED_SOLUTION' END AS answer,
+contains(head, '@') OR contains(head, 'ver') AS layer, contains(head, 'do') AS maths, contains(head, 'pf') AS figure, contains(head, 'enti') AS rebuilt FROM (SELECT doc_id, substr(text, 1, 400) AS head FROM documents)"""
+
+
+@query(f"""SELECT doc_id, coalesce(nullif(concat_ws(',', CASE WHEN review = 'rejected' THEN 'REJECTED' END, CASE WHEN list_contains(issues, 'formula') OR (layer AND NOT rebuilt AND maths) THEN 'NEEDS_FORMULA_REVIEW' END, CASE WHEN list_has_any(issues, ['visual', 'missing_visual']) OR (layer AND NOT rebuilt AND figure) THEN 'NEEDS_VISUAL_REVIEW' END,
+CASE WHEN answer IS NULL OR answer IN ('UNRESOLVED', 'AUTOMATICALLY_INFERRED_CANDIDATE') THEN 'NEEDS_ANSWER_LINKING' END, CASE WHEN list_contains(issues, 'content') OR list_has_any(flags, ['legacy_encoding_mojibake', 'encoding_replacement_char'])
+  OR (review = 'needs_review' AND len(list_filter(flags, lambda f: NOT list_contains(['missing_solution', 'image_dependent', 'missing_answer'], f) AND NOT (rebuilt AND list_contains(['pdf_text_layer_fidelity', 'formula_low_confidence', 'formula_unconverted'], f)))) > 0) THEN 'NEEDS_REVIEW' END), ''), 'READY_TO_SERVE') AS states FROM ({_RECORDS})""")
 def p4_editorial_states(t):
-    n, s = c("p_partkey"), c("p_size")
-    issue = F.when(n % 6 == 1, "formula").when(n % 6 == 2, "missing_visual").when(n % 6 == 3, "content")
-    flag = F.when(s % 7 == 1, "encoding_replacement_char").when(s % 7 == 2, "formula_low_confidence").when(s % 7 == 3, "missing_solution").when(s % 7 == 4, "odd_layout")
-    review = F.when(n % 10 == 0, "rejected").when(n % 10 == 1, "needs_review").otherwise("accepted")
-    answer = F.when(s % 6 == 0, "UNRESOLVED").when(s % 6 == 1, "AUTOMATICALLY_INFERRED_CANDIDATE").when(s % 6 > 2, "SOURCE_PROVIDED_ANSWER")
-    x = P.editorial_states(review, F.array_compact(F.array(issue)), F.array_compact(F.array(flag)), answer, n % 3 == 0, s % 4 == 0, s % 5 == 0, n % 4 == 0)
-    return t.part.select("p_partkey", F.array_join(x, ",").alias("states"))
+    d = t.documents.withColumn("head", F.substring("text", 1, 400))
+    holds = lambda w: F.contains("head", F.lit(w))
+    held = lambda names: F.array_compact(F.array(*[F.when(holds(w), F.lit(k)) for k, w in names.items()]))
+    review = F.when(holds("rr"), "needs_review").when(holds("ßß"), "rejected").otherwise("accepted")
+    answer = F.when(holds("aux"), "SOURCE_PROVIDED_ANSWER").when(holds("ie"), "UNRESOLVED").when(holds("th"), "SOURCE_PROVIDED_SOLUTION")
+    x = P.editorial_states(review, held(_ISSUES), held(_RECORD_FLAGS), answer, holds("@") | holds("ver"), holds("do"), holds("pf"), holds("enti"))
+    return d.select("doc_id", F.array_join(x, ",").alias("states"))
+
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (WHERE (reasons = '') <> (o_orderkey % 2 = 0)) AS changed FROM ({_REASONS})")
