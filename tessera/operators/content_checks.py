@@ -5,7 +5,7 @@ Odd input: null texts are empty, null arrays without elements; a text without an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names of sections by subject, the most specific first; how many of them a mixed section does not outweigh.
@@ -109,7 +109,7 @@ def derived_flags(q: DataFrame) -> Column:
 
 def filtered_list(rows: DataFrame, where: dict[str, object], order: list[tuple[str, bool]], number: int, size: int, largest: int = 200) -> DataFrame:
     """A page of any list: ``where`` holds a value, a tuple of them, or None (no condition) for a column; ``order`` (column, descending)
-    ends in a unique one. Every row has the ``total`` of the rows that fit. The page is a top-k: only its rows and those before it move.
+    ends in a unique one. Every row has the ``total`` of the rows that fit. The page is a top-k: only its rows and those before it move, at most.
     """
     for name, value in where.items():
         if value is not None:
@@ -117,9 +117,8 @@ def filtered_list(rows: DataFrame, where: dict[str, object], order: list[tuple[s
     number, size = max(1, number), max(1, min(size, largest))
     total = rows.agg(F.count("*").alias("total"))
     keys = [F.desc(k) if down else F.asc(k) for k, down in order]
-    page = rows.orderBy(*keys).limit(number * size)
-    ranked = page.withColumn("_r", F.row_number().over(Window.orderBy(*keys))).where(F.col("_r") > (number - 1) * size).drop("_r")
-    return ranked.join(F.broadcast(total), F.lit(True))
+    page = rows.orderBy(*keys).offset((number - 1) * size).limit(size)
+    return page.join(F.broadcast(total), F.lit(True))
 
 
 def user_list(users: DataFrame, periods: DataFrame, sessions: DataFrame, now: Column, plan: str | None = None) -> DataFrame:

@@ -148,19 +148,24 @@ def r28_reuse_pending(t):
     return t.orders.select("o_orderkey", F.lag("o_orderkey").over(w).alias("reusable")).where("reusable is not null")
 
 
-_HOOKS = """CASE p_partkey % 6 WHEN 0 THEN concat('{"id": ', p_partkey, ', "transferAmount": ', p_size, ', "transferType": "out", "content": "a", "description": "b"}')
-WHEN 1 THEN concat('{"id": "x', p_partkey, '", "transferAmount": ', p_size, '.0, "content": "a"}') WHEN 2 THEN concat('{"data": [{"tid": "t', p_partkey, '", "amount": -', p_size, ', "when": "2024-01-02"}, {"id": "u', p_partkey, '", "amount": ', p_size, ', "description": "d"}]}')
-WHEN 3 THEN concat('{"data": {"id": ', p_partkey, ', "amount": ', p_size, '}}') WHEN 4 THEN concat('{"txn_id": "s', p_partkey, '", "amount": ', p_size, ', "occurred_at": "2024-01-03"}') ELSE 'no json' END"""
-
-
-@query("""WITH p AS (SELECT p_partkey AS n, p_size AS s FROM part)
-SELECT n AS p_partkey, n::VARCHAR AS txn_id, s::BIGINT AS amount, 'a b' AS content, NULL AS occurred, false AS incoming FROM p WHERE n % 6 = 0 UNION ALL SELECT n, 'x' || n, s, 'a ', NULL, true FROM p WHERE n % 6 = 1
-UNION ALL SELECT n, 't' || n, s, '', '2024-01-02', false FROM p WHERE n % 6 = 2 UNION ALL SELECT n, 'u' || n, s, 'd', NULL, true FROM p WHERE n % 6 = 2
-UNION ALL SELECT n, n::VARCHAR, s, '', NULL, true FROM p WHERE n % 6 = 3 UNION ALL SELECT n, 's' || n, s, '', '2024-01-03', true FROM p WHERE n % 6 = 4""")
+#: Payloads of events: one object, a list or one object as data, a signed object; some are broken, or lack fields. Both sides read them.
+_HOOKS = """CASE event_type
+WHEN 'purchase' THEN concat('{"id": ', event_id, ', "transferAmount": "', value, '", "transferType": ', CASE user_id % 3 WHEN 0 THEN '"in"' WHEN 1 THEN '"out"' ELSE 'null' END, ', "content": "pay ', user_id, '"', CASE WHEN user_id % 2 = 0 THEN ', "description": "d"' ELSE '' END, ', "transactionDate": "2024-01-02"}')
+WHEN 'click' THEN concat('{"data": [{"tid": "', CASE WHEN user_id % 2 = 0 THEN '' ELSE 't' END, '", "id": "e', event_id, '", "amount": -', value, ', "when": "2024-01-03"}, {"id": "f', event_id, '", "amount": "', value, '", "description": "x', user_id, '"}]}')
+WHEN 'view' THEN concat('{"data": {"id": ', event_id, ', "amount": ', value, ', "transactionDateTime": "2024-01-04"}}')
+WHEN 'signup' THEN concat('{"txn_id": "s', event_id, '", "amount": ', CASE WHEN user_id % 4 = 0 THEN '"none"' ELSE '7.9' END, ', "content": "c"}')
+ELSE CASE WHEN user_id % 2 = 0 THEN 'no json' ELSE '{"data": []}' END END"""
+_HOOK_KIND = "CASE event_type WHEN 'purchase' THEN 'transfer' WHEN 'signup' THEN 'signed' WHEN 'view' THEN CASE WHEN user_id % 5 = 0 THEN 'unknown' ELSE 'list' END ELSE 'list' END"
+_WHOLE = "coalesce(trunc(try_cast({} AS DOUBLE))::BIGINT, 0)"
+
+
+@query(f"""WITH h AS MATERIALIZED (SELECT event_id, kind, CASE WHEN json_valid(p) THEN p::JSON END AS p FROM (SELECT event_id, {_HOOK_KIND} AS kind, {_HOOKS} AS p FROM events)),
+l AS (SELECT event_id, unnest(CASE json_type(json_extract(p, '$.data')) WHEN 'ARRAY' THEN json_extract(p, '$.data[*]') ELSE [json_extract(p, '$.data')] END) AS r FROM h WHERE kind = 'list' AND json_extract(p, '$.data') IS NOT NULL)
+SELECT event_id, p->>'$.id' AS txn_id, {_WHOLE.format("p->>'$.transferAmount'")} AS amount, coalesce(p->>'$.content', '') || ' ' || coalesce(p->>'$.description', '') AS content, p->>'$.transactionDate' AS occurred, coalesce(p->>'$.transferType', 'in') = 'in' AS incoming FROM h WHERE kind = 'transfer' AND p IS NOT NULL
+UNION ALL SELECT event_id, coalesce(nullif(r->>'$.tid', ''), r->>'$.id'), abs({_WHOLE.format("r->>'$.amount'")}), coalesce(r->>'$.description', ''), coalesce(r->>'$.when', r->>'$.transactionDateTime'), {_WHOLE.format("r->>'$.amount'")} > 0 FROM l
+UNION ALL SELECT event_id, p->>'$.txn_id', {_WHOLE.format("p->>'$.amount'")}, coalesce(p->>'$.content', ''), p->>'$.occurred_at', true FROM h WHERE kind = 'signed' AND p IS NOT NULL""")
 def r29_webhook_normalisation(t):
-    kind = F.when(c("p_partkey") % 6 < 2, "transfer").when(c("p_partkey") % 6 < 4, "list").when(c("p_partkey") % 6 == 4, "signed").otherwise("list")
-    x = L.webhook_transactions(F.expr(_HOOKS), kind)
-    return t.part.select("p_partkey", F.explode(x).alias("x")).select("p_partkey", "x.*")
+    return t.events.select("event_id", F.explode(L.webhook_transactions(F.expr(_HOOKS), F.expr(_HOOK_KIND))).alias("x")).select("event_id", "x.*")
 
 
 @query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'error' AND value > 10 ORDER BY ts DESC, event_id LIMIT 100")
