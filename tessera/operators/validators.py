@@ -56,11 +56,12 @@ def latex_problem(tex: Column) -> Column:
 def ocr_suspect(text: Column) -> Column:
     """Why a text looks wrongly read or decoded, null where it does not."""
     long = F.length(text) >= 40
+    beyond = F.when(~text.rlike(r"^[\x00-\x7f]*$"), text)  # ASCII text is NFC and does not go to Python
     return (
         F.when(F.coalesce(text, F.lit("")) == "", None)
         .when(F.contains(text, F.lit("\ufffd")), "replacement_character")
         .when(text.rlike(MOJIBAKE), "wrong_encoding")
-        .when(nfc(text) != text, "not_nfc")
+        .when(nfc(beyond) != beyond, "not_nfc")
         .when(long & (odd_share(text) > 0.25), "odd_characters")
         .when(long & text.rlike(r"\p{L}") & text.rlike(SCATTERED), "scattered_letters")
     )
