@@ -120,17 +120,31 @@ def k11_suspects(t):
     return _answers(t).select("p_partkey", A.letter_key_without_options(c("n_options"), c("answer")).alias("letter"), A.option_count_suspect(c("qtype"), n).alias("count_suspect"))
 
 
-@query(f"""SELECT p_partkey, akind AS kind, CASE akind
-WHEN 'choice' THEN CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN (kind = 'labels' AND labels = 'A') OR (kind = 'text' AND txt = 'ALPHA') THEN 1.0 WHEN kind = 'labels' THEN 0.5 ELSE 0.0 END WHEN p_partkey % 3 = 1 THEN CASE WHEN kind = 'labels' AND labels <> 'A' THEN 1.0 ELSE 0.0 END ELSE 0.0 END
-WHEN 'numeric' THEN CASE WHEN (CASE WHEN kind = 'text' THEN parsed ELSE coalesce(number, parsed) END) = CASE p_partkey % 3 WHEN 0 THEN 1.5 WHEN 1 THEN 2.5 END THEN 1.0 ELSE 0.0 END
-WHEN 'boolean' THEN CASE WHEN (txt = 'Đúng') = CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END THEN 1.0 ELSE 0.0 END
-WHEN 'tf_sequence' THEN CASE WHEN p_partkey % 3 = 2 THEN 0.0 WHEN kind = 'text' OR vals = 'đúng,sai' THEN CASE WHEN p_partkey % 3 = 0 THEN 1.0 ELSE 0.5 END ELSE round(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 2 END / 3, 9) END
-WHEN 'text' THEN CASE WHEN p_partkey % 3 = 0 AND txt = ' free form ' THEN 1.0 ELSE 0.0 END ELSE 0.0 END::DOUBLE AS fraction FROM ({_ANSWER_SQL}) WHERE akind IS NOT NULL""")
+#: Answers and responses of order lines: labels and statements from the bits of keys, numbers a little apart, texts in other spellings.
+_BITS = "list_filter(['A', 'B', 'C', 'D'], lambda x, i: ({} >> i) & 1 = 1)"
+_TRUTHS = "list_transform(range(1, 2 + l_linenumber % 4), lambda i: ({} >> i) & 1 = 1)"
+_RESPONDED = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, ['choice', 'numeric', 'boolean', 'tf_sequence', 'text', 'drawing'][(l_orderkey + l_linenumber) % 6 + 1] AS kind, {_BITS.format("l_partkey")} AS want_labels, CASE WHEN l_quantity > 2 THEN {_BITS.format("(l_partkey | (l_suppkey % 3 * 8))")} END AS got_labels, l_extendedprice / 1000 AS want_value, CASE WHEN l_quantity > 1 THEN l_extendedprice / 1000 * (1 + l_tax * 0.00002) END AS got_value,
+l_partkey % 2 = 0 AS want_flag, CASE WHEN l_quantity > 1 THEN l_suppkey % 2 = 0 END AS got_flag, {_TRUTHS.format("l_partkey")} AS want_values, CASE WHEN l_quantity > 1 THEN {_TRUTHS.format("l_partkey")}[1:l_suppkey % 5] END AS got_values, l_returnflag || '  is' || chr(9) || l_linestatus || '.' AS want_text, CASE l_suppkey % 4 WHEN 0 THEN lower(l_returnflag) || ' IS ' || l_linestatus || '...' WHEN 1 THEN ' ' || l_returnflag || ' is ' || l_linestatus WHEN 2 THEN l_returnflag END AS got_text FROM lineitem"""
+_SETTLED = r"regexp_replace(regexp_replace(lower(regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '\.+$', '')"
+
+
+@query(rf"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, round(CASE kind
+WHEN 'choice' THEN CASE WHEN len(extra) = 0 AND len(missing) = 0 THEN 1 WHEN len(want_labels) > 1 AND len(given) > 0 AND len(extra) = 0 THEN len(given) / len(want_labels)::DOUBLE ELSE 0 END
+WHEN 'numeric' THEN CASE WHEN abs(got_value - want_value) <= 1e-6 * greatest(1.0, abs(want_value)) THEN 1 ELSE 0 END WHEN 'boolean' THEN CASE WHEN got_flag = want_flag THEN 1 ELSE 0 END
+WHEN 'tf_sequence' THEN len(list_filter(want_values, lambda w, i: coalesce(got_values[i] = w, false))) / len(want_values)::DOUBLE WHEN 'text' THEN CASE WHEN {_SETTLED.format("got_text")} = {_SETTLED.format("want_text")} THEN 1 ELSE 0 END ELSE 0 END::DOUBLE, 9) AS fraction
+FROM (SELECT *, coalesce(got_labels, []) AS given, list_filter(coalesce(got_labels, []), lambda x: NOT list_contains(want_labels, x)) AS extra, list_filter(want_labels, lambda x: NOT list_contains(coalesce(got_labels, []), x)) AS missing FROM ({_RESPONDED}))""")
 def d14_fraction_kinds(t):
-    three = lambda a, b, kind: F.when(c("p_partkey") % 3 == 0, a).when(c("p_partkey") % 3 == 1, b).cast(kind)
-    lit = lambda *xs: F.array(*map(F.lit, xs))
-    f = A.fraction(c("answer"), three(lit("A"), lit("C", "A"), "array<string>"), three(F.lit(1.5), F.lit(2.5), "double"), three(F.lit("Free  FORM."), F.lit("other"), "string"), three(lit(True, False), lit(True, True), "array<boolean>"), three(F.lit(True), F.lit(False), "boolean"), partial=True, rule="per_statement")
-    return _answers(t).where("answer is not null").select("p_partkey", c("answer.kind").alias("kind"), F.round(f, 9).alias("fraction"))
+    key, part, supp, more = c("l_orderkey") + c("l_linenumber"), c("l_partkey"), c("l_suppkey"), c("l_quantity") > 1
+    letters = F.array(*map(F.lit, "ABCD"))
+    bit = lambda n, i: F.floor(n / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1
+    # DuckDB counts a list's places from 1
+    bits = lambda n: F.filter(letters, lambda _, i: bit(n, i + 1))
+    truths = F.transform(F.sequence(F.lit(1), 1 + c("l_linenumber") % 4), lambda i: bit(part, i))
+    kind = F.get(F.array(*map(F.lit, ["choice", "numeric", "boolean", "tf_sequence", "text", "drawing"])), (key % 6).cast("int"))
+    answer = F.struct(kind.alias("kind"), bits(part).alias("labels"), (c("l_extendedprice") / 1000).alias("value"), F.concat(c("l_returnflag"), F.lit("  is\t"), c("l_linestatus"), F.lit(".")).alias("text"), F.lit(None).cast("string").alias("unit"), truths.alias("values"), (part % 2 == 0).alias("flag")).cast(A.ANSWER)
+    text = F.when(supp % 4 == 0, F.concat(F.lower("l_returnflag"), F.lit(" IS "), c("l_linestatus"), F.lit("..."))).when(supp % 4 == 1, F.concat(F.lit(" "), c("l_returnflag"), F.lit(" is "), c("l_linestatus"))).when(supp % 4 == 2, c("l_returnflag"))
+    f = A.fraction(answer, F.when(c("l_quantity") > 2, bits(part.bitwiseOR(supp % 3 * 8))), F.when(more, c("l_extendedprice") / 1000 * (1 + c("l_tax") * 0.00002)), text, F.when(more, F.slice(truths, F.lit(1), (supp % 5).cast("int"))), F.when(more, supp % 2 == 0), partial=True, rule="per_statement")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", F.round(f, 9).alias("fraction"))
 
 
 _PART = {"graded": "l_quantity % 5 <> 0", "blank": "l_quantity % 7 = 0", "share": "CASE CAST(l_quantity AS INT) % 4 WHEN 0 THEN 1.0E0 WHEN 1 THEN 0.5E0 ELSE 0.0E0 END", "prompt": "CASE WHEN l_returnflag = 'A' THEN ' ' ELSE 'why' END", "atype": "CASE WHEN l_returnflag = 'R' THEN 'choice' WHEN l_linestatus = 'O' THEN 'essay' ELSE 'text' END", "n_opts": "CAST(l_quantity AS INT) % 3"}
