@@ -215,15 +215,22 @@ def r16_queue_counters(t):
     return held.union(mail).union(reported)
 
 
-@query("SELECT o_orderkey, k <> 2 AND (k <> 1 OR o_orderkey % 5 = 0) OR o_orderkey % 11 = 0 AS compatible FROM (SELECT o_orderkey, o_orderkey % 4 AS k FROM orders)")
+#: Blueprints of orders: a pool a line, open to the banks that the bits of its part name, and fixed items of the large lines.
+_POOLS = "SELECT l_orderkey, list_filter(['A', 'B', 'C', 'D'], lambda x, i: (l_partkey >> i) & 1 = 1) AS banks, CASE WHEN l_quantity > 40 THEN chr(65 + (l_suppkey % 6)::INT) END AS item FROM lineitem WHERE l_partkey % 32 < 30"
+
+
+@query(f"SELECT l_orderkey, coalesce(bool_or(len(banks) = 0 OR list_contains(banks, 'A')), false) OR coalesce(bool_or(item = 'A'), false) AS compatible FROM ({_POOLS}) GROUP BY 1")
 def r17_blueprint_compatibility(t):
     from tessera.operators.policy import serves_bank
 
-    k = c("o_orderkey") % 4
-    other = F.when(c("o_orderkey") % 5 == 0, '{"banks": []}').otherwise('{"banks": ["x", "y"]}')
-    pools = F.when(k == 0, '{"banks": ["x", "main"]}').when(k == 1, F.concat(F.lit('{"banks": ["z"]},'), other)).when(k == 2, "").otherwise("{}")
-    items = F.when(c("o_orderkey") % 11 == 0, '{"bank": "main"}').otherwise('{"bank": "x"}')
-    text = F.concat(F.lit('{"sections": [{"pools": ['), pools, F.lit('], "items": ['), items, F.lit("]}]}"))
-    config = F.from_json(text, "sections array<struct<pools: array<struct<banks: array<string>>>, items: array<struct<bank: string>>>>")
-    flat = lambda get: F.flatten(F.transform(config["sections"], get))
-    return t.orders.select("o_orderkey", serves_bank(flat(lambda s: F.transform(s["pools"], lambda p: p["banks"])), flat(lambda s: F.transform(s["items"], lambda i: i["bank"])), F.lit("main")).alias("compatible"))
+    bit = lambda i: F.floor(c("l_partkey") / F.pow(F.lit(2.0), i)).cast("long") % 2 == 1
+    # DuckDB counts a list's places from 1
+    banks = F.filter(F.array(*map(F.lit, "ABCD")), lambda _, i: bit(i + 1))
+    item = F.when(c("l_quantity") > 40, F.struct(F.char(65 + c("l_suppkey") % 6).alias("bank")))
+    sections = t.lineitem.where("l_partkey % 32 < 30").groupBy("l_orderkey").agg(F.collect_list(F.struct(banks.alias("banks"))).alias("pools"), F.collect_list(item).alias("items"))
+    text = F.to_json(F.struct(F.array(F.struct("pools", "items")).alias("sections")))
+    config = F.from_json("text", "sections array<struct<pools: array<struct<banks: array<string>>>, items: array<struct<bank: string>>>>")
+    flat = lambda get: F.flatten(F.transform(c("config.sections"), get))
+    held = sections.select("l_orderkey", text.alias("text")).select("l_orderkey", config.alias("config"))
+    return held.select("l_orderkey", serves_bank(flat(lambda s: F.transform(s["pools"], lambda p: p["banks"])), flat(lambda s: F.transform(s["items"], lambda i: i["bank"])), F.lit("A")).alias("compatible"))
+
