@@ -31,13 +31,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 
 CAPACITY = 2048
-#: Words that a worker remembers the ids of, twice at most: those met since the last turn and those of the turn before.
-CACHE = 200_000
+#: Runs that a worker remembers the ids of, twice at most: those met since the last turn and those of the turn before.
+CACHE = 150_000
+#: Characters of a text from which on it is encoded in parts.
+LONGEST = 1 << 20
 #: Texts of these characters alone are split here as the tokenizer splits them; others go to it by words.
 _PLAIN = re.compile("[\t-\r -~\xa0-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201e\u2022\u2026\u20ac]*")
 _LETTERS, _DIGITS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECE = re.compile(f"[{_LETTERS}]+|[{_DIGITS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_DIGITS}]+")
 _ODD = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[ \t\r\n]")
 
 
 #: How a tokenizer's file must normalise and split for its splitting to be done here.
@@ -52,8 +55,8 @@ class WordEncoder:
 
     Texts that hold a string of the tokenizer's added tokens go to it whole.
 
-    Words of plain characters are lower-cased and, when new, cut into the runs that the tokenizer itself cuts, so that case
-    and punctuation make no new runs; new runs are encoded together and told apart by their last ids, which end a word.
+    Texts of plain characters are lower-cased and cut into the runs that the tokenizer itself cuts, so that case and punctuation
+    make no new runs; new runs are encoded together and told apart by their last ids, which end a word. Other texts go by words.
     """
 
     def __init__(self, path: str):
@@ -63,7 +66,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
         self.by_words = (told["normalizer"], told["pre_tokenizer"]) == (NORMALIZER, SPLIT) and told["model"].get("end_of_word_suffix") == "</w>" and not told["truncation"] and not told["padding"]
-        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.I)
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs = Tokenizer(self.tokenizer.model)
         self.runs.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -91,23 +94,56 @@ class WordEncoder:
         new = list(missing.difference(back))
         self.known.update(zip(new, encode(new), strict=True))
 
-    def _encode_plain(self, words: list[str]) -> list[bytes]:
-        runs = [_PIECE.findall(w) for w in words]
-        self._learn(set().union(*runs), self._encode_runs)
-        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
-
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         if not self.by_words:
             return self._encode(texts)
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        plain = [bool(_PLAIN.fullmatch(t)) for t in texts]
-        words = [None if _ODD.search(t) or self.added.search(t) else t.lower().split() if p else t.split() for t, p in zip(texts, plain, strict=True)]
-        for kind, encode in ((True, self._encode_plain), (False, self._encode)):
-            self._learn(set().union(*[ws for ws, p in zip(words, plain, strict=True) if ws and p is kind]), encode)
+        runs: list[list[str] | None] = []
+        words: set[str] = set()
+        new: set[str] = set()
+        for t in texts:
+            low = t.lower()
+            if len(t) > LONGEST or any(a in low for a in self.added):
+                runs.append(None)
+            elif _PLAIN.fullmatch(t):
+                runs.append(_PIECE.findall(low))
+                new.update(runs[-1])
+            elif _ODD.search(t):
+                runs.append(None)
+            else:
+                runs.append(t.split())
+                words.update(runs[-1])
+        self._learn(new, self._encode_runs)
+        self._learn(words, self._encode)
         get = self.known.__getitem__
-        return [self._encode([t])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts, words, strict=True)]
+        return [self._whole(t) if r is None else b"".join(map(get, r)) for t, r in zip(texts, runs, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that has an odd blank or an added token, or is so long that it goes in parts, cut at white space."""
+        low = text.lower()
+        if len(text) <= LONGEST or _ODD.search(text) or any(a in low for a in self.added):
+            return self._encode([text])[0]
+        parts, at = [], 0
+        while at < len(text):
+            stop = at + LONGEST
+            if stop < len(text):
+                gap = _SPACE.search(text, stop)
+                stop = gap.start() if gap else len(text)
+            piece = text[at:stop]
+            if len(piece) > 2 * LONGEST:
+                parts += self._encode([piece])
+            elif _PLAIN.fullmatch(piece):
+                some = _PIECE.findall(piece.lower())
+                self._learn(set(some), self._encode_runs)
+                parts.append(b"".join(map(self.known.__getitem__, some)))
+            else:
+                some = piece.split()
+                self._learn(set(some), self._encode)
+                parts.append(b"".join(map(self.known.__getitem__, some)))
+            at = stop
+        return b"".join(parts)
 
 
 @functools.cache

@@ -321,3 +321,16 @@ def test_no_scratch_is_left_but_what_the_result_reads(spark):
         common.materialize(docs)
         1 / 0  # noqa: B018
     assert len(common._scratch) - before == 1
+
+
+def test_texts_in_parts_have_the_ids_of_the_whole(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, rnd = Tokenizer.from_file(path), random.Random(7)
+    words = ["Don't", "a,b", "x" * 90, "12", "é", "日本", "\n", "ÀB's", "--", "  ", "w\t", "İx", "ﬁ"]
+    texts = [" ".join(rnd.choices(words[:9] if i % 2 else words, k=rnd.randint(1, 60))) for i in range(200)]
+    monkeypatch.setattr(packing, "LONGEST", 40)
+    encode = packing.WordEncoder(path)
+    for at in range(0, 200, 20):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[at : at + 20])] == [own.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
