@@ -12,10 +12,11 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, embdedup, htmltext, lexsearch, minhash, packing, resample, secretscan
+from tessera.llm import common, decontaminate, embdedup, htmltext, langid, lexsearch, minhash, packing, resample, secretscan
 
+from . import brute
 from .brute import LOW
-from .test_cases import crowded
+from .test_cases import crowded, families
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
@@ -334,3 +335,18 @@ def test_texts_in_parts_have_the_ids_of_the_whole(monkeypatch):
     encode = packing.WordEncoder(path)
     for at in range(0, 200, 20):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts[at : at + 20])] == [own.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_ids_and_languages_on_either_side_of_their_bounds(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_IDS", most)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", most)
+    monkeypatch.setattr(langid, "BROADCAST_LANGUAGES", most)
+    texts = families(5, groups=6)
+    docs = spark.createDataFrame(list(texts.items()), DOCS).repartition(3)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == brute.near_groups(texts)
+    gone = spark.createDataFrame([(i,) for i in list(texts)[::2]], "doc_id long")
+    assert sorted(r.doc_id for r in common.without_ids(docs, gone).collect()) == sorted(list(texts)[1::2])
+    told = spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 5, "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    got = langid.predict_language(told, langid.learn_profiles(told), carry=("doc_id",)).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: "en" if i % 2 else "de" for i in range(40)}
