@@ -308,3 +308,22 @@ def test_decisions_are_applied_once_and_stale_ones_not(spark):
     kept = {r.k: (r.text, r.subject, r.answer, r.grp) for r in again.collect()}
     assert kept == {w[0]: (w[2], w[3], w[4], w[5]) for w in want}
     assert decisions.apply_decisions(records, file.where("false"), "k", "x")[0].where(F.col("version") > 0).count() == 1
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_trigrams_of_questions_on_either_side_of_their_bound(spark, monkeypatch, most):
+    from tessera.operators import quality
+
+    monkeypatch.setattr(quality, "BROADCAST_GRAMS", most)
+    rnd = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    pages = {i: rnd.choices(words, k=60) for i in range(20)}
+    asked = {100: pages[3][10:30], 101: pages[7][:9], 102: ["nowhere"] * 5, 103: ["a", "b"]}
+    rows = lambda d, cols: spark.createDataFrame([(i, " ".join(w)) for i, w in d.items()], cols)
+    got = {}
+    for r in quality.trigram_locate(rows(asked, "q long, t string"), "q", "t", rows(pages, "p long, t string"), "p", "t", top=2).collect():
+        got.setdefault(r.q, []).append((r.p, r.score))
+    grams = lambda w: {tuple(w[i : i + 3]) for i in range(len(w) - 2)}
+    for q, w in asked.items():
+        scores = sorted(((-round(len(grams(w) & grams(p)) / len(grams(w)), 4), i) for i, p in pages.items() if grams(w) & grams(p)))[:2] if len(w) > 2 else []
+        assert sorted(got.get(q, []), key=lambda x: (-x[1], x[0])) == [(i, -s) for s, i in scores]
