@@ -44,3 +44,27 @@ def test_lines_with_odd_edges_and_blanks(spark, tmp_path):
 def test_scores_of_words_at_odd_edges(spark, tmp_path):
     texts = ["de-la de\nla de, la de  la", "und² die½ que‿ zué", "dieı les‍une", "İund derİ LE İLE", "ⅧDER Ⓐque pouŕ"]
     same(spark, tmp_path, "c24_subject_scores", documents=documents(*texts))
+
+
+def test_many_decisions_of_one_record(spark):
+    """A fold that carries the log of all 40,000 copies 800 million entries; by runs it takes seconds."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from tessera.operators import decisions
+
+    lit = F.lit(None).cast("string")
+    records = spark.range(1, 3).select(F.col("id").alias("k"), F.lit(0).cast("long").alias("version"), F.lit("t").alias("text"), lit.alias("subject"), F.lit("A").alias("answer"), lit.alias("grp"), lit.alias("visual"), F.lit(False).alias("subject_ok"), F.lit("t").alias("published"))
+    asked = {k: F.lit(False) for k in ("revert", "clear_subject", "detach_group", "clean", "confirm_visual", "visual_fail", "confirm_subject")} | {"old": lit, "new": lit, "new_subject": lit}
+    i = F.col("id")
+    file = spark.range(40_000).select(i.alias("decision_id"), F.lit(1).cast("long").alias("k"), i.alias("seq"), (i - i % 3).alias("seen"), F.when(i % 1000 != 7, F.lit("B")).alias("new_answer"), *[v.alias(k) for k, v in asked.items()])
+    begun = time.perf_counter()
+    after, log = decisions.apply_decisions(records, file, "k", "x")
+    got = {r.decision_id: r.outcome for r in log.collect()}
+    assert time.perf_counter() - begun < 60
+    want, version = {}, 0
+    for d in range(40_000):
+        want[d] = "stale" if d - d % 3 < version else "nothing" if d % 1000 == 7 else "answer_fixed"
+        version += want[d] == "answer_fixed"
+    assert got == want and sorted((r.k, r.version) for r in after.collect()) == [(1, version), (2, 0)]
