@@ -28,9 +28,7 @@ def _rules(t):
 SELECT g.id, count(r.id) AS holders, arg_min(r.id, ((r.x1 - r.x0) * (r.y1 - r.y0), r.id)) AS innermost
 FROM g LEFT JOIN r ON g.page = r.page AND g.x0 >= r.x0 - 1.5 AND g.x1 <= r.x1 + 1.5 AND g.y0 >= r.y0 - 1.5 AND g.y1 <= r.y1 + 1.5 GROUP BY g.id""")
 def g5_innermost_box(t):
-    pairs = G.containers(_glyphs(t), _rules(t), 1.5).groupBy("id").agg(F.count("*").alias("holders"))
-    best = G.innermost(_glyphs(t), _rules(t), 1.5)
-    return best.join(pairs, "id", "left").select("id", F.coalesce("holders", F.lit(0)).alias("holders"), c("outer_id").alias("innermost"))
+    return G.holders(_glyphs(t), _rules(t), 1.5).withColumnRenamed("outer_id", "innermost")
 
 
 @query(f"""WITH r AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM ({_RULES}))
