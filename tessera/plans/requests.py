@@ -54,8 +54,9 @@ _VERSIONS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, row_number(
 def _versions(t):
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax"))
-    return t.lineitem.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), c("l_partkey").alias("p_partkey"), n.alias("version_no"), F.substring(F.md5(c("l_suppkey").cast("string")), 1, 8).alias("content_hash"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"), c("l_suppkey").alias("created_by"))
+    rows = t.lineitem.select(c("l_partkey").alias("p_partkey"), "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax")  # named first: what groups by the name needs no second shuffle
+    rows = rows.withColumn("version_no", F.row_number().over(Window.partitionBy("p_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_tax")))
+    return rows.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), "p_partkey", "version_no", F.substring(F.md5(c("l_suppkey").cast("string")), 1, 8).alias("content_hash"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"), c("l_suppkey").alias("created_by"))
 
 
 @query(f"""WITH v AS (SELECT l_partkey AS p_partkey, string_agg(version_no || ':' || content_hash || ':' || created_at, ' ' ORDER BY version_no DESC, id DESC) AS versions FROM ({_VERSIONS}) GROUP BY 1),
