@@ -46,6 +46,21 @@ def test_scores_of_words_at_odd_edges(spark, tmp_path):
     same(spark, tmp_path, "c24_subject_scores", documents=documents(*texts))
 
 
+def test_decided_records_are_whole_texts(spark, tmp_path):
+    """Texts of more than 600 characters, also with line breaks at their ends, and what is changed behind the 600th."""
+    import datetime as dt
+    import hashlib
+
+    long = "x" * 700
+    texts = [f"{long}\nPage 7", f"{long}\n\nPage 7\n", f"{long} ung y\nA\n\nB", f"{long} ent", long, f"{long}\r\nPage 7\r\n", "short\nPage", f"{long}\nPage\u2028", f"{long}the {long}"]
+    kinds = ["click", "click", "click", "error", "click", "view", "click", "purchase", "click", "signup"]
+    asked = [(e, dt.datetime(2024, 1, 1 + e % 28), next(u for u in range(1100) if u * 7 % 1100 == (e // 10 + e) % len(texts)), kinds[e // 30 % 10] if e % 10 else "click", float(e // 28)) for e in range(600)]
+    asked = [(e + 1000, dt.datetime(2023, 1, 1), next(u for u in range(1100) if u * 7 % 1100 == k), kind, 9.0) for e, k, kind in ((0, 0, "click"), (2, 2, "click"), (4, 3, "click"))] + [a for a in asked if a[2] * 7 % 1100 not in (0, 2, 3)]
+    got = same(spark, tmp_path, "r34_decided_records", documents=documents(*texts), events=("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double", asked))
+    for text in (long, f"{long} fixed0y\nA\n\nB", f"{long} fixed2"):
+        assert any(hashlib.sha256(text.encode()).hexdigest() in r for r in got), text[690:]
+
+
 def test_many_decisions_of_one_record(spark):
     """A fold that carries the log of all 40,000 copies 800 million entries; by runs it takes seconds."""
     import time
