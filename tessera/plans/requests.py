@@ -27,7 +27,7 @@ drawn AS MATERIALIZED (SELECT m.request_id, row_number() OVER (PARTITION BY m.re
   UNION ALL SELECT request_id, position, item, false FROM (SELECT m.request_id, n, item, row_number() OVER (PARTITION BY m.request_id ORDER BY sha256('s:' || m.request_id || ':' || item), item) AS position FROM mine m JOIN reached r ON r.request_id = m.request_id AND NOT r.whole) WHERE position <= n)"""
 
 
-def _answered(t):
+def _answered(t, draw):
     s, n = c("s_suppkey"), c("s_nationkey") % 6
     strings = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
     subjects = F.when(n == 4, strings("en", "de")).when(n == 5, strings()).otherwise(F.array(F.get(strings("en", "de", "fr", "xx"), n)))
@@ -35,17 +35,17 @@ def _answered(t):
     five = F.floor(c("doc_id") / 5)
     pool = t.documents.select(c("doc_id").alias("item"), c("lang").alias("subject"), c("source").alias("kind"), (c("n_chars") % 6 != 0).alias("auto"), (c("doc_id") % 9 == 0).alias("free"), F.when(c("lang") == "en", F.floor(c("doc_id") / 24)).when(five % 3 == 0, five + 10000).alias("group_key"))
     owned = t.events.where(c("event_type").isin("error", "signup") & (c("event_id") % 5 == 0)).select((c("user_id") % 20).alias("user_id"), F.when(c("event_type") == "error", "wrong").otherwise("bookmarks").alias("source"), (c("event_id") % 400).alias("item"))
-    return R.answer_requests(asked, pool, owned, "s")
+    return R.answer_requests(asked, pool, owned, "s", draw)
 
 
 @query(f"WITH RECURSIVE {_FOUND} SELECT a.request_id, CASE WHEN open >= 10 THEN 'too_many_open' WHEN coalesce(available, 0) = 0 AND free_only AND coalesce(every, 0) > 0 THEN 'free_limit' WHEN coalesce(available, 0) = 0 THEN 'not_enough' ELSE 'drawn' END AS outcome, coalesce(available, 0) AS available, coalesce(d.taken, 0) AS taken, d.whole FROM asked a LEFT JOIN counts USING (request_id) LEFT JOIN (SELECT request_id, count(*) AS taken, bool_or(whole) AS whole FROM drawn GROUP BY 1) d USING (request_id)")
 def r18_practice_requests(t):
-    return _answered(t)[0]
+    return _answered(t, False)[0]
 
 
 @query(f"WITH RECURSIVE {_FOUND} SELECT request_id, position, item FROM drawn")
 def r18_drawn_items(t):
-    return _answered(t)[1]
+    return _answered(t, True)[1]
 
 
 _VERSIONS = "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_tax) AS version_no, substr(md5(l_suppkey::VARCHAR), 1, 8) AS content_hash, strftime(l_shipdate, '%Y-%m-%d') AS created_at, l_suppkey AS created_by FROM lineitem"
